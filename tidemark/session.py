@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -62,10 +61,9 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="tidemark-code-")
-    target = os.path.join(folder, "tidemark_code.zip")
+    target = os.path.join(folder, "tidemark_code.zip")  # the driver serves it from here as long as it lives
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(target)
-    shutil.rmtree(folder, ignore_errors=True)
     _shipped.add(app)
