@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import encoding
+from tidemark.llm import encoding, nearest_time
 from tidemark.session import table
 
 
@@ -12,5 +13,26 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p8_ids": p8_ids}
-ORACLES: dict[str, str] = {}
+#: The close that a day stands for, and how far an item may be from it, in microseconds.
+CLOSE_US, TOLERANCE_US = 10 * 3_600_000_000, 20 * 3_600_000_000
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "news").select(F.col("symbol").alias("entity"), F.unix_micros("published_at").alias("t"), F.col("seq").alias("id"))
+    days = table(spark, sf_dir, "daily_coverage").select(
+        F.col("symbol").alias("entity"), (F.unix_date("day").cast("bigint") * 86_400_000_000 + CLOSE_US).alias("t"), F.col("cov_id").alias("id")
+    )
+    return nearest_time.nearest(items, days, TOLERANCE_US).select(F.col("left_id").alias("seq"), F.col("right_id").alias("cov_id"))
+
+
+QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids}
+ORACLES: dict[str, str] = {
+    "p2_found": """
+        WITH n AS (SELECT seq, symbol, epoch_us(published_at) AS t FROM news WHERE symbol IS NOT NULL AND published_at IS NOT NULL),
+        d AS (SELECT symbol, epoch_us(day::TIMESTAMP) + 36000000000 AS t, min(cov_id) AS cov_id FROM daily_coverage WHERE symbol IS NOT NULL AND day IS NOT NULL GROUP BY ALL),
+        b AS (SELECT n.seq, n.t, d.t AS bt, d.cov_id AS bid, n.symbol FROM n ASOF LEFT JOIN d ON n.symbol = d.symbol AND n.t >= d.t),
+        a AS (SELECT b.*, d.t AS at_, d.cov_id AS aid FROM b ASOF LEFT JOIN d ON b.symbol = d.symbol AND b.t <= d.t),
+        c AS (SELECT seq, CASE WHEN bt IS NOT NULL AND (at_ IS NULL OR t - bt <= at_ - t) THEN bid ELSE aid END AS cov_id,
+              CASE WHEN bt IS NOT NULL AND (at_ IS NULL OR t - bt <= at_ - t) THEN t - bt ELSE at_ - t END AS far FROM a)
+        SELECT seq, cov_id FROM c WHERE far <= 72000000000""",
+}
