@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import encoding, nearest_time
+from tidemark.llm import boilerplate, encoding, nearest_time, repeated_lines, residue_rows
 from tidemark.session import table
 
 
@@ -25,8 +25,51 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_time.nearest(items, days, TOLERANCE_US).select(F.col("left_id").alias("seq"), F.col("right_id").alias("cov_id"))
 
 
-QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids}
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News rows as pages: (id, host, body, headline, url)."""
+    return table(spark, sf_dir, "news").select(F.col("seq").alias("id"), F.col("source").alias("host"), "body", "headline", "url")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "news").select(F.col("seq").alias("id"), "source", F.col("body").alias("text"))
+    return repeated_lines.repeated(rows).select(F.col("id").alias("seq"), "line_no")
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "news").select(F.col("seq").alias("id"), "source", F.col("body").alias("text"))
+    return repeated_lines.without_repeated(rows).select(F.col("id").alias("seq"), F.col("text").alias("body"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_rows.found(_pages(spark, sf_dir)).select(F.col("id").alias("seq"), "field")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.page_matter(boilerplate.mark(_pages(spark, sf_dir))).select(F.col("id").alias("seq"), "line_no")
+
+
+def p6_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    return boilerplate.main_content(pages, boilerplate.mark(pages)).select(F.col("id").alias("seq"), "article")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_clean": p4_clean,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_content": p6_content,
+    "p8_ids": p8_ids,
+}
 ORACLES: dict[str, str] = {
+    "p4_found": r"""
+        WITH l AS (SELECT seq, source, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no FROM news WHERE body IS NOT NULL AND source IS NOT NULL),
+        k AS (SELECT seq, source, line_no, lower(regexp_replace(line, '[^\p{L}]+', '', 'g')) AS key FROM l),
+        n AS (SELECT source, count(*) AS rows FROM news WHERE source IS NOT NULL GROUP BY source),
+        c AS (SELECT source, key, count(DISTINCT seq) AS k FROM k WHERE key <> '' GROUP BY source, key),
+        r AS (SELECT c.source, c.key FROM c JOIN n USING (source) WHERE c.k >= 3 AND c.k * 20 >= n.rows)
+        SELECT k.seq, k.line_no::BIGINT AS line_no FROM k JOIN r USING (source, key)""",
     "p2_found": """
         WITH n AS (SELECT seq, symbol, epoch_us(published_at) AS t FROM news WHERE symbol IS NOT NULL AND published_at IS NOT NULL),
         d AS (SELECT symbol, epoch_us(day::TIMESTAMP) + 36000000000 AS t, min(cov_id) AS cov_id FROM daily_coverage WHERE symbol IS NOT NULL AND day IS NOT NULL GROUP BY ALL),
