@@ -71,7 +71,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for body, headline, url in zip(bodies.to_pylist(), heads.to_pylist(), urls.to_pylist(), strict=True):
             slug = R.slug_terms(url)
             title = R.terms(headline)
-            about = slug | title
+            about = {w for w in slug | title if len(w) > 4}
             stories.append(R.story(slug or title))
             bits, mark = headline_bits(headline, slug)
             hb.append(bits)
@@ -242,12 +242,12 @@ def mark_page(host: str, row: tuple, hits: list[int] | None, everywhere: set[int
             out = False
         (drop if out else own).append(i)
     flags = PLACEHOLDER if any(bits[i] & R.HAS_PLACEHOLDER for i in own) else 0
-    anchors = any(bits[i] & ANCHOR and not bits[i] & R.IS_FILLER for i in own)
+    anchors = any(bits[i] & ANCHOR and not bits[i] & (R.IS_FILLER | R.IS_RESPONSE) for i in own)
     mark = 0
     if own and not anchors:
         filler = any(bits[i] & R.IS_FILLER for i in own)
         response = any(bits[i] & R.IS_RESPONSE for i in own)
-        shares = any(bits[i] & R.SHARES_TERM and not bits[i] & NUMERIC for i in own)
+        shares = any(bits[i] & R.SHARES_TERM and not bits[i] & (NUMERIC | R.IS_RESPONSE) for i in own)
         size = sum(words[i] for i in own)
         if filler or (flags and size < 15) or (response and not shares and size <= 40):
             flags |= NO_ARTICLE

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import boilerplate, encoding, nearest_time, repeated_lines, residue_rows
-from tidemark.session import table
+from tidemark.llm import boilerplate, encoding, near_duplicates, nearest_time, repeated_lines, residue_rows
+from tidemark.session import table, written
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,20 @@ def p6_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_content(pages, boilerplate.mark(pages)).select(F.col("id").alias("seq"), "article")
 
 
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    return boilerplate.main_content(pages, boilerplate.mark(pages)).where("article is not null").select("id", F.col("article").alias("text"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = written(near_duplicates.groups(_articles(spark, sf_dir)), "groups")
+    return near_duplicates.pairs(members).select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"))
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(_articles(spark, sf_dir)).select(F.col("id").alias("seq"), F.col("group").alias("first_seq"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
@@ -60,6 +74,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_content": p6_content,
+    "p7_found": p7_found,
+    "p7_groups": p7_groups,
     "p8_ids": p8_ids,
 }
 ORACLES: dict[str, str] = {

@@ -23,6 +23,7 @@ RESPONSE = re.compile(
     r"|\bfatal error\b|\btemplate '|\bundefined (?:index|variable)\b|\bnonetype\b|\btraceback\b|\bwent wrong\b|\binternal (?:server )?error\b|\berror establishing\b|\bdatabase connection\b|\bnot available in your\b|\bdo not have permission\b|\baccess denied\b"
     r"|\byou are (?:a )?human\b|\bcaptcha\b|\benable (?:javascript|java ?script|cookies|scripts)\b|\ballow scripts\b|\bcould not load\b|\btap to retry\b|\blink has expired\b|\bredirected you\b|\bfalling back to stub\b|\bchecking your browser\b|\bjust a moment\b|\battention required\b"
     r"|^loading\W*$|\bsession has\b|\blog in again\b|\bunusual traffic\b|\bseite\b.*\bnicht gefunden\b|पृष्ठ उपलब्ध नहीं|त्रुटि \d|\bno longer available\b|\berror \d{1,3}\b|\bplease enable\b"
+    r"|\bcould not be found\b|\bmoved or taken down\b|\bplanned (?:upkeep|maintenance)\b|\bundergoing maintenance\b|\bbrowser is out of date\b|\bblocks scripts\b|\bscripts switched on\b|\bturn (?:scripts|them) on\b|\bback to the front page\b|\breload the page\b|\btry again (?:later|in a)\b"
 )
 #: Frequent words of natural English and other languages written in Latin letters (fixed values): a long line with none is filler.
 COMMON = (" the ", " of ", " to ", " a ", " in ", " and ", " for ", " on ", " at ", " with ", " de ", " la ", " der ", " die ", " und ", " el ", " que ", " le ", " les ", " o ", " yang ", " dan ", " ke ", " mein ")
@@ -32,7 +33,7 @@ HEADLINES = frozenset(("undefined", "null", "none", "nan", "untitled", "untitled
 #: Substrings of which a match of each pattern has one: looked for first, since that is much cheaper.
 _PLACEHOLDER_HINTS = ("{", "<", "[", "%%", "%s", "%(", "$", "__", "@@", "TK ", "TODO", "XX")
 _FILLER_HINTS = ("orem", "copy goes", "eplace this", "ample paragraph", "draft layout", "asdf", "est test", "xxx", "XXX", "eadline")
-_RESPONSE_HINTS = ("error", "http", "page ", "found", "gateway", "unavailable", "time", "too many", "server", "template", "undefined", "nonetype", "traceback", "wrong", "database", "available", "permission", "denied", "human", "captcha", "enable", "script", "load", "expired", "redirected", "stub", "browser", "moment", "attention", "session", "again", "traffic", "gefunden", "पृष्ठ", "त्रुटि")
+_RESPONSE_HINTS = ("error", "http", "page ", "found", "gateway", "unavailable", "time", "too many", "server", "template", "undefined", "nonetype", "traceback", "wrong", "database", "available", "permission", "denied", "human", "captcha", "enable", "script", "load", "expired", "redirected", "stub", "browser", "moment", "attention", "session", "again", "traffic", "upkeep", "maintenance", "front page", "gefunden", "पृष्ठ", "त्रुटि")
 
 _TOKEN = re.compile(r"[^\W_]+")
 _SLUG = re.compile(r"/([^/?#]+?)/?(?:[?#].*)?$")
@@ -78,9 +79,9 @@ def line_bits(text: str, about: set[str], prose: bool, anchor: bool) -> int:
         bits |= IS_FILLER
     if _has(text, _FILLER_HINTS) and FILLER.search(text):
         bits |= IS_FILLER
-    if not anchor:
-        if n <= 30 and (_has(low, _RESPONSE_HINTS) or low[:1].isdigit()) and RESPONSE.search(text):
+    if n <= 40:
+        if (_has(low, _RESPONSE_HINTS) or low[:1].isdigit()) and RESPONSE.search(text):
             bits |= IS_RESPONSE
-        if about and not about.isdisjoint(_TOKEN.findall(low)):
+        if (not anchor or bits & IS_RESPONSE) and about and not about.isdisjoint(_TOKEN.findall(low)):
             bits |= SHARES_TERM
     return bits
