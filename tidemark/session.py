@@ -55,9 +55,9 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, for clusters where only the driver has it."""
+    """Give Python workers this package, for sessions where only the driver has it on its path."""
     app = spark.sparkContext.applicationId
-    if app in _shipped or spark.sparkContext.master.startswith("local["):
+    if app in _shipped:
         return
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="tidemark-code-")
