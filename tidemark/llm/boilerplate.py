@@ -19,11 +19,13 @@ grow with the number of hosts: they are shipped to the tasks only when counted b
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,31 +51,48 @@ MARKED = "id bigint, host string, drop array<int>, kept int, flags int, print bi
 NO_ARTICLE, PLACEHOLDER, MAYBE = 1, 2, 4
 
 
-def headline_bits(headline: str | None, slug: set[str]) -> tuple[int, int]:
+_NO_DIGITS = str.maketrans("", "", "0123456789")
+
+
+def headline_bits(headline: str | None, slug: set[str], title: set[str]) -> tuple[int, int]:
     """Detector bits of a headline and the print under which copies of one response meet."""
     if not headline or not (h := headline.strip()):
         return 0, 0
-    plain = R.bare(h)
-    bits = R.HAS_PLACEHOLDER if R.PLACEHOLDER.search(h) or R.FILLER.search(h) else 0
-    if plain in R.HEADLINES or (R.RESPONSE.search(h) and plain.count(" ") < 5):
-        bits |= R.IS_RESPONSE
-    if slug and not slug.isdisjoint(R.terms(h)):
+    bits = R.HAS_PLACEHOLDER if R.unfilled(h) else 0
+    if not slug.isdisjoint(title):
         bits |= R.SHARES_TERM
-    if plain.count(" ") < 7:
+    if h.count(" ") < 8:
         bits |= SHORT
-    return bits, digest(plain)
+    if not bits & R.SHARES_TERM:
+        plain = R.bare(h)
+        if plain in R.HEADLINES or (plain.count(" ") < 5 and R.responds(h)):
+            bits |= R.IS_RESPONSE
+    return bits, digest(h.lower().translate(_NO_DIGITS))
+
+
+class _Tokens(dict):
+    """Word -> 32-bit hash, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = small(word)
+        return h
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], with_tokens: bool = False) -> Iterator[pa.RecordBatch]:
+    known = _Tokens()
+    find = re.compile(r"[^\W_]+").findall
     for batch in batches:
+        tokens, counts, token_offsets = [], [], [0]
         ids, hosts, bodies, heads, urls = (batch.column(k) for k in range(5))
         offsets, no, cols, words, hb, hp, stories = [0], [], ([], [], [], [], [], []), [], [], [], []
         for body, headline, url in zip(bodies.to_pylist(), heads.to_pylist(), urls.to_pylist(), strict=True):
             slug = R.slug_terms(url)
             title = R.terms(headline)
+            bits, mark = headline_bits(headline, slug, title)
             about = {w for w in slug | title if len(w) > 4}
             stories.append(R.story(slug or title))
-            bits, mark = headline_bits(headline, slug)
             hb.append(bits)
             hp.append(mark)
             if body:
@@ -86,16 +105,27 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             c.append(v)
                         cols[5][-1] |= R.line_bits(t, about, bool(f[5] & PROSE), bool(f[5] & ANCHOR))
                         words.append(t.count(" ") + 1)
+                        if with_tokens:
+                            here = find(t.lower())
+                            counts.append(len(here))
+                            tokens += [known[w] for w in here]
             offsets.append(len(no))
+            token_offsets.append(len(tokens))
         off = pa.array(offsets, pa.int32())
         lists = [pa.ListArray.from_arrays(off, pa.array(v, pa.int64() if k == 1 else pa.int32())) for k, v in enumerate((no, *cols, words))]
-        yield pa.RecordBatch.from_arrays([ids, hosts, *lists, pa.array(hb, pa.int32()), pa.array(hp, pa.int64()), pa.array(stories, pa.int64())], names=["id", "host", "no", "exact", "label", "opening", "shape", "rest", "bits", "words", "head", "head_print", "story"])
+        own = {"id": ids, "host": hosts} | dict(zip(("no", "exact", "label", "opening", "shape", "rest", "bits", "words"), lists, strict=True))
+        own |= {"head": pa.array(hb, pa.int32()), "head_print": pa.array(hp, pa.int64()), "story": pa.array(stories, pa.int64())}
+        if with_tokens:
+            own["counts"] = pa.ListArray.from_arrays(off, pa.array(counts, pa.int32()))
+            own["tokens"] = pa.ListArray.from_arrays(pa.array(token_offsets, pa.int32()), pa.array(tokens, pa.int32()))
+        yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
 
 
-def parse(df: DataFrame) -> DataFrame:
-    """``df`` is (id bigint, host string, body string, headline string, url string)."""
+def parse(df: DataFrame, with_tokens: bool = False) -> DataFrame:
+    """``df`` is (id bigint, host string, body string, headline string, url string). With tokens, every line's words as well."""
     narrow = df.select(F.col("id").cast("bigint").alias("id"), F.coalesce("host", F.lit("")).alias("host"), "body", "headline", "url")
-    return written(narrow.mapInArrow(_parse, PARSED), "pages")
+    schema = PARSED + (", counts array<int>, tokens array<int>" if with_tokens else "")
+    return written(narrow.mapInArrow(lambda batches: _parse(batches, with_tokens), schema), "pages")
 
 
 @dataclass
@@ -257,22 +287,39 @@ def mark_page(host: str, row: tuple, hits: list[int] | None, everywhere: set[int
     return [no[i] for i in drop], len(own), flags, mark
 
 
+_PAGE = ["host", "hits", "no", "exact", "label", "opening", "shape", "rest", "bits", "words"]
+
+
+@dataclass
+class Fitted:
+    """Parsed pages with their ``hits``, and what marking them needs, shipped to the tasks (bounded, see the module's text)."""
+
+    pages: DataFrame
+    shared: Broadcast
+
+
+def fit(df: DataFrame, with_tokens: bool = False) -> Fitted:
+    """Parse the pages of (id, host, body, headline, url) and learn what recurs on them."""
+    parsed = parse(df, with_tokens)
+    rec = recurring(parsed)
+    shared = df.sparkSession.sparkContext.broadcast((rec.everywhere, rec.per_host, profile(parsed, rec)))
+    return Fitted(parsed.join(rec.hits, "id", "left") if rec.hits is not None else parsed.withColumn("hits", F.lit(None).cast("array<bigint>")), shared)
+
+
+def mark_batch(batch: pa.RecordBatch, shared: tuple) -> list[tuple[list[int], int, int, int]]:
+    """:func:`mark_page` of every row of a batch of parsed pages."""
+    return [mark_page(host, row, hits, *shared) for host, hits, *row in _pages(batch, _PAGE)]
+
+
 def mark(df: DataFrame) -> DataFrame:
     """(id, host, drop: numbers of lines of page matter, kept: count of the others, flags, ...) of each row of
     (id, host, body, headline, url)."""
-    parsed = parse(df)
-    rec = recurring(parsed)
-    known = profile(parsed, rec)
-    shared = df.sparkSession.sparkContext.broadcast((rec.everywhere, rec.per_host, known))  # bounded, see the module's text
-    source = parsed.join(rec.hits, "id", "left") if rec.hits is not None else parsed.withColumn("hits", F.lit(None).cast("array<bigint>"))
+    fitted = fit(df)
+    shared = fitted.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everywhere, per_host, profile_ = shared.value
         for batch in batches:
-            out: list[tuple] = [
-                mark_page(host, row, hits, everywhere, per_host, profile_)
-                for host, hits, *row in _pages(batch, ["host", "hits", "no", "exact", "label", "opening", "shape", "rest", "bits", "words"])
-            ]
+            out = mark_batch(batch, shared.value)
             named = {n: batch.column(batch.schema.get_field_index(n)) for n in ("id", "host", "head", "head_print")}
             ends = np.cumsum([0, *(len(o[0]) for o in out)])
             drop = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([v for o in out for v in o[0]], pa.int32()))
@@ -281,7 +328,7 @@ def mark(df: DataFrame) -> DataFrame:
                 names=["id", "host", "drop", "kept", "flags", "print", "head", "head_print"],
             )
 
-    return written(source.mapInArrow(run, MARKED), "marked")
+    return written(fitted.pages.mapInArrow(run, MARKED), "marked")
 
 
 #: A print under so many different headlines, with no word in common with address or headline, is one response to many addresses.

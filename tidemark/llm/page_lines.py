@@ -110,15 +110,12 @@ def _form(text: str) -> tuple[int, int, int, int, int, int]:
         bits |= PROSE | (ANCHOR if n >= 15 else 0)
     if n < 5:
         bits |= SHORT
-    if n > 40:
-        m = _LABEL.match(plain[:60]) if prose else None
-        return exact, small("l" + key(m[1])) if m else 0, _opening(plain), 0, 0, bits
+    if bits & ANCHOR or n > 40:  # long prose is decided by what it says, not by its form
+        return exact, 0, _opening(plain), 0, 0, bits
     m = _LABEL.match(plain)
     label = small("l" + key(m[1])) if m and len(m[1]) > 1 else 0
     if m and _NUMERIC.match(m[2]):
         bits |= NUMERIC
-    if bits & ANCHOR:
-        return exact, label, _opening(plain), 0, 0, bits
     bullet = _BULLET.match(plain)
     whole = small(shape(plain))
     if bullet:

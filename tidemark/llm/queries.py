@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import boilerplate, encoding, near_duplicates, nearest_time, repeated_lines, residue_rows
+from tidemark.llm import article_versions, boilerplate, encoding, language, leakage, near_duplicates, nearest_time, repeated_lines, residue_rows, truncation
 from tidemark.session import table, written
 
 
@@ -30,6 +30,18 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "news").select(F.col("seq").alias("id"), F.col("source").alias("host"), "body", "headline", "url")
 
 
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.scored(table(spark, sf_dir, "news").select(F.col("seq").alias("id"), "source", "headline", "body", "snippet", "url"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _values(spark, sf_dir).where(F.col("probability") >= truncation.CUT_FROM).select(F.col("id").alias("seq"), "field")
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.report(_values(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "news").select(F.col("seq").alias("id"), "source", F.col("body").alias("text"))
     return repeated_lines.repeated(rows).select(F.col("id").alias("seq"), "line_no")
@@ -53,21 +65,37 @@ def p6_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_content(pages, boilerplate.mark(pages)).select(F.col("id").alias("seq"), "article")
 
 
-def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    return boilerplate.main_content(pages, boilerplate.mark(pages)).where("article is not null").select("id", F.col("article").alias("text"))
-
-
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = written(near_duplicates.groups(_articles(spark, sf_dir)), "groups")
+    members = written(article_versions.groups(_pages(spark, sf_dir)), "groups")
     return near_duplicates.pairs(members).select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"))
 
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.groups(_articles(spark, sf_dir)).select(F.col("id").alias("seq"), F.col("group").alias("first_seq"))
+    return article_versions.groups(_pages(spark, sf_dir)).select(F.col("id").alias("seq"), F.col("group").alias("first_seq"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text"))
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each passage leaked into."""
+    return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.corrections(written(language.identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), "languages"))
+
+
+def p10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line's language with its confidence."""
+    found = language.identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.line_no", F.col("x.lang").alias("lang"), F.round("x.confidence", 6).alias("confidence"))
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_clean": p4_clean,
@@ -77,6 +105,10 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_lines": p10_lines,
 }
 ORACLES: dict[str, str] = {
     "p4_found": r"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 #: Unfilled placeholders (fixed values).
 PLACEHOLDER = re.compile(
@@ -36,6 +37,8 @@ _FILLER_HINTS = ("orem", "copy goes", "eplace this", "ample paragraph", "draft l
 _RESPONSE_HINTS = ("error", "http", "page ", "found", "gateway", "unavailable", "time", "too many", "server", "template", "undefined", "nonetype", "traceback", "wrong", "database", "available", "permission", "denied", "human", "captcha", "enable", "script", "load", "expired", "redirected", "stub", "browser", "moment", "attention", "session", "again", "traffic", "upkeep", "maintenance", "front page", "gefunden", "पृष्ठ", "त्रुटि")
 
 _TOKEN = re.compile(r"[^\W_]+")
+_EXTENSION = re.compile(r"\.[a-z]{2,5}$")
+_LONG = re.compile(r"[^\W_]{3,}")
 _SLUG = re.compile(r"/([^/?#]+?)/?(?:[?#].*)?$")
 
 #: Bits of a line or headline that this module sets, above the bits of its form.
@@ -44,13 +47,13 @@ HAS_PLACEHOLDER, IS_FILLER, IS_RESPONSE, SHARES_TERM = 256, 512, 1024, 2048
 
 def terms(text: str | None) -> set[str]:
     """The distinct words of three or more characters that aren't numbers, in lower case."""
-    return {w for w in _TOKEN.findall(text.lower()) if len(w) > 2 and not w.isdigit()} if text else set()
+    return {w for w in _LONG.findall(text.lower()) if not w.isdigit()} if text else set()
 
 
 def slug_terms(url: str | None) -> set[str]:
     """The words of the last part of an address, without its extension."""
     m = _SLUG.search(url) if url else None
-    return terms(re.sub(r"\.[a-z]{2,5}$", "", m[1]).replace("-", " ").replace("_", " ")) if m else set()
+    return terms(_EXTENSION.sub("", m[1])) if m else set()
 
 
 def story(about: set[str]) -> int:
@@ -70,18 +73,38 @@ def _has(text: str, hints: tuple[str, ...]) -> bool:
     return False
 
 
+def unfilled(text: str) -> bool:
+    """Whether a text has a placeholder or filler."""
+    return bool((_has(text, _PLACEHOLDER_HINTS) and PLACEHOLDER.search(text)) or (_has(text, _FILLER_HINTS) and FILLER.search(text)))
+
+
+def responds(text: str) -> bool:
+    """Whether a text has the words of an error or block message."""
+    low = text.lower()
+    return bool((_has(low, _RESPONSE_HINTS) or low[:1].isdigit()) and RESPONSE.search(text))
+
+
 def line_bits(text: str, about: set[str], prose: bool, anchor: bool) -> int:
     """The detectors' bits of one line; ``about`` are the words of address and title."""
+    bits = _short_bits(text, prose, anchor) if len(text) <= 120 else _own_bits(text, prose, anchor)
+    if about and (not anchor or bits & IS_RESPONSE) and not about.isdisjoint(_TOKEN.findall(text.lower())):
+        bits |= SHARES_TERM
+    return bits
+
+
+@lru_cache(maxsize=65_536)
+def _short_bits(text: str, prose: bool, anchor: bool) -> int:
+    """Short lines repeat, so each worker remembers a bounded number of them."""
+    return _own_bits(text, prose, anchor)
+
+
+def _own_bits(text: str, prose: bool, anchor: bool) -> int:
     bits = HAS_PLACEHOLDER if _has(text, _PLACEHOLDER_HINTS) and PLACEHOLDER.search(text) else 0
-    low = text.lower()
     n = text.count(" ") + 1
-    if prose and n >= 8 and not _has(low, COMMON) and text.isascii() and sum(map(str.isalpha, text)) > 0.7 * len(text):
+    if prose and n >= 8 and not _has(text, COMMON) and not _has(text.lower() + " ", COMMON) and text.isascii() and sum(map(str.isalpha, text)) > 0.7 * len(text):
         bits |= IS_FILLER
     if _has(text, _FILLER_HINTS) and FILLER.search(text):
         bits |= IS_FILLER
-    if n <= 40:
-        if (_has(low, _RESPONSE_HINTS) or low[:1].isdigit()) and RESPONSE.search(text):
-            bits |= IS_RESPONSE
-        if (not anchor or bits & IS_RESPONSE) and about and not about.isdisjoint(_TOKEN.findall(low)):
-            bits |= SHARES_TERM
+    if n <= (25 if anchor else 40) and responds(text):
+        bits |= IS_RESPONSE
     return bits
