@@ -20,6 +20,7 @@ grow with the number of hosts: they are shipped to the tasks only when counted b
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +46,9 @@ INSIDE, INSIDE_CLOSED = 0.5, 0.2
 #: Levels of the profile.
 EXACT, LABEL, OPENING, SHAPE, CLOSED_SHAPE = range(5)
 
-PARSED = "id bigint, host string, no array<int>, exact array<bigint>, label array<int>, opening array<int>, shape array<int>, rest array<int>, bits array<int>, words array<int>, head int, head_print bigint, story bigint"
+PARSED = "id bigint, host string, exact array<bigint>, forms binary, head int, head_print bigint, story bigint"
+#: What ``forms`` holds of each line, as 32-bit integers, one field after the other.
+FIELDS = ("no", "label", "opening", "shape", "rest", "bits", "words", "count")
 MARKED = "id bigint, host string, drop array<int>, kept int, flags int, print bigint, head int, head_print bigint"
 #: Bits of ``flags``: the page holds no article / has a placeholder / may be a response that only evidence over hosts can tell.
 NO_ARTICLE, PLACEHOLDER, MAYBE = 1, 2, 4
@@ -80,13 +83,17 @@ class _Tokens(dict):
         return h
 
 
+def _binary(parts: list[bytes]) -> pa.Array:
+    """A binary column of the parts."""
+    return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.py_buffer(b"".join(parts))])
+
+
 def _parse(batches: Iterator[pa.RecordBatch], with_tokens: bool = False) -> Iterator[pa.RecordBatch]:
-    known = _Tokens()
+    known = _Tokens().__getitem__
     find = re.compile(r"[^\W_]+").findall
     for batch in batches:
-        tokens, counts, token_offsets = [], [], [0]
         ids, hosts, bodies, heads, urls = (batch.column(k) for k in range(5))
-        offsets, no, cols, words, hb, hp, stories = [0], [], ([], [], [], [], [], []), [], [], [], []
+        offsets, exact, forms, tokens, hb, hp, stories = [0], [], [], [], [], [], []
         for body, headline, url in zip(bodies.to_pylist(), heads.to_pylist(), urls.to_pylist(), strict=True):
             slug = R.slug_terms(url)
             title = R.terms(headline)
@@ -95,37 +102,35 @@ def _parse(batches: Iterator[pa.RecordBatch], with_tokens: bool = False) -> Iter
             stories.append(R.story(slug or title))
             hb.append(bits)
             hp.append(mark)
+            here: list[str] = []
+            rows = []
             if body:
                 for i, raw in enumerate(body.split("\n"), 1):
                     t = raw.strip()
                     if t:
-                        f = form(t)
-                        no.append(i)
-                        for c, v in zip(cols, f, strict=True):
-                            c.append(v)
-                        cols[5][-1] |= R.line_bits(t, about, bool(f[5] & PROSE), bool(f[5] & ANCHOR))
-                        words.append(t.count(" ") + 1)
+                        e, label, opening, kind, rest, b = form(t)
+                        n = 0
                         if with_tokens:
-                            here = find(t.lower())
-                            counts.append(len(here))
-                            tokens += [known[w] for w in here]
-            offsets.append(len(no))
-            token_offsets.append(len(tokens))
-        off = pa.array(offsets, pa.int32())
-        lists = [pa.ListArray.from_arrays(off, pa.array(v, pa.int64() if k == 1 else pa.int32())) for k, v in enumerate((no, *cols, words))]
-        own = {"id": ids, "host": hosts} | dict(zip(("no", "exact", "label", "opening", "shape", "rest", "bits", "words"), lists, strict=True))
+                            found = find(t.lower())
+                            n = len(found)
+                            here += found
+                        exact.append(e)
+                        rows.append((i, label, opening, kind, rest, b | R.line_bits(t, about, bool(b & PROSE), bool(b & ANCHOR)), t.count(" ") + 1, n))
+            offsets.append(len(exact))
+            forms.append(np.array(rows, np.int32).T.tobytes())
+            tokens.append(array("i", map(known, here)).tobytes())
+        own = {"id": ids, "host": hosts, "exact": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(exact, pa.int64())), "forms": _binary(forms)}
         own |= {"head": pa.array(hb, pa.int32()), "head_print": pa.array(hp, pa.int64()), "story": pa.array(stories, pa.int64())}
         if with_tokens:
-            own["counts"] = pa.ListArray.from_arrays(off, pa.array(counts, pa.int32()))
-            own["tokens"] = pa.ListArray.from_arrays(pa.array(token_offsets, pa.int32()), pa.array(tokens, pa.int32()))
+            own["tokens"] = _binary(tokens)
         yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
 
 
 def parse(df: DataFrame, with_tokens: bool = False) -> DataFrame:
-    """``df`` is (id bigint, host string, body string, headline string, url string). With tokens, every line's words as well."""
+    """``df`` is (id bigint, host string, body string, headline string, url string). With tokens, every line's words as well
+    (32-bit hashes in ``tokens``, their count by line in the forms)."""
     narrow = df.select(F.col("id").cast("bigint").alias("id"), F.coalesce("host", F.lit("")).alias("host"), "body", "headline", "url")
-    schema = PARSED + (", counts array<int>, tokens array<int>" if with_tokens else "")
-    return written(narrow.mapInArrow(lambda batches: _parse(batches, with_tokens), schema), "pages")
+    return written(narrow.mapInArrow(lambda batches: _parse(batches, with_tokens), PARSED + (", tokens binary" if with_tokens else "")), "pages")
 
 
 @dataclass
@@ -161,9 +166,14 @@ def recurring(parsed: DataFrame, most: int = BROADCAST_ROWS) -> Recurring:
     return Recurring(n, everywhere, None, written(x.groupBy("id").agg(F.collect_set("exact").alias("hits")), "hits"))
 
 
-def _pages(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
-    """The rows of a batch with their lists as Python lists."""
-    yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+def _pages(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int] | None, list[int], list[list[int]]]]:
+    """(host, hits, exact hashes, the fields of the lines' forms) of the rows of a batch."""
+    host, hits, exact, forms = (batch.column(batch.schema.get_field_index(n)) for n in ("host", "hits", "exact", "forms"))
+    values, ends = exact.flatten().to_numpy(zero_copy_only=False).tolist(), exact.offsets.to_numpy().tolist()
+    first = ends[0]
+    some_hits = hits.to_pylist() if hits.null_count < len(hits) else [None] * len(hits)
+    for k, (h, hit, blob) in enumerate(zip(host.to_pylist(), some_hits, forms.to_pylist(), strict=True)):
+        yield h, hit, values[ends[k] - first : ends[k + 1] - first], np.frombuffer(blob, np.int32).reshape(len(FIELDS), -1).tolist()
 
 
 def extent(exact: list[int], bits: list[int], recurs: set[int]) -> tuple[int, int] | None:
@@ -183,7 +193,7 @@ def _recurring_of(host: str, exact: list[int], hits: list[int] | None, everywher
 def profile(parsed: DataFrame, rec: Recurring) -> dict[tuple[int, int], float]:
     """(level, hash) -> the share of its copies that stand inside an article; only hashes with support."""
     shared = parsed.sparkSession.sparkContext.broadcast((rec.everywhere, rec.per_host))  # bounded, see the module's text
-    source = parsed.select("id", "host", "exact", "label", "opening", "shape", "bits")
+    source = parsed.select("id", "host", "exact", "forms")
     source = source.join(rec.hits, "id", "left") if rec.hits is not None else source.withColumn("hits", F.lit(None).cast("array<bigint>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +208,7 @@ def profile(parsed: DataFrame, rec: Recurring) -> dict[tuple[int, int], float]:
             c[1] += inside
 
         for batch in batches:
-            for host, exact, label, opening, shape, bits, hits in _pages(batch, ["host", "exact", "label", "opening", "shape", "bits", "hits"]):
+            for host, hits, exact, (_, label, opening, shape, _, bits, _, _) in _pages(batch):
                 recurs = _recurring_of(host, exact, hits, everywhere, per_host)
                 span = extent(exact, bits, recurs)
                 if span is None:
@@ -257,9 +267,9 @@ def decide(label: int, opening: int, shape: int, rest: int, bits: int, inside: b
     return p < INSIDE if p is not None else not inside and bool(bits & SHORT)
 
 
-def mark_page(host: str, row: tuple, hits: list[int] | None, everywhere: set[int], per_host: set | None, known: dict) -> tuple[list[int], int, int, int]:
+def mark_page(host: str, hits: list[int] | None, exact: list[int], forms: list[list[int]], everywhere: set[int], per_host: set | None, known: dict) -> tuple[list[int], int, int, int]:
     """(numbers of the lines of page matter, count of the others, flags, print of a possible response) of one page."""
-    no, exact, label, opening, shape, rest, bits, words = row
+    no, label, opening, shape, rest, bits, words, _ = forms
     recurs = _recurring_of(host, exact, hits, everywhere, per_host)
     span = extent(exact, bits, recurs)
     drop, own = [], []
@@ -287,9 +297,6 @@ def mark_page(host: str, row: tuple, hits: list[int] | None, everywhere: set[int
     return [no[i] for i in drop], len(own), flags, mark
 
 
-_PAGE = ["host", "hits", "no", "exact", "label", "opening", "shape", "rest", "bits", "words"]
-
-
 @dataclass
 class Fitted:
     """Parsed pages with their ``hits``, and what marking them needs, shipped to the tasks (bounded, see the module's text)."""
@@ -308,7 +315,7 @@ def fit(df: DataFrame, with_tokens: bool = False) -> Fitted:
 
 def mark_batch(batch: pa.RecordBatch, shared: tuple) -> list[tuple[list[int], int, int, int]]:
     """:func:`mark_page` of every row of a batch of parsed pages."""
-    return [mark_page(host, row, hits, *shared) for host, hits, *row in _pages(batch, _PAGE)]
+    return [mark_page(*page, *shared) for page in _pages(batch)]
 
 
 def mark(df: DataFrame) -> DataFrame:
