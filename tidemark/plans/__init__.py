@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("cleaning",)
+AREAS = ("cleaning", "market")
 
 
 def _all(what: str) -> dict:
@@ -26,4 +26,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p3_found"](spark, sf_dir)
+    return queries()["e2_daily"](spark, sf_dir)
