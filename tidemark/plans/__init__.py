@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("cleaning", "market")
+AREAS = ("cleaning", "market", "news", "series")
 
 
 def _all(what: str) -> dict:
