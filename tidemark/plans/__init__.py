@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("cleaning", "market", "news", "series")
+AREAS = ("cleaning", "market", "news", "series", "extension", "streams")
 
 
 def _all(what: str) -> dict:
