@@ -101,8 +101,12 @@ def relevance(headline: Column, body: Column, aliases: Column) -> Column:
     """A struct (score, matched, headline_match) of a row for its array of aliases, longest first; aliases of fewer than three
     characters don't count. The score is rounded to four places."""
     h, b = F.coalesce(headline, F.lit("")), F.coalesce(body, F.lit(""))
+    # a text that lacks an alias's first word can't match it: that is much cheaper to see than by pattern
+    seen = lambda text, a: F.contains(F.lower(text), F.lower(F.split(a, r"\s+")[0]))
+    zero = F.lit(0)
     hits = F.transform(F.filter(aliases, lambda a: F.length(a) >= 3), lambda a: F.struct(
-        a.alias("alias"), F.regexp_count(h, alias_pattern(a)).alias("h"), F.regexp_count(b, alias_pattern(a)).alias("b"), F.regexp_instr(b, alias_pattern(a)).alias("at")))
+        a.alias("alias"), F.when(seen(h, a), F.regexp_count(h, alias_pattern(a))).otherwise(zero).alias("h"),
+        F.when(seen(b, a), F.regexp_count(b, alias_pattern(a))).otherwise(zero).alias("b"), F.when(seen(b, a), F.regexp_instr(b, alias_pattern(a))).otherwise(zero).alias("at")))
     hits = F.filter(hits, lambda x: (x["h"] > 0) | (x["b"] > 0))
     matched = F.aggregate(hits, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.contains(F.lower(y), F.lower(x["alias"]))), acc).otherwise(F.concat(acc, F.array(x["alias"]))))
     nh, nb = F.aggregate(hits, F.lit(0), lambda acc, x: acc + x["h"]), F.aggregate(hits, F.lit(0), lambda acc, x: acc + x["b"])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +16,26 @@ NEWS_ITEM = (
 )
 
 
+def _index_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for path in b["path"]:
+            x = pd.read_csv(path).rename(columns=str.lower)
+            x["date"] = pd.to_datetime(x["date"].astype(str).str[:10]).dt.date
+            x["symbol"], x["seq"] = Path(path).stem.replace("_idx_", "^"), range(len(x))
+            yield x.reindex(columns=["symbol", "date", "close", "volume", "seq"])
+
+
 def price_files(spark: SparkSession, folder: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """CSV files ``<folder>/<symbol>.csv`` with date, close and perhaps volume, whatever the header's case; ``_idx_`` in a file name
     stands for ``^``. Both ends of the window count. ``seq`` is the order within a file."""
     raw = spark.read.option("header", True).csv(f"{folder}/*.csv", enforceSchema=False)
     named = {c.lower(): c for c in raw.columns}
     volume = F.col(named["volume"]).cast("double") if "volume" in named else F.lit(None).cast("double")
-    symbol = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1), "_idx_", "^")
+    symbol = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
     x = raw.select(symbol.alias("symbol"), F.to_date(F.substring(named["date"], 1, 10)).alias("date"), F.col(named["close"]).cast("double").alias("close"), volume.alias("volume"), F.monotonically_increasing_id().alias("seq"))
+    hidden = [(str(p),) for p in sorted(Path(folder).glob("_idx_*.csv"))]  # Spark's readers skip names with a leading underscore
+    if hidden:
+        x = x.unionByName(spark.createDataFrame(hidden, "path string").mapInPandas(_index_files, "symbol string, date date, close double, volume double, seq bigint"))
     if start:
         x = x.where(F.col("date") >= F.lit(start).cast("date"))
     return x.where(F.col("date") <= F.lit(end).cast("date")) if end else x
