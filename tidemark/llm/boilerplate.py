@@ -38,7 +38,8 @@ from tidemark.session import BROADCAST_ROWS, written
 MIN_ROWS, HOST_SHARE, ALL_SHARE = 3, 0.01, 0.001
 #: Copies of one story repeat its lines as well. A subtree recurs only over different stories: at least MIN_ROWS, and this share
 #: of its rows up to a number that versions of one story don't reach; over all hosts it takes more.
-STORIES_HOST, STORIES_ALL = (0.2, 40), (0.3, 100)
+#: Where headlines have few words, stories run together: no more than this share of the stories known is asked for.
+STORIES_HOST, STORIES_ALL, STORIES_KNOWN = (0.2, 40), (0.3, 100), 0.3
 #: Least share of all rows, and least rows, for a coarser hash to decide.
 SUPPORT_SHARE, SUPPORT_ROWS = 0.0005, 5
 #: A hash whose copies stand inside articles at least this often is article; closed lines need far stronger evidence.
@@ -144,21 +145,23 @@ class Recurring:
 
 
 def recurring(parsed: DataFrame, most: int = BROADCAST_ROWS) -> Recurring:
-    sizes = parsed.groupBy("host").agg(F.count("*").alias("rows"))
-    n = parsed.count()
+    told = written(parsed.groupBy("host", "story").agg(F.count("*").alias("k")), "stories")
+    sizes = told.groupBy("host").agg(F.sum("k").alias("rows"), F.count("*").alias("all_stories"))
+    n, all_stories = told.agg(F.sum("k"), F.countDistinct("story")).first()
+    n = n or 0
     each = parsed.select("host", "story", F.explode(F.array_distinct("exact")).alias("exact"))
 
     def grouped(*by: str) -> DataFrame:
         """Rows and different stories by subtree; what stands once only is left out, it recurs nowhere."""
         return each.groupBy(*by, "story").agg(F.count("*").alias("k")).groupBy(*by).agg(F.sum("k").alias("k"), F.count("*").alias("stories")).where("k > 1")
 
-    def spread(share: float, cap: int) -> Column:
-        return F.col("stories") >= F.greatest(F.lit(float(MIN_ROWS)), F.least(share * F.col("k"), F.lit(float(cap))))
+    def spread(share: float, cap: int, known: Column) -> Column:
+        return F.col("stories") >= F.greatest(F.lit(float(MIN_ROWS)), F.least(share * F.col("k"), F.lit(float(cap)), STORIES_KNOWN * known))
 
-    over = grouped("exact").where((F.col("k") >= ALL_SHARE * n) & spread(*STORIES_ALL))
+    over = grouped("exact").where((F.col("k") >= ALL_SHARE * n) & spread(*STORIES_ALL, F.lit(all_stories)))
     everywhere = {r[0] for r in over.select("exact").collect()}  # at most lines-per-row / ALL_SHARE
-    hosts = grouped("host", "exact").where((F.col("k") >= MIN_ROWS) & spread(*STORIES_HOST))
-    hosts = hosts.join(F.broadcast(sizes) if sizes.limit(most + 1).count() <= most else sizes, "host").where(F.col("k") >= HOST_SHARE * F.col("rows")).select("host", "exact")
+    hosts = grouped("host", "exact").where(F.col("k") >= MIN_ROWS).join(F.broadcast(sizes) if sizes.limit(most + 1).count() <= most else sizes, "host")
+    hosts = hosts.where((F.col("k") >= HOST_SHARE * F.col("rows")) & spread(*STORIES_HOST, F.col("all_stories"))).select("host", "exact")
     hosts = written(hosts, "recurring")
     if hosts.limit(most + 1).count() <= most:
         return Recurring(n, everywhere, {(r[0], r[1]) for r in hosts.collect()}, None)
