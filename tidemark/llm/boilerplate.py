@@ -101,6 +101,8 @@ def _parse(batches: Iterator[pa.RecordBatch], with_tokens: bool = False) -> Iter
             bits, mark = headline_bits(headline, slug, title)
             about = {w for w in slug | title if len(w) > 4}
             stories.append(R.story(slug or title))
+            if body and bits and not bits & R.SHARES_TERM and any(len(w) > 4 and w in low for low in (body.lower(),) for w in title):
+                bits |= R.IN_BODY
             hb.append(bits)
             hp.append(mark)
             here: list[str] = []

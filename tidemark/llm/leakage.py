@@ -162,9 +162,9 @@ def aligned(passage: int, low: int, high: int, found: tuple[np.ndarray, np.ndarr
         chains.append(best)
         begin, matched, parts = best
         end = place + n
-        # words of the passage that lie in the stretch whole; a changed word at an end hides one of them
+        # words of the passage that lie in the stretch whole
         inside = int(np.searchsorted(starts, end, "right")) - 1 - int(np.searchsorted(starts, begin))
-        if inside >= min(STRETCH, words) - 1 and matched >= MATCHED * (end - begin) and (parts == 1 or inside >= FAR * parts):
+        if inside >= min(STRETCH, words - 1) and matched >= MATCHED * (end - begin) and (parts == 1 or inside >= FAR * parts):
             return True
     return False
 

@@ -42,7 +42,7 @@ _LONG = re.compile(r"[^\W_]{3,}")
 _SLUG = re.compile(r"/([^/?#]+?)/?(?:[?#].*)?$")
 
 #: Bits of a line or headline that this module sets, above the bits of its form.
-HAS_PLACEHOLDER, IS_FILLER, IS_RESPONSE, SHARES_TERM = 256, 512, 1024, 2048
+HAS_PLACEHOLDER, IS_FILLER, IS_RESPONSE, SHARES_TERM, IN_BODY = 256, 512, 1024, 2048, 4096
 
 
 def terms(text: str | None) -> set[str]:

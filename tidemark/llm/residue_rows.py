@@ -28,7 +28,7 @@ def found(df: DataFrame) -> DataFrame:
     has = lambda c, bit: F.col(c).bitwiseAND(bit) != 0
     body = x.where(F.col("no_article") | has("flags", B.PLACEHOLDER)).select("id", F.lit("body").alias("field"))
     alone = ~has("head", R.SHARES_TERM)
-    mismatched = x.where(alone & has("head", SHORT) & (F.col("head_print") != 0))
+    mismatched = x.where(alone & has("head", SHORT) & ~has("head", R.IN_BODY) & (F.col("head_print") != 0))
     often = mismatched.groupBy("head_print").agg(F.count("*").alias("n")).where(F.col("n") >= HEADLINE_ROWS).select("head_print")
     by_print = mismatched.join(often, "head_print", "left_semi").select("id")
     by_words = x.where(has("head", R.HAS_PLACEHOLDER) | (alone & has("head", R.IS_RESPONSE))).select("id")
