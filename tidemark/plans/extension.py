@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.functions import fits
 from tidemark.plans import market as P
 from tidemark.session import table
 
@@ -55,5 +58,21 @@ def _run(select: str, spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("WITH ab AS (SELECT * FROM {frame}), news AS (SELECT * FROM {items}) " + select, frame=P._abnormal(spark, d), items=table(spark, d, "news"))
 
 
-QUERIES = {name: partial(_run, select) for name, select in SELECTS.items()}
+def b10_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Conditional variance, regimes and the most likely break of each symbol's returns."""
+    return fits.fitted(P._aligned(spark, d))
+
+
+def b2_distance_to_default(spark: SparkSession, d: str) -> DataFrame:
+    """Distance to default at a debt of 40 % of each symbol's last close, from its yearly volatility."""
+    x = P._aligned(spark, d).groupBy("symbol").agg(F.max_by("close", "date").alias("equity"), (F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("volatility")).where("volatility > 0 and equity > 0")
+
+    @F.pandas_udf("double")
+    def distance(equity: pd.Series, volatility: pd.Series) -> pd.Series:
+        return pd.Series([fits.merton(e, v, 0.4 * e)[2] for e, v in zip(equity, volatility, strict=True)])
+
+    return x.select("symbol", F.round(distance("equity", "volatility"), 5).alias("distance"))
+
+
+QUERIES = {name: partial(_run, select) for name, select in SELECTS.items()} | {"b2_distance_to_default": b2_distance_to_default, "b10_fits": b10_fits}
 ORACLES = {name: f"WITH {P._AB} {select}" for name, select in SELECTS.items()}
