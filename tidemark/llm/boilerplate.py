@@ -44,12 +44,14 @@ STORIES_HOST, STORIES_ALL, STORIES_KNOWN = (0.2, 40), (0.3, 100), 0.3
 SUPPORT_SHARE, SUPPORT_ROWS = 0.0005, 5
 #: A hash whose copies stand inside articles at least this often is article; closed lines need far stronger evidence.
 INSIDE, INSIDE_CLOSED = 0.5, 0.2
+#: So many times as many article paragraphs as other lines make an opening one of articles.
+PROSE_TIMES = 5
 #: Levels of the profile.
-EXACT, LABEL, OPENING, SHAPE, CLOSED_SHAPE = range(5)
+EXACT, LABEL, OPENING, SHAPE, CLOSED_SHAPE, COARSE = range(6)
 
 PARSED = "id bigint, host string, exact array<bigint>, forms binary, head int, head_print bigint, story bigint"
 #: What ``forms`` holds of each line, as 32-bit integers, one field after the other.
-FIELDS = ("no", "label", "opening", "shape", "rest", "bits", "words", "count")
+FIELDS = ("no", "label", "opening", "shape", "rest", "coarse", "bits", "words", "count")
 MARKED = "id bigint, host string, drop array<int>, kept int, flags int, print bigint, head int, head_print bigint"
 #: Bits of ``flags``: the page holds no article / has a placeholder / may be a response that only evidence over hosts can tell.
 NO_ARTICLE, PLACEHOLDER, MAYBE = 1, 2, 4
@@ -111,14 +113,14 @@ def _parse(batches: Iterator[pa.RecordBatch], with_tokens: bool = False) -> Iter
                 for i, raw in enumerate(body.split("\n"), 1):
                     t = raw.strip()
                     if t:
-                        e, label, opening, kind, rest, b = form(t)
+                        e, label, opening, kind, rest, rough, b = form(t)
                         n = 0
                         if with_tokens:
                             found = find(t.lower())
                             n = len(found)
                             here += found
                         exact.append(e)
-                        rows.append((i, label, opening, kind, rest, b | R.line_bits(t, about, bool(b & PROSE), bool(b & ANCHOR)), t.count(" ") + 1, n))
+                        rows.append((i, label, opening, kind, rest, rough, b | R.line_bits(t, about, bool(b & PROSE), bool(b & ANCHOR)), t.count(" ") + 1, n))
             offsets.append(len(exact))
             forms.append(np.array(rows, np.int32).T.tobytes())
             tokens.append(array("i", map(known, here)).tobytes())
@@ -205,15 +207,18 @@ def profile(parsed: DataFrame, rec: Recurring) -> dict[tuple[int, int], float]:
         everywhere, per_host = shared.value
         seen: dict[tuple[int, int], list[int]] = {}
 
-        def add(level: int, h: int, inside: bool) -> None:
+        def add(level: int, h: int, inside: bool, prose: bool = False) -> None:
             c = seen.get((level, h))
             if c is None:
-                c = seen[level, h] = [0, 0]
-            c[0] += 1
-            c[1] += inside
+                c = seen[level, h] = [0, 0, 0]
+            if prose:
+                c[2] += 1
+            else:
+                c[0] += 1
+                c[1] += inside
 
         for batch in batches:
-            for host, hits, exact, (_, label, opening, shape, _, bits, _, _) in _pages(batch):
+            for host, hits, exact, (_, label, opening, shape, _, rough, bits, _, _) in _pages(batch):
                 recurs = _recurring_of(host, exact, hits, everywhere, per_host)
                 span = extent(exact, bits, recurs)
                 if span is None:
@@ -227,7 +232,7 @@ def profile(parsed: DataFrame, rec: Recurring) -> dict[tuple[int, int], float]:
                     if label[i] and not b & NUMERIC:
                         add(LABEL, label[i], inside)
                     if b & ANCHOR:
-                        add(OPENING, opening[i], inside)
+                        add(OPENING, opening[i], inside, prose=True)
                         continue
                     if b & PROSE:
                         if shape[i]:
@@ -237,19 +242,23 @@ def profile(parsed: DataFrame, rec: Recurring) -> dict[tuple[int, int], float]:
                         add(OPENING, opening[i], inside)
                     if shape[i]:
                         add(SHAPE, shape[i], inside)
+                    if rough[i]:
+                        add(COARSE, rough[i], inside)
         if seen:
             keys = list(seen)
             yield pa.RecordBatch.from_pydict({
                 "level": pa.array([k[0] for k in keys], pa.int32()), "h": pa.array([k[1] for k in keys], pa.int64()),
-                "n": pa.array([seen[k][0] for k in keys], pa.int64()), "inside": pa.array([seen[k][1] for k in keys], pa.int64()),
+                "n": pa.array([seen[k][0] for k in keys], pa.int64()), "inside": pa.array([seen[k][1] for k in keys], pa.int64()), "prose": pa.array([seen[k][2] for k in keys], pa.int64()),
             })
 
-    found = source.mapInArrow(run, "level int, h bigint, n bigint, inside bigint").groupBy("level", "h").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
-    found = found.where((F.col("level") == EXACT) | (F.col("n") >= max(SUPPORT_ROWS, SUPPORT_SHARE * rec.rows)))
-    return {(r[0], r[1]): r[3] / r[2] for r in found.collect()}  # at most lines-per-row / SUPPORT_SHARE, and the recurring ones
+    found = source.mapInArrow(run, "level int, h bigint, n bigint, inside bigint, prose bigint").groupBy("level", "h").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"), F.sum("prose").alias("prose"))
+    found = found.where((F.col("level") == EXACT) | (F.col("n") + F.col("prose") >= max(SUPPORT_ROWS, SUPPORT_SHARE * rec.rows)))
+    # an opening that article paragraphs have far more often than other lines is one of a cut paragraph
+    share = F.when(F.col("prose") >= PROSE_TIMES * F.col("n"), 1.0).otherwise(F.col("inside") / F.col("n"))
+    return {(r[0], r[1]): r[2] for r in found.select("level", "h", share).collect()}  # at most lines-per-row / SUPPORT_SHARE, and the recurring ones
 
 
-def decide(label: int, opening: int, shape: int, rest: int, bits: int, inside: bool, known: dict) -> bool:
+def decide(label: int, opening: int, shape: int, rest: int, rough: int, bits: int, inside: bool, known: dict) -> bool:
     """Whether a line that doesn't recur exactly is page matter."""
     p = known.get((LABEL, label)) if label and not bits & NUMERIC else None
     if p is not None:
@@ -269,12 +278,14 @@ def decide(label: int, opening: int, shape: int, rest: int, bits: int, inside: b
     p = known.get((SHAPE, shape)) if shape else None
     if p is None and rest:
         p = known.get((SHAPE, rest))
+    if p is None and rough:
+        p = known.get((COARSE, rough))
     return p < INSIDE if p is not None else not inside and bool(bits & SHORT)
 
 
 def mark_page(host: str, hits: list[int] | None, exact: list[int], forms: list[list[int]], everywhere: set[int], per_host: set | None, known: dict) -> tuple[list[int], int, int, int]:
     """(numbers of the lines of page matter, count of the others, flags, print of a possible response) of one page."""
-    no, label, opening, shape, rest, bits, words, _ = forms
+    no, label, opening, shape, rest, rough, bits, words, _ = forms
     recurs = _recurring_of(host, exact, hits, everywhere, per_host)
     span = extent(exact, bits, recurs)
     drop, own = [], []
@@ -282,7 +293,7 @@ def mark_page(host: str, hits: list[int] | None, exact: list[int], forms: list[l
         if exact[i] in recurs:
             out = known.get((EXACT, exact[i]), float(bool(b & ANCHOR))) < INSIDE
         else:
-            out = decide(label[i], opening[i], shape[i], rest[i], b, span is not None and span[0] <= i <= span[1], known)
+            out = decide(label[i], opening[i], shape[i], rest[i], rough[i], b, span is not None and span[0] <= i <= span[1], known)
         if b & (R.IS_RESPONSE | R.IS_FILLER) and (exact[i] not in recurs or b & R.IS_FILLER):
             out = False
         (drop if out else own).append(i)

@@ -28,6 +28,8 @@ _LABEL = re.compile(r"^([^\d:|»›>/]{2,40}?)\s*(?::|\||»|›|>|&raquo;|\s/|\s
 _BULLET = re.compile(r"^(?:[-*•–·▪>]|\(?\d{1,3}[.)])\s+")
 _WORD = re.compile(r"[^\W\d_][\w'’&-]*|\d[\d.,:]*|[^\w\s]")
 _NUMERIC = re.compile(r"^[\W\d_]*(?:per cent)?[\W\d_]*$")
+_BULLET_SHAPE = re.compile(r"^(?:[-*•–·▪>]|0[.)])")
+_RUNS = str.maketrans("abcde", "wwwww")
 #: How many characters at the end of a line are looked at for marks.
 _TAIL = 60
 
@@ -82,18 +84,24 @@ def shape(text: str) -> str:
     return "".join(out)
 
 
-def form(text: str) -> tuple[int, int, int, int, int, int]:
-    """(exact, label, opening, shape, shape of the rest, form bits) of one stripped line; 0 where a level is absent."""
+def coarse(shape_: str) -> int:
+    """The hash of a shape without bullets and run lengths; 0 for shapes without a sign, which say too little."""
+    plain = _BULLET_SHAPE.sub("", shape_).translate(_RUNS)
+    return small("c" + plain) if plain.strip("Cw0") else 0
+
+
+def form(text: str) -> tuple[int, int, int, int, int, int, int]:
+    """(exact, label, opening, shape, shape of the rest, coarse shape, form bits) of one stripped line; 0 where a level is absent."""
     return _short_form(text) if len(text) <= 120 else _form(text)
 
 
 @lru_cache(maxsize=65_536)
-def _short_form(text: str) -> tuple[int, int, int, int, int, int]:
+def _short_form(text: str) -> tuple[int, int, int, int, int, int, int]:
     """Short lines repeat, so each worker remembers a bounded number of them."""
     return _form(text)
 
 
-def _form(text: str) -> tuple[int, int, int, int, int, int]:
+def _form(text: str) -> tuple[int, int, int, int, int, int, int]:
     k = key(text)
     exact = digest(k) if k else digest("\x00" + text)
     tagged = "<" in text and bool(_TAG.search(text))
@@ -111,17 +119,18 @@ def _form(text: str) -> tuple[int, int, int, int, int, int]:
     if n < 5:
         bits |= SHORT
     if bits & ANCHOR or n > 40:  # long prose is decided by what it says, not by its form
-        return exact, 0, _opening(plain), 0, 0, bits
+        return exact, 0, _opening(plain), 0, 0, 0, bits
     m = _LABEL.match(plain)
     label = small("l" + key(m[1])) if m and len(m[1]) > 1 else 0
     if m and _NUMERIC.match(m[2]):
         bits |= NUMERIC
     bullet = _BULLET.match(plain)
-    whole = small(shape(plain))
+    kind = shape(plain)
+    whole, rough = small(kind), coarse(kind)
     if bullet:
-        return exact, label, 0, whole, small(shape(plain[bullet.end() :])), bits
+        return exact, label, 0, whole, small(shape(plain[bullet.end() :])), rough, bits
     rest = small(shape(m[2])) if m and not bits & NUMERIC else 0
-    return exact, label, _opening(plain), whole, rest, bits
+    return exact, label, _opening(plain), whole, rest, rough, bits
 
 
 def _opening(text: str) -> int:

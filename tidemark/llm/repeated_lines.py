@@ -4,7 +4,7 @@ Lines are compared by their letters in order, case dropped; lines without letter
 that hold it are counted, and its frequency inside the source is compared by log-likelihood ratio (G squared, one degree of
 freedom) with its frequency outside. What every source prints has no excess over the outside frequency of the same line, so the
 frequency inside is compared as well with what an ordinary line has outside (all line occurrences there, spread over all
-different lines); the larger statistic counts. Over all (source, line) tests the false-discovery rate is controlled by
+different lines); the larger statistic counts. Over the (source, line) tests of MIN_ROWS rows the false-discovery rate is controlled by
 Benjamini-Hochberg on a histogram of the statistic: its edges are logarithmic, so the histogram is small at any size, and lower
 edges are used, so the control is on the safe side. Significant lines that also stand in MIN_ROWS rows and in SHARE of the
 source's rows are the repeated ones; they are anti-joined and the rest is reassembled by position.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import broadcast_if_small, written
 
-MIN_ROWS, SHARE, FALSE_DISCOVERY = 3, 0.05, 0.01
+MIN_ROWS, SHARE, FALSE_DISCOVERY = 3, 0.05, 0.05
 #: Histogram bins a unit of ln(1 + statistic).
 _BINS = 100
 
@@ -39,15 +39,15 @@ def _likelihood(k: Column, n: Column, p: Column) -> Column:
 
 
 def scored(df: DataFrame) -> DataFrame:
-    """(source, h, k, rows, statistic) of every line of a source that MIN_ROWS rows hold, with ``tests``, the count of all lines."""
+    """(source, h, k, rows, statistic) of every line of a source that MIN_ROWS rows hold, with ``tests``, the count of them."""
     text = df.where("source is not null").select("source", _hashes(F.col("text")).alias("hs"))
     counts = text.select("source", F.explode(F.array_distinct(F.filter("hs", lambda h: h.isNotNull()))).alias("h")).groupBy("source", "h").agg(F.count("*").alias("k"))
     counts = written(counts, "line-counts")
     rows = written(df.where("source is not null").groupBy("source").agg(F.count("*").alias("rows")), "source-rows")
     total = rows.agg(F.sum("rows")).first()[0] or 0
     lines, different = counts.agg(F.sum("k"), F.countDistinct("h")).first()
-    tests = counts.count()
     often = counts.where(F.col("k") >= MIN_ROWS)
+    tests = often.count()  # what fewer rows hold is no hypothesis
     outside = counts.join(often.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.sum("k").alias("all"))
     x = often.join(outside, "h").join(broadcast_if_small(rows), "source")
     k1, n1 = F.col("k").cast("double"), F.col("rows").cast("double")
