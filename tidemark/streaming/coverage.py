@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,6 +44,7 @@ def running_counts(stream: DataFrame) -> DataFrame:
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and give its output as a table."""
+    name = f"{name}_{uuid.uuid4().hex}"  # a name of its own for every run
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
