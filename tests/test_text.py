@@ -70,3 +70,14 @@ def test_prefilter_needs_two_words(spark):
     rows = spark.createDataFrame([("s", "x/tata-steel"), ("s", "x/tata-consumer-gain"), ("t", "x/none")], "source string, url string").withColumn("groups", F.array(F.array(F.lit("tata"), F.lit("consumer"))))
     assert {r.url for r in candidates.prefilter(rows, "groups").collect()} == {"x/tata-consumer-gain"}
     assert candidates.prefilter(rows, "groups", skip=1).count() == 2
+
+
+def test_staleness_in_chunks_equals_one_window(spark):
+    rnd = __import__("random").Random(6)
+    words = "gain fall plant court order profit bond bank steel port".split()
+    rows = [("AB"[i % 7 == 0], i, f"2024-01-{rnd.randrange(1, 29):02d} {rnd.randrange(24):02d}:00:00", None, " ".join(rnd.choices(words, k=5))) for i in range(300)]
+    news = spark.createDataFrame(rows, "symbol string, seq bigint, t string, duplicate_of string, headline string").withColumn("published_at", F.col("t").cast("timestamp"))
+    whole = {(r.symbol, r.seq): r.staleness for r in similarity.staleness(news, size=10**9).collect()}
+    for size in (1, 7, 40):
+        got = {(r.symbol, r.seq): r.staleness for r in similarity.staleness(news, size=size).collect()}
+        assert got.keys() == whole.keys() and all((a is None) == (whole[k] is None) and (a is None or math.isclose(a, whole[k], abs_tol=1e-12)) for k, a in got.items())

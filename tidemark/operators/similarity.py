@@ -43,13 +43,32 @@ def deduplicated(news: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return x.groupBy("symbol", "day").applyInPandas(block, "symbol string, seq bigint, survivor bigint")
 
 
-def staleness(news: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
-    """(symbol, seq, staleness): the mean similarity of each dated item that is no duplicate to the ``lookback`` ones before it."""
-    x = prepared(news.where("symbol is not null and published_at is not null and duplicate_of is null")).select("symbol", "seq", "published_at", "tokens", "bigrams")
-    w = Window.partitionBy("symbol").orderBy("published_at", "seq").rowsBetween(-lookback, -1)
-    x = x.withColumn("before", F.collect_list(F.struct("tokens", "bigrams")).over(w))
+#: Rows of a symbol that one window holds at most, up to a day's.
+CHUNK = 5_000
+
+
+def _chunks(dated: DataFrame, lookback: int, size: int) -> DataFrame:
+    """(symbol, day, chunk, own): which chunks each day's rows go to. A chunk is a run of days of about ``size`` rows; it also gets
+    the days before it that hold its first rows' ``lookback`` predecessors. Only distinct days are sorted here."""
+    days = dated.groupBy("symbol", "day").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("symbol").orderBy("day")
+    days = days.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("chunk", F.floor(F.col("before") / size))
+    first = days.groupBy("symbol", "chunk").agg(F.min("before").alias("chunk_before"))
+    own = days.select("symbol", "day", "chunk", F.lit(True).alias("own"))
+    # a day is carried into the next chunks while its last row is among the ``lookback`` before them
+    carried = days.select("symbol", "day", "chunk", "before", "n").join(first.withColumnRenamed("chunk", "later"), "symbol")
+    carried = carried.where((F.col("later") > F.col("chunk")) & (F.col("before") + F.col("n") > F.col("chunk_before") - lookback))
+    return own.unionByName(carried.select("symbol", "day", F.col("later").alias("chunk"), F.lit(False).alias("own")))
+
+
+def staleness(news: DataFrame, lookback: int = LOOKBACK, size: int = CHUNK) -> DataFrame:
+    """(symbol, seq, staleness): the mean similarity of each dated item that is no duplicate to the ``lookback`` ones before it.
+
+    A symbol's items are windowed in chunks of days, so a symbol with most of the rows is many tasks."""
+    x = prepared(news.where("symbol is not null and published_at is not null and duplicate_of is null")).select("symbol", "seq", "published_at", F.to_date("published_at").alias("day"), "tokens", "bigrams")
+    x = x.join(_chunks(x.select("symbol", "day"), lookback, size), ["symbol", "day"])
+    w = Window.partitionBy("symbol", "chunk").orderBy("published_at", "seq").rowsBetween(-lookback, -1)
+    x = x.withColumn("before", F.collect_list(F.struct("tokens", "bigrams")).over(w)).where("own")
     each = F.transform("before", lambda p: T.similarity(F.col("tokens"), p["tokens"], F.col("bigrams"), p["bigrams"]))
     mean = F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v) / F.size("before")
     return x.select("symbol", "seq", F.when(F.size("before") > 0, mean).alias("staleness"))
-
-
