@@ -79,6 +79,9 @@ def test_permutation_matches_loop(spark, series):
     row, car = market.permutation(ab, flagged, cars).first(), cars.first().car
     rows = [(r.date, r.ar) for r in ab.orderBy("date").collect() if r.ar is not None]
     sums = [sum(a for _, a in rows[i : i + 5]) for i in range(len(rows) - 4) if days[170] not in [d for d, _ in rows[i : i + 5]]]
+    drawn = market.permutation(ab, flagged, cars, most=50).first()
+    picked = [sums[i] for i in np.random.default_rng(42).choice(len(sums), size=50, replace=False)]
+    assert drawn.windows == 50 and math.isclose(drawn.p_value, sum(abs(s) >= abs(car) - 1e-12 for s in picked) / 50, abs_tol=1e-9)
     assert row.windows == len(sums) and math.isclose(row.p_value, sum(abs(s) >= abs(car) - 1e-12 for s in sums) / len(sums), abs_tol=1e-9)
 
 

@@ -6,6 +6,7 @@ symbol and are joined by the planner's choice. Missing numbers are null, never N
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,18 +112,33 @@ def anchor(events: DataFrame, sessions: DataFrame) -> DataFrame:
     return x.where("side = 0 and anchor is not null").select("symbol", "day", "anchor").distinct()
 
 
-def permutation(abnormal_: DataFrame, flagged: DataFrame, cars: DataFrame, least: int = 10) -> DataFrame:
+def permutation(abnormal_: DataFrame, flagged: DataFrame, cars: DataFrame, least: int = 10, most: int = 2000, seed: int = 42) -> DataFrame:
     """The share of all same-length windows of non-null abnormal returns, free of flagged days, whose sum is at least as large as
-    the real one. (symbol, day, windows, p_value), p null where fewer than ``least`` windows are left."""
+    the real one. (symbol, day, windows, p_value), p null where fewer than ``least`` windows are left. Of more than ``most``
+    windows that many are drawn without replacement, by a seeded generator over their order in time."""
     marks = flagged.select("symbol", F.col("day").alias("date"), F.lit(1).alias("hit")).distinct()
     rows = abnormal_.where("ar is not null").select("symbol", "date", "ar").join(marks, ["symbol", "date"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     lengths = cars.select("days").distinct()  # at most the window's length
     out = None
     for n in sorted(r[0] for r in lengths.collect()):
         w = by_day().rowsBetween(0, n - 1)
-        one = rows.select("symbol", F.sum("ar").over(w).alias("s"), F.max("hit").over(w).alias("touched"), F.count("*").over(w).alias("k"), F.lit(n).cast("bigint").alias("days")).where(f"k = {n} and touched = 0")
+        one = rows.select("symbol", "date", F.sum("ar").over(w).alias("s"), F.max("hit").over(w).alias("touched"), F.count("*").over(w).alias("k"), F.lit(n).cast("bigint").alias("days")).where(f"k = {n} and touched = 0")
         out = one if out is None else out.unionByName(one)
+    if out is not None:
+        out = _drawn(out, most, seed)
     if out is None:
         return cars.select("symbol", "day", F.lit(0).cast("bigint").alias("windows"), F.lit(None).cast("double").alias("p_value"))
     x = cars.join(out, ["symbol", "days"], "left").groupBy("symbol", "day").agg(F.count("s").alias("windows"), F.avg(F.when(F.abs("s") >= F.abs("car") - 1e-12, 1.0).when(F.col("s").isNotNull(), 0.0)).alias("share"))
     return x.select("symbol", "day", "windows", F.when(F.col("windows") >= least, F.col("share")).alias("p_value"))
+
+
+def _drawn(windows: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` windows of each symbol and length. The positions depend on the count of windows only."""
+    keys = ["symbol", "days"]
+    x = windows.withColumn("m", F.count("*").over(Window.partitionBy(*keys))).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("date")) - 1)
+    sizes = [r[0] for r in x.where(F.col("m") > most).select("m").distinct().collect()]  # at most one a series length
+    if not sizes:
+        return x.drop("m", "i", "date")
+    picks = [(m, int(i)) for m in sizes for i in np.random.default_rng(seed).choice(m, size=most, replace=False)]
+    chosen = windows.sparkSession.createDataFrame(picks, "m bigint, i int")
+    return x.where(F.col("m") <= most).unionByName(x.where(F.col("m") > most).join(F.broadcast(chosen), ["m", "i"])).drop("m", "i", "date")
