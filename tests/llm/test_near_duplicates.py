@@ -89,3 +89,17 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (101, 103)]
     got = {r.id: r.component for r in N.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in (100, 101, 102, 103)}
+
+
+@pytest.mark.parametrize("edits", [3, 4, 5])
+def test_hot_group(spark, edits):
+    """A third of all rows are versions of one story: what they share is no common language."""
+    rnd = random.Random(5)
+    base = rnd.choices(VOCAB, k=90)
+    rows = [(i, " ".join(rnd.choices(VOCAB, k=90))) for i in range(2000)]
+    for i in range(2000, 3000):
+        words = list(base)
+        for at in rnd.sample(range(90), edits):
+            words[at] = rnd.choice(VOCAB)
+        rows.append((i, " ".join(words)))
+    assert groups(spark, rows) == {frozenset(range(2000, 3000))}

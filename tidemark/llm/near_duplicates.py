@@ -3,8 +3,8 @@
 Stages
 1. ``shingled``    every text becomes the set of its word sequences (WORDS words, lower case, no punctuation), hashed to 32 bits,
                    and a print of the whole sequence. Texts with equal prints collapse to their least id.
-2. ``frequent``    how many texts hold each shingle, counted over all texts in a fixed number of buckets: a bitmap of the buckets
-                   that a share of the texts hits. Its size never grows.
+2. ``frequent``    how many stories hold each shingle, counted in a fixed number of buckets over a sample of bounded size whose
+                   versions of one story count once: a bitmap of the buckets that a share of the texts hits. Its size never grows.
 3. ``posted``      a signature of COORDINATES coordinates, each HASHES minimum hashes over the shingles that aren't frequent (over all
                    of them where fewer than LEAST are left); a text is posted under each coordinate-value pair. Values that only
                    one text has are skipped.
@@ -41,6 +41,8 @@ COORDINATES, HASHES, MIN_COLLISIONS = 20, 3, 1
 #: Buckets of the frequency sketch, and the share of texts above which a bucket's shingles are frequent.
 BUCKETS, FREQUENT = 1 << 18, 0.0025
 LEAST, LONG, MARGIN = 8, 200, 0.02
+#: Bounds of the sample in which stories are counted, and of the rounds in which its texts are put together.
+SAMPLE_TEXTS, SAMPLE_BYTES, ROUNDS = 20_000, 32_000_000, 12
 
 _WORD = re.compile(r"[^\W_]+")
 _RANDOM = np.random.default_rng(20240229)
@@ -122,27 +124,77 @@ def _flat(batch: pa.RecordBatch, name: str, kind: type = np.uint32) -> tuple[np.
     return np.frombuffer(b"".join(parts), kind), np.array([len(p) for p in parts], np.int64) // np.dtype(kind).itemsize
 
 
-def frequent(grams: DataFrame, share: float = FREQUENT) -> np.ndarray:
-    """Which of BUCKETS buckets more than ``share`` of all texts hit, as booleans."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            counts += np.bincount(_flat(batch, "grams")[0] & np.uint32(BUCKETS - 1), minlength=BUCKETS)
-        at = np.flatnonzero(counts)
-        for k in range(0, len(at), 50_000):
-            part = at[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], names=["bucket", "n"])
-
-    sums = grams.select("grams").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    n = grams.count()
-    out = np.zeros(BUCKETS, bool)
-    out[[r[0] for r in sums.where((F.col("bucket") >= 0) & (F.col("n") > share * n)).select("bucket").collect()]] = True  # at most BUCKETS
+def _roots(parent: np.ndarray) -> np.ndarray:
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return parent
+
+
+def _near(values: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the texts ``x`` are similar to those of ``y``, by place."""
+    starts, out = np.cumsum(counts) - counts, np.zeros(len(x), bool)
+    for k in range(0, len(x), 5_000):
+        i, j = x[k : k + 5_000], y[k : k + 5_000]
+        rows, keys = np.arange(len(i), dtype=np.uint64) << np.uint64(32), []
+        for t in (i, j):
+            n = counts[t]
+            keys.append(np.repeat(rows, n) | values[np.repeat(starts[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        both = np.sort(np.concatenate(keys))
+        shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(i))
+        out[k : k + 5_000] = shared >= threshold * (counts[i] + counts[j] - shared)
     return out
 
 
+def stories(values: np.ndarray, counts: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The story of each text, named by one of its texts: texts meet centres of the lists they share, over all of their shingles, in
+    rounds of other centres until hardly any are joined. It serves the counting only, so a story may stay in a few pieces."""
+    n = len(counts)
+    signs = signatures(values, counts, np.zeros(BUCKETS, bool))
+    parent, random = np.arange(n), np.random.default_rng(7)
+    for _ in range(ROUNDS):
+        drawn, met = random.permutation(n), []
+        for k in range(COORDINATES):
+            order = drawn[np.argsort(signs[drawn, k], kind="stable")]
+            head = np.concatenate([[True], signs[order[1:], k] != signs[order[:-1], k]])
+            centre = order[head][np.cumsum(head) - 1]
+            apart = parent[order] != parent[centre]
+            met.append(order[apart].astype(np.int64) << 32 | centre[apart])
+        x, y = (lambda m: (m >> 32, m & 0xFFFFFFFF))(np.unique(np.concatenate(met)))
+        likely = (signs[x] == signs[y]).sum(axis=1) > 1  # unrelated texts hardly ever agree twice
+        x, y = x[likely], y[likely]
+        same = _near(values, counts, x, y, threshold)
+        joined = 0
+        for i, j in zip(x[same].tolist(), y[same].tolist(), strict=True):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            while parent[j] != j:
+                parent[j] = parent[parent[j]]
+                j = parent[j]
+            if i != j:
+                parent[i], joined = j, joined + 1
+        parent = _roots(parent)
+        if joined <= n // 5_000:
+            break
+    return parent
+
+
+def frequent(grams: DataFrame, share: float = FREQUENT, threshold: float = THRESHOLD) -> np.ndarray:
+    """Which of BUCKETS buckets the stories of more than ``share`` of the texts hit, as booleans: by a sample of bounded size in which
+    each story counts once, so that what many versions of one story share isn't taken for common language."""
+    n, size = grams.agg(F.count("*"), F.sum(F.length("grams"))).first()
+    rate = min(1.0, SAMPLE_TEXTS / max(n, 1), SAMPLE_BYTES / max(size or 0, 1))
+    drawn = grams if rate == 1.0 else grams.where(F.pmod(F.xxhash64("id", F.lit(91)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    rows = drawn.select("print", "grams").collect()  # about SAMPLE_TEXTS at most
+    if not rows:
+        return np.zeros(BUCKETS, bool)
+    sets = [np.frombuffer(g, np.uint32) for g in {r[0]: r[1] for r in rows}.values()]  # exact copies once
+    counts, values = np.array([len(x) for x in sets], np.int64), np.concatenate(sets)
+    story = np.repeat(stories(values, counts, threshold), counts)
+    hits = np.unique(story << 32 | (values & np.uint32(BUCKETS - 1)).astype(np.int64))
+    return np.bincount(hits & 0xFFFFFFFF, minlength=BUCKETS) > share * len(rows)
+
+
 def signatures(grams: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.ndarray:
     """COORDINATES 64-bit values a text: sets of Jaccard similarity s agree in each with probability s to the power HASHES."""
     g = grams
@@ -293,7 +345,7 @@ def groups_of(grams: DataFrame, threshold: float = THRESHOLD, without: DataFrame
     ids = grams.select("id", "print") if without is None else grams.select("id", "print").join(without, "id", "left_anti")
     copies = ids.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     members = written(ids.join(copies, "print").select("id", "rep", "n"), "copies")
-    signs = signed(grams, frequent(grams)).join(members.where("id = rep").select("id"), "id", "left_semi")
+    signs = signed(grams, frequent(grams, threshold=threshold)).join(members.where("id = rep").select("id"), "id", "left_semi")
     edges = verified(candidates(written(signs, "signatures")), grams, threshold)
     found = components(edges)
     x = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
