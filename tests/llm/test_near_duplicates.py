@@ -103,3 +103,16 @@ def test_hot_group(spark, edits):
             words[at] = rnd.choice(VOCAB)
         rows.append((i, " ".join(words)))
     assert groups(spark, rows) == {frozenset(range(2000, 3000))}
+
+
+def test_long_lists_compare_what_is_not_connected(spark, monkeypatch):
+    """Pairs that only meet in one long list, none of them similar to its least text."""
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choices(VOCAB, k=60))) for i in range(300)]
+    for i, j in ((101, 100), (299, 298), (7, 6), (8, 7)):
+        words = rows[j][1].split()
+        words[rnd.randrange(5, 55)] = rnd.choice(VOCAB)
+        rows[i] = (i, " ".join(words))
+    signs = [(i, [7] + [1000 + 100 * i + k for k in range(N.COORDINATES - 1)]) for i in range(300)]
+    monkeypatch.setattr(N, "signed", lambda *_: spark.createDataFrame(signs, "id bigint, values array<bigint>"))
+    assert groups(spark, rows) == {frozenset({100, 101}), frozenset({298, 299}), frozenset({6, 7, 8})}

@@ -9,11 +9,14 @@ Stages
                    of them where fewer than LEAST are left); a text is posted under each coordinate-value pair. Values that only
                    one text has are skipped.
 4. ``candidates``  texts under one value meet; collisions are counted by pair and pairs of MIN_COLLISIONS or more are kept. Values
-                   that more than LONG texts share are skipped in that merge and split by a further coordinate instead; where a
-                   part is still long, its texts meet its least one, so nothing is emitted quadratically and nothing is dropped.
+                   that more than LONG texts share are skipped in that merge; at first their texts meet only the least one of
+                   the part that a further coordinate gives, and the parts' least ones meet.
 5. ``verified``    Jaccard similarity of the shingle sets: on 16-bit prints of the shingles, and on the shingles themselves where
                    that lies within MARGIN of the threshold.
 6. ``components``  connected components by alternating large and small stars, each round written to the shared folder.
+7. ``connected``   long lists again: their texts outside the list's largest component meet a text of it, in rounds, and in the end
+                   every two texts of a long list that aren't connected yet are compared, in blocks. So every pair that collides
+                   is compared or was connected already.
 
 Defined results: null and empty texts and texts of fewer than WORDS words are in no group; exact copies are of one group; ids must
 be unique; ties between representatives go to the least id; an empty table gives no rows.
@@ -43,6 +46,8 @@ BUCKETS, FREQUENT = 1 << 18, 0.0025
 LEAST, LONG, MARGIN = 8, 200, 0.02
 #: Bounds of the sample in which stories are counted, and of the rounds in which its texts are put together.
 SAMPLE_TEXTS, SAMPLE_BYTES, ROUNDS = 20_000, 32_000_000, 12
+#: Comparisons a posting of a long list, at most, for which the rounds before the comparison of all that is left are spared.
+FEW = 50
 
 _WORD = re.compile(r"[^\W_]+")
 _RANDOM = np.random.default_rng(20240229)
@@ -234,8 +239,9 @@ def signed(grams: DataFrame, common: np.ndarray) -> DataFrame:
     return grams.select("id", "grams").mapInArrow(run, "id bigint, values array<bigint>")
 
 
-def candidates(signs: DataFrame, long: int = LONG) -> DataFrame:
-    """(a, b) pairs of texts, a < b, that collide in MIN_COLLISIONS coordinates, and the stars of long lists."""
+def candidates(signs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b) pairs of texts, a < b, that collide in MIN_COLLISIONS coordinates, and the stars of long lists; and (value, id, size)
+    of the long lists, if there are any."""
     posts = signs.select("id", F.explode("values").alias("value"))
     lists = posts.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(posts.join(lists, "value"), "postings")
@@ -243,7 +249,7 @@ def candidates(signs: DataFrame, long: int = LONG) -> DataFrame:
     met = short.select("value", F.col("id").alias("a")).join(short.select("value", F.col("id").alias("b")), "value").where("a < b")
     often = met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_COLLISIONS).select("a", "b")
     if not shared.where(F.col("size") > long).limit(1).count():
-        return often
+        return often, None
     following = F.concat(F.slice("values", 2, COORDINATES), F.slice("values", 1, 1))
     full = signs.select("id", F.explode(F.arrays_zip(F.col("values").alias("value"), following.alias("next"))).alias("p")).select("id", "p.value", "p.next")
     parts = full.join(lists.where(F.col("size") > long).select("value"), "value", "left_semi")
@@ -251,7 +257,7 @@ def candidates(signs: DataFrame, long: int = LONG) -> DataFrame:
     stars = parts.join(centres, ["value", "next"]).where("id > a").select("a", F.col("id").alias("b"))
     least = parts.groupBy("value").agg(F.min("id").alias("c"))
     heads = centres.join(least, "value").where("a > c").select(F.col("c").alias("a"), F.col("a").alias("b"))
-    return often.union(stars).union(heads).distinct()
+    return often.union(stars).union(heads).distinct(), shared.where(F.col("size") > long)
 
 
 def _similar(pairs: DataFrame, kind: type) -> DataFrame:
@@ -339,6 +345,38 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
+def connected(edges: DataFrame, lists: DataFrame | None, grams: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, component) by ``edges`` and by every similar pair of the long lists (value, id, size)."""
+    found = components(edges)
+    if lists is None:
+        return found
+    posts = lists.count()
+    for k in range(ROUNDS + 1):
+        named = lists.join(found.withColumnRenamed("component", "c"), "id", "left").select("value", "id", "size", F.coalesce("c", "id").alias("c"))
+        named = written(named, "named")
+        parts = named.groupBy("value", "c").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(k))).alias("centre"))
+        main = parts.groupBy("value").agg(F.count("*").alias("parts"), F.max_by(F.struct("c", "centre"), F.struct("n", "c")).alias("m"))
+        main = written(main.where("parts > 1").select("value", F.col("m.c").alias("main"), F.col("m.centre").alias("centre")), "main")
+        others = named.join(main, "value").where("c <> main")
+        left = others.agg(F.sum("size")).first()[0]
+        if left is None:  # all lists are connected
+            return found
+        last = k == ROUNDS or left <= FEW * posts
+        if not last:
+            new = verified(others.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), grams, threshold)
+            new = written(new, "joined")
+            last = not new.limit(1).count()
+        if last:
+            blocks = F.ceil(F.col("size") / LONG).cast("int")
+            outside = others.select("value", F.col("id").alias("x"), F.col("c").alias("cx"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+            every = named.join(main, "value", "left_semi").select("value", F.col("id").alias("y"), F.col("c").alias("cy"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+            pairs = outside.join(every, ["value", "block"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            new = verified(pairs, grams, threshold)
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new))
+        if last:
+            return found
+
+
 def groups_of(grams: DataFrame, threshold: float = THRESHOLD, without: DataFrame | None = None) -> DataFrame:
     """(id, group) of every group of two or more of the written table (id, print, grams), the group named by its least id;
     the ids of ``without`` take no part."""
@@ -346,8 +384,8 @@ def groups_of(grams: DataFrame, threshold: float = THRESHOLD, without: DataFrame
     copies = ids.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     members = written(ids.join(copies, "print").select("id", "rep", "n"), "copies")
     signs = signed(grams, frequent(grams, threshold=threshold)).join(members.where("id = rep").select("id"), "id", "left_semi")
-    edges = verified(candidates(written(signs, "signatures")), grams, threshold)
-    found = components(edges)
+    met, lists = candidates(written(signs, "signatures"))
+    found = connected(verified(met, grams, threshold), lists, grams, threshold)
     x = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return x.where(F.col("component").isNotNull() | (F.col("n") > 1)).select("id", F.coalesce("component", "rep").alias("group"))
 
