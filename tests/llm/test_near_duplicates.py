@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import near_duplicates as N
@@ -116,3 +117,13 @@ def test_long_lists_compare_what_is_not_connected(spark, monkeypatch):
     signs = [(i, [7] + [1000 + 100 * i + k for k in range(N.COORDINATES - 1)]) for i in range(300)]
     monkeypatch.setattr(N, "signed", lambda *_: spark.createDataFrame(signs, "id bigint, values array<bigint>"))
     assert groups(spark, rows) == {frozenset({100, 101}), frozenset({298, 299}), frozenset({6, 7, 8})}
+
+
+def test_very_long_texts(spark):
+    """Sets of 20,000 shingles are compared in full: cut to 16 bits, a similarity of 0.45 looks like one above the threshold."""
+    rnd = np.random.default_rng(8)
+    values = rnd.permutation(np.unique(rnd.integers(0, 1 << 32, size=60_000, dtype=np.uint32)))
+    sets = {1: values[:20_000], 2: values[7_586:27_586], 3: values[30_000:50_000], 4: values[36_000:56_000]}
+    grams = spark.createDataFrame([(k, k, bytearray(np.sort(v).tobytes())) for k, v in sets.items()], N.GRAMS)
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "a bigint, b bigint")
+    assert {tuple(r) for r in N.verified(pairs, grams).collect()} == {(3, 4)}

@@ -12,7 +12,7 @@ Stages
                    that more than LONG texts share are skipped in that merge; at first their texts meet only the least one of
                    the part that a further coordinate gives, and the parts' least ones meet.
 5. ``verified``    Jaccard similarity of the shingle sets: on 16-bit prints of the shingles, and on the shingles themselves where
-                   that lies within MARGIN of the threshold.
+                   that lies within MARGIN of the threshold or a set has more than WIDE prints, which then coincide too often.
 6. ``components``  connected components by alternating large and small stars, each round written to the shared folder.
 7. ``connected``   long lists again: their texts outside the list's largest component meet a text of it, in rounds, and in the end
                    every two texts of a long list that aren't connected yet are compared, in blocks. So every pair that collides
@@ -43,7 +43,7 @@ WORDS, THRESHOLD = 3, 0.5
 COORDINATES, HASHES, MIN_COLLISIONS = 20, 3, 1
 #: Buckets of the frequency sketch, and the share of texts above which a bucket's shingles are frequent.
 BUCKETS, FREQUENT = 1 << 18, 0.0025
-LEAST, LONG, MARGIN = 8, 200, 0.02
+LEAST, LONG, MARGIN, WIDE = 8, 200, 0.02, 2_000
 #: Bounds of the sample in which stories are counted, and of the rounds in which its texts are put together.
 SAMPLE_TEXTS, SAMPLE_BYTES, ROUNDS = 20_000, 32_000_000, 12
 #: Comparisons a posting of a long list, at most, for which the rounds before the comparison of all that is left are spared.
@@ -261,7 +261,7 @@ def candidates(signs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame
 
 
 def _similar(pairs: DataFrame, kind: type) -> DataFrame:
-    """(a, b, near): the Jaccard similarity of the packed sets ``pa`` and ``pb``."""
+    """(a, b, near, size): the Jaccard similarity of the packed sets ``pa`` and ``pb``, and the size of the larger one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,9 +273,9 @@ def _similar(pairs: DataFrame, kind: type) -> DataFrame:
             both.sort()
             twice = both[1:][both[1:] == both[:-1]] >> np.uint64(32)
             shared = np.bincount(twice.astype(np.int64), minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared / np.maximum(nx + ny - shared, 1))], names=["a", "b", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared / np.maximum(nx + ny - shared, 1)), pa.array(np.maximum(nx, ny))], names=["a", "b", "near", "size"])
 
-    return pairs.select("a", "b", "pa", "pb").mapInArrow(run, "a bigint, b bigint, near double")
+    return pairs.select("a", "b", "pa", "pb").mapInArrow(run, "a bigint, b bigint, near double, size bigint")
 
 
 def id_filter(ids: DataFrame, most_bits: int = 1 << 27) -> tuple[int, np.ndarray]:
@@ -319,8 +319,9 @@ def _compared(pairs: DataFrame, grams: DataFrame, kind: type) -> DataFrame:
 
 def verified(pairs: DataFrame, grams: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs whose shingle sets are similar."""
-    x = written(_compared(written(pairs, "pairs"), grams, np.uint16).where(F.col("near") >= threshold - MARGIN), "near")
-    sure, doubt = x.where(F.col("near") >= threshold + MARGIN), x.where(F.col("near") < threshold + MARGIN).select("a", "b")
+    wide = F.col("size") > WIDE
+    x = written(_compared(written(pairs, "pairs"), grams, np.uint16).where(wide | (F.col("near") >= threshold - MARGIN)), "near")
+    sure, doubt = x.where(~wide & (F.col("near") >= threshold + MARGIN)), x.where(wide | (F.col("near") < threshold + MARGIN)).select("a", "b")
     if not doubt.limit(1).count():
         return sure.select("a", "b")
     return sure.select("a", "b").union(_compared(doubt, grams, np.uint32).where(F.col("near") >= threshold).select("a", "b"))
