@@ -1,3 +1,4 @@
+import difflib
 import math
 import re
 
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import candidates, similarity
+from tidemark.plans import series
 
 
 def test_similarity_matches_sets(spark):
@@ -81,3 +83,23 @@ def test_staleness_in_chunks_equals_one_window(spark):
     for size in (1, 7, 40):
         got = {(r.symbol, r.seq): r.staleness for r in similarity.staleness(news, size=size).collect()}
         assert got.keys() == whole.keys() and all((a is None) == (whole[k] is None) and (a is None or math.isclose(a, whole[k], abs_tol=1e-12)) for k, a in got.items())
+
+
+def test_name_match_meets_every_name(spark, tmp_path):
+    """The best of all names, whatever their first word, as a search of the whole directory finds it."""
+    names = ["Tata Motors", "Reliance Industries", "Infosys", "HDFC Bank Limited", "Bank of Baroda", "Asian Paints", "--", None, "Tata Steel", "Bajaj Auto"]
+    queries = ["Motors", "Relaince Industries", "Imfosys", "Paints", "Tata", "the bank of baroda", "zzzz", "...", None, "Auto Bajaj"]
+    rows = [(q, k, f"S{k}", n) for k, (q, n) in enumerate(zip(queries, names, strict=True))]
+    spark.createDataFrame(rows, "query string, pos int, symbol string, name string").write.parquet(f"{tmp_path}/quotes.parquet")
+    plain = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+    want = {}
+    for q in filter(None, queries):
+        best = (0.0, None)
+        for _, _, symbol, name in rows:
+            a, b = plain(q), plain(name or "")
+            score = 0.0 if not a or not b else 1.0 if a in b or b in a else difflib.SequenceMatcher(None, a, b).ratio()
+            best = max(best, (score, symbol), key=lambda x: x[0])
+        if best[0] >= 0.5:
+            want[q] = (best[1], round(best[0], 4))
+    assert want["Motors"] == ("S0", 1.0) and want["Relaince Industries"][0] == "S1"
+    assert {r.query: (r.symbol, r.score) for r in series.s28_name_match(spark, str(tmp_path)).collect()} == want

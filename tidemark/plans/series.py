@@ -151,19 +151,23 @@ def s26_ticker(spark, d):
 
 
 def s28_name_match(spark, d):
-    """The best name for each query: containment is 1, else the ratio of matching blocks; the first best wins, from 0.5 on."""
+    """The best name for each query, of all names: containment is 1, else the ratio of matching blocks; the first best wins, from
+    0.5 on; a blank query or name matches nothing."""
     q = table(spark, d, "quotes")
     left = q.select("query").where("query is not null").distinct()
     names = q.where("name is not null").select("pos", "symbol", "name")
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if x in y or y in x else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+        return pd.Series([1.0 if x in y or y in x else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    # names share a first word with their query: the block keeps this from comparing all with all
-    first = lambda c: F.split(plain(F.col(c)), " ")[0]
-    x = left.withColumn("k", first("query")).join(names.withColumn("k", first("name")), "k").withColumn("score", ratio(plain(F.col("query")), plain(F.col("name"))))
+    left, right = left.withColumn("a", plain("query")).where("a <> ''"), names.withColumn("b", plain("name")).where("b <> ''")
+    # every query meets every name, spread by query; the ratio is 2 m / (x + y) with m of the shorter length at most, so this bound
+    # spares only pairs that can't reach 0.5
+    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    able = F.contains("a", F.col("b")) | F.contains("b", F.col("a")) | (short * 3 >= long)
+    x = left.repartition("query").crossJoin(right).where(able).withColumn("score", ratio("a", "b"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "pos", "symbol")
     return x.where("score >= 0.5").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("query", "symbol", F.round("score", 4).alias("score"))
 
