@@ -33,6 +33,17 @@ def test_leakage(spark):
     assert leakage.search(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_leakage_after_dense_edits():
+    """A verbatim stretch counts whatever shorter runs precede it."""
+    rnd = random.Random(12)
+    w = [a + b for a, b in zip(text(rnd, 70).split(), text(rnd, 70).split(), strict=True)]
+    ix = leakage.index([(1, " ".join(w))])
+    dense = [f"other{k}" if k < 42 and k % 5 == 4 else x for k, x in enumerate(w)]
+    assert leakage.leaked(" ".join(w[42:]), ix) == [1]
+    assert leakage.leaked(" ".join(dense), ix) == [1]
+    assert leakage.leaked(" ".join(dense[:42]), ix) == []
+
+
 def test_leakage_in_parts(spark, monkeypatch):
     rnd = random.Random(2)
     items = [(k, text(rnd, 40)) for k in range(9)]

@@ -8,7 +8,8 @@ cut first. By the q-gram lemma two strings within an edit budget still share a n
      that overlap by half. A region is kept when its count reaches the bound of the lemma for the shortest stretch that counts
      (STRETCH words) with one word in EDIT_EVERY changed.
   3. A kept region is verified by alignment within the band: exact runs on single diagonals are chained where single words between
-     them were changed, added or dropped. A chain counts when it spans STRETCH words of the passage, or all of it.
+     them were changed, added or dropped. A chain counts when it spans STRETCH words of the passage, or all of it, and FAR words
+     a run; every chain is tested, from each run on, so what precedes a stretch doesn't matter.
 
 Defined results: null and empty texts and passages match nothing; a text and passage are reported once however often they match;
 a passage shorter than STRETCH words counts when it is held whole; texts are searched whole; repeated rows are found alike.
@@ -150,22 +151,25 @@ def aligned(passage: int, low: int, high: int, found: tuple[np.ndarray, np.ndarr
     runs = sorted((int(a[h]), int(p[h]), int(p[t] - p[h]) + Q) for h, t in zip(heads, tails, strict=True) if p[t] - p[h] + Q >= RUN)
     starts = ix.starts[passage]
     words = len(starts) - 1
-    chains: list[tuple[int, int, int]] = []  # (place in the passage where the chain began, characters matched, runs)
+    most = max(1, words // FAR)  # longer chains are refused
+    chains: list[dict[tuple[int, int], int]] = []  # (place in the passage where a chain began, its runs): most characters matched
     for k, (at, place, n) in enumerate(runs):
-        best = (place, n, 1)
-        for (at0, place0, n0), (begin0, matched0, runs0) in zip(reversed(runs[:k]), reversed(chains), strict=True):
+        own_chains = {(place, 1): n}
+        for (at0, place0, n0), before in zip(reversed(runs[:k]), reversed(chains), strict=True):
             gap_text, gap_passage = at - (at0 + n0), place - (place0 + n0)
             if -Q <= gap_text <= GAP and -Q <= gap_passage <= GAP and place > place0 and at > at0:
-                matched = matched0 + n - max(0, -gap_text, -gap_passage)
-                if matched > best[1]:
-                    best = (begin0, matched, runs0 + 1)
-        chains.append(best)
-        begin, matched, parts = best
+                more = n - max(0, -gap_text, -gap_passage)
+                for (begin, parts), matched in before.items():
+                    if parts < most and matched + more > own_chains.get((begin, parts + 1), 0):
+                        own_chains[begin, parts + 1] = matched + more
+        chains.append(own_chains)
         end = place + n
-        # words of the passage that lie in the stretch whole
-        inside = int(np.searchsorted(starts, end, "right")) - 1 - int(np.searchsorted(starts, begin))
-        if inside >= min(STRETCH, words - 1) and matched >= MATCHED * (end - begin) and (parts == 1 or inside >= FAR * parts):
-            return True
+        last = int(np.searchsorted(starts, end, "right")) - 1
+        for (begin, parts), matched in own_chains.items():
+            # words of the passage that lie in the stretch whole
+            inside = last - int(np.searchsorted(starts, begin))
+            if inside >= min(STRETCH, words - 1) and matched >= MATCHED * (end - begin) and (parts == 1 or inside >= FAR * parts):
+                return True
     return False
 
 
