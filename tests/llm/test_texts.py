@@ -58,6 +58,13 @@ def test_labels(label, code):
     assert language.label_code(label) == code
 
 
+def test_labels_beyond_ten_thousand_spellings(spark):
+    found = spark.range(12_000).selectExpr("id as doc_id", "if(id % 2 = 0, concat('en-', id), concat('label ', id)) as lang", "'en' as main", "1.0D as confidence", "array(named_struct('line_no', 1L, 'lang', 'en', 'confidence', 1.0D)) as lines")
+    assert {tuple(r) for r in language.corrections(found).collect()} == {(k, 0, "en") for k in range(1, 12_000, 2)}
+    codes = {r.lang: r.code for r in language.label_codes(found).collect()}
+    assert len(codes) == 12_000 and codes["en-11998"] == "en" and codes["label 11999"] == ""
+
+
 SAMPLES = {
     "en": "the company said that the board will meet again in the third quarter and the shares fell",
     "de": "die Firma sagte dass der Vorstand sich im dritten Quartal wieder trifft und die Aktie verlor",

@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import broadcast_if_small, written
+
 #: Languages told apart, with their names and three-letter codes (fixed values).
 LANGUAGES = {
     "en": ("english", "eng"), "hi": ("hindi", "hin"), "mr": ("marathi", "mar"), "bn": ("bengali", "ben", "bangla"), "ta": ("tamil", "tam"),
@@ -76,6 +78,16 @@ def label_code(label: str | None) -> str | None:
     return None
 
 
+def label_codes(rows: DataFrame) -> DataFrame:
+    """(lang, code) of every spelling of a label in the column ``lang``; '' where it names no language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([label_code(x) or "" for x in batch.column(0).to_pylist()], pa.string())], names=["lang", "code"])
+
+    return written(rows.select("lang").where("lang is not null").distinct().mapInArrow(run, "lang string, code string"), "labels")
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -258,15 +270,13 @@ def train(documents: DataFrame, vocabulary: str = VOCABULARY) -> tuple[bytes, li
     """The vocabulary file, the languages and their piece probabilities, from labelled rows of (doc_id, text, lang)."""
     data = Path(vocabulary).read_bytes()
     pieces = Pieces(data)
-    known = documents.where("lang is not null and text is not null").select("lang").distinct().limit(10_000).collect()  # spellings of labels
-    codes = {r[0]: c for r in known if (c := label_code(r[0])) in LANGUAGES}
+    table = label_codes(documents.where("text is not null")).where(F.col("code").isin(*LANGUAGES))
+    codes = sorted(r[0] for r in table.select("code").distinct().collect())  # at most those of LANGUAGES
     if not codes:
         return data, [], np.zeros((len(pieces.id), 0))
-    spark = documents.sparkSession
-    table = spark.createDataFrame(list(codes.items()), "lang string, code string")
-    labelled = documents.where("text is not null").join(F.broadcast(table), "lang").select("code", "text", "doc_id")
+    labelled = documents.where("text is not null").join(broadcast_if_small(table), "lang").select("code", "text", "doc_id")
     sample = []
-    for code in sorted(set(codes.values())):  # at most SAMPLE_DOCUMENTS a language, the least by hash
+    for code in codes:  # at most SAMPLE_DOCUMENTS a language, the least by hash
         sample += labelled.where(F.col("code") == code).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).select("code", "text").collect()
     model = fit_twice(pieces, [tuple(r) for r in sample])
     return data, model.languages, model.p
@@ -305,9 +315,7 @@ def identified(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def corrections(found: DataFrame) -> DataFrame:
     """(doc_id, line_no, lang): line 0 with the main language where the label is missing or another's, and every line of documents
     in more than one language."""
-    labels = [r[0] for r in found.select("lang").where("lang is not null").distinct().limit(10_000).collect()]  # spellings of labels
-    table = found.sparkSession.createDataFrame([(x, label_code(x) or "") for x in labels] or [("", "")], "label string, code string")
-    x = found.join(F.broadcast(table), F.col("lang") == F.col("label"), "left")
+    x = found.join(broadcast_if_small(label_codes(found)), "lang", "left")
     code = F.coalesce("code", F.lit(""))
     wrong = x.where(code != F.col("main")).select("doc_id", F.lit(0).cast("bigint").alias("line_no"), F.col("main").alias("lang"))
     several = F.size(F.array_distinct(F.filter("lines.lang", lambda v: v != UNKNOWN))) > 1
