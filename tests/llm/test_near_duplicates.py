@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import near_duplicates as N
 
@@ -82,7 +84,7 @@ def test_long_lists_lose_nothing(spark, monkeypatch):
         words[rnd.randrange(120)] = rnd.choice(VOCAB)
         rows.append((i, " ".join(words)))
     original = N.candidates
-    monkeypatch.setattr(N, "candidates", lambda signs: original(signs, long=10))
+    monkeypatch.setattr(N, "candidates", lambda signs, **k: original(signs, long=10, **k))
     assert groups(spark, rows) == {frozenset(range(120))}
 
 
@@ -114,8 +116,11 @@ def test_long_lists_compare_what_is_not_connected(spark, monkeypatch):
         words = rows[j][1].split()
         words[rnd.randrange(5, 55)] = rnd.choice(VOCAB)
         rows[i] = (i, " ".join(words))
-    signs = [(i, [7] + [1000 + 100 * i + k for k in range(N.COORDINATES - 1)]) for i in range(300)]
-    monkeypatch.setattr(N, "signed", lambda *_: spark.createDataFrame(signs, "id bigint, values array<bigint>"))
+    original, merged = N.signed, N.candidates
+    one = lambda x: x.withColumn("values", F.concat(F.array(F.lit(7)), F.transform(F.sequence(F.lit(1), F.lit(49)), lambda k: 1000 + 100 * F.col("id") + k)))
+    monkeypatch.setattr(N, "signed", lambda grams: one(original(grams)))
+    assert merged(N.signed(N.shingled(spark.createDataFrame(rows, "id bigint, text string"))), block=100)[1].count() == 300
+    monkeypatch.setattr(N, "candidates", lambda signs, **k: merged(signs, block=100, **k))
     assert groups(spark, rows) == {frozenset({100, 101}), frozenset({298, 299}), frozenset({6, 7, 8})}
 
 
@@ -127,3 +132,86 @@ def test_very_long_texts(spark):
     grams = spark.createDataFrame([(k, k, bytearray(np.sort(v).tobytes())) for k, v in sets.items()], N.GRAMS)
     pairs = spark.createDataFrame([(1, 2), (3, 4)], "a bigint, b bigint")
     assert {tuple(r) for r in N.verified(pairs, grams).collect()} == {(3, 4)}
+
+
+def brute_groups(sets):
+    """Groups by every pair of sets that shares a shingle."""
+    where, parent = {}, list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, s in enumerate(sets):
+        met = {}
+        for g in s:
+            for j in where.setdefault(g, []):
+                met[j] = met.get(j, 0) + 1
+            where[g].append(i)
+        for j, n in met.items():
+            if n / (len(s) + len(sets[j]) - n) >= 0.5:
+                parent[find(j)] = find(i)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("length", "share"), [(50, 0.1), (200, 0.001), (200, 0.02), (800, 0.005)])
+def test_recall_of_stories(spark, length, share):
+    """Versions of one story among unrelated texts, of any share of the texts and any number of edits that leaves them similar."""
+    rnd = random.Random(length)
+    total = 2000 if length < 800 else 1000
+    size = max(4, int(share * total))
+    rows, at = [], 0
+    for edits in (1, 3, length // 25, length // 12):
+        base = rnd.choices(VOCAB, k=length)
+        for _ in range(size):
+            words = list(base)
+            for place in rnd.sample(range(length), edits):
+                words[place] = rnd.choice(VOCAB)
+            rows.append((at, " ".join(words)))
+            at += 1
+    while at < total:
+        rows.append((at, " ".join(rnd.choices(VOCAB, k=length))))
+        at += 1
+    truth = brute_groups([grams(t) for _, t in rows])
+    got = {r.id: r.group for r in N.groups(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    pairs = [(i, j) for i in range(4 * size) for j in range(i) if truth[i] == truth[j]]
+    assert len(pairs) > 6
+    assert sum(i in got and got.get(i) == got.get(j) for i, j in pairs) >= 0.95 * len(pairs)
+    assert all(truth[i] == truth[g] for i, g in got.items())
+
+
+def test_phrases_shared_by_all(spark):
+    """Texts put together from the same sentences, in which no three-word sequence is rare: versions still meet, and only they do."""
+    rnd = random.Random(3)
+    sentences = [" ".join(rnd.choices(VOCAB, k=8)) for _ in range(300)]
+    rows = []
+    for i in range(0, 1500, 3):
+        parts = rnd.sample(sentences, 14)
+        rows += [(i, " ".join(parts)), (i + 1, " ".join(parts[:-1] + rnd.sample(sentences, 1))), (i + 2, " ".join(parts[1:] + [parts[0]]))]
+    truth = brute_groups([grams(t) for _, t in rows])
+    got = {r.id: r.group for r in N.groups(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    assert all((got.get(i, i) == got.get(j, j)) == (truth[i] == truth[j]) for i in range(len(rows)) for j in range(max(0, i - 5), i))
+
+
+def test_merge_counts_every_pair_of_a_list():
+    """Short lists, sparse and dense long ones, and lists too long to be held, in batches of any size."""
+    rnd = np.random.default_rng(2)
+    value = np.sort(np.concatenate([rnd.integers(10, 400, 1500), np.full(60, 3), np.full(90, 5), np.full(400, 7)]))
+    n = len(value)
+    p, q = rnd.integers(-(1 << 62), 1 << 62, n), rnd.integers(-(1 << 62), 1 << 62, n)
+    p[value == 5], q[value == 5] = 11, 12  # one story
+    for i in range(0, n - 1, 7):
+        p[i + 1], q[i + 1] = p[i], q[i]
+    ids = np.arange(n, dtype=np.int64)
+    least = N.match_threshold(0.5)
+    for step in (37, 5000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in (value, ids, p, q)], names=["value", "id", "p", "q"]) for k in range(0, n, step)]
+        out = [r for b in N._merge(iter(batches), least, 50, 200) for r in b.to_pylist()]
+        aside = {(r["value"], r["a"]) for r in out if r["b"] is None}
+        gone = (5, 7) if step == 37 else (5,)  # a list too long to be held is set aside; one that came whole is counted
+        assert aside == {(int(v), int(i)) for v, i in zip(value, ids) if v in gone}
+        u, w = p.view(np.uint64), q.view(np.uint64)
+        every = {(i, j) for i in range(n) for j in range(i + 1, n) if value[i] == value[j] and value[i] not in gone and N._collide(u, w, np.array([i]), np.array([j]), least)[0]}
+        assert {(r["a"], r["b"]) for r in out if r["b"] is not None} == every

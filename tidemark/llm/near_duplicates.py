@@ -3,27 +3,26 @@
 Stages
 1. ``shingled``    every text becomes the set of its word sequences (WORDS words, lower case, no punctuation), hashed to 32 bits,
                    and a print of the whole sequence. Texts with equal prints collapse to their least id.
-2. ``frequent``    how many stories hold each shingle, counted in a fixed number of buckets over a sample of bounded size whose
-                   versions of one story count once: a bitmap of the buckets that a share of the texts hits. Its size never grows.
-3. ``posted``      a signature of COORDINATES coordinates, each HASHES minimum hashes over the shingles that aren't frequent (over all
-                   of them where fewer than LEAST are left); a text is posted under each coordinate-value pair. Values that only
-                   one text has are skipped.
-4. ``candidates``  texts under one value meet; collisions are counted by pair and pairs of MIN_COLLISIONS or more are kept. Values
-                   that more than LONG texts share are skipped in that merge; at first their texts meet only the least one of
-                   the part that a further coordinate gives, and the parts' least ones meet.
-5. ``verified``    Jaccard similarity of the shingle sets: on 16-bit prints of the shingles, and on the shingles themselves where
+2. ``signed``      minimum hashes over all shingles of a text: POSTS posting values of HASHES minima each, and COORDINATES single
+                   minima, of which two bits each make its collision print (128 bits).
+3. ``candidates``  a text is posted under each of its values; one shuffle brings a value's texts together, in order. Values that
+                   one text has are skipped. Every two texts of a list have their colliding coordinates counted on the prints, in
+                   blocks, and pairs that reach the match threshold are kept. Lists of more than LONG texts are counted alike, and
+                   set aside where most of their pairs match (many versions of one story); values that more than BLOCK texts are
+                   expected to have, by a sample, are set aside before the shuffle, so that no task holds such a list.
+4. ``verified``    Jaccard similarity of the shingle sets: on 16-bit prints of the shingles, and on the shingles themselves where
                    that lies within MARGIN of the threshold or a set has more than WIDE prints, which then coincide too often.
-6. ``components``  connected components by alternating large and small stars, each round written to the shared folder.
-7. ``connected``   long lists again: their texts outside the list's largest component meet a text of it, in rounds, and in the end
-                   every two texts of a long list that aren't connected yet are compared, in blocks. So every pair that collides
-                   is compared or was connected already.
+5. ``components``  connected components by alternating large and small stars, each round written to the shared folder.
+6. ``connected``   the lists set aside: their texts outside the list's largest component meet a text of it and one of their own, in
+                   rounds, and in the end every two texts of such a list that aren't connected yet have their collisions counted,
+                   in blocks. So every two texts under one value are counted or were connected already.
 
 Defined results: null and empty texts and texts of fewer than WORDS words are in no group; exact copies are of one group; ids must
 be unique; ties between representatives go to the least id; an empty table gives no rows.
 
-Sets of Jaccard similarity s agree in a coordinate with probability s cubed: one of 20 is met with probability 0.93 at 0.5 and
-0.998 at 0.65; other members of a group usually link a missed pair again. Unrelated texts of one template language share a few
-percent of their frequent shingles, but hardly ever three minima of the others, so collisions grow in proportion to the groups.
+Sets of Jaccard similarity s share a posting value with probability 1 - (1 - s**HASHES)**POSTS: 0.96 at 0.5, 0.99 at 0.55, 0.999 at
+0.6; the match threshold keeps 0.999 of those at 0.5. No shingle is left out, however many texts hold it: where texts are put
+together from the same phrases, single minima coincide for millions of unrelated pairs, four at once hardly ever do.
 """
 
 from __future__ import annotations
@@ -34,28 +33,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import written
+from tidemark.session import broadcast_if_small, written
 
 WORDS, THRESHOLD = 3, 0.5
-COORDINATES, HASHES, MIN_COLLISIONS = 20, 3, 1
-#: Buckets of the frequency sketch, and the share of texts above which a bucket's shingles are frequent.
-BUCKETS, FREQUENT = 1 << 18, 0.0025
-LEAST, LONG, MARGIN, WIDE = 8, 200, 0.02, 2_000
-#: Bounds of the sample in which stories are counted, and of the rounds in which its texts are put together.
-SAMPLE_TEXTS, SAMPLE_BYTES, ROUNDS = 20_000, 32_000_000, 12
-#: Comparisons a posting of a long list, at most, for which the rounds before the comparison of all that is left are spared.
+#: Posting values a text, minima each; single-minimum coordinates on which collisions are counted.
+POSTS, HASHES, COORDINATES = 50, 4, 64
+#: How many standard deviations below the expected collisions of a pair at the threshold the match threshold lies.
+DEVIATIONS = 3.1
+#: Longer lists may be set aside (LONG), when so many times as many pairs match as they have texts (DENSE); at most so many texts of
+#: a list are held and counted in a task (BLOCK).
+LONG, DENSE, BLOCK = 200, 10, 10_000
+#: Texts sampled to find the values of very long lists, and the least of them under such a value.
+SAMPLE_TEXTS, SAMPLE_HITS = 20_000, 8
+MARGIN, WIDE, ROUNDS = 0.02, 2_000, 12
+#: Comparisons a posting of a list set aside, at most, for which the rounds before the comparison of all that is left are spared.
 FEW = 50
 
 _WORD = re.compile(r"[^\W_]+")
 _RANDOM = np.random.default_rng(20240229)
-_FACTORS = _RANDOM.integers(1, 1 << 31, size=HASHES * COORDINATES, dtype=np.uint32) | np.uint32(1)
-_SHIFTS = _RANDOM.integers(1, 1 << 31, size=HASHES * COORDINATES, dtype=np.uint32)
+_FACTORS = _RANDOM.integers(1, 1 << 32, size=POSTS * HASHES, dtype=np.uint32) | np.uint32(1)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: ``grams`` holds a text's sorted distinct shingles as 32-bit integers.
 GRAMS = "id bigint, print bigint, grams binary"
+SIGNED = "id bigint, values array<bigint>, p bigint, q bigint"
 
 
 class _Words(dict):
@@ -129,135 +132,154 @@ def _flat(batch: pa.RecordBatch, name: str, kind: type = np.uint32) -> tuple[np.
     return np.frombuffer(b"".join(parts), kind), np.array([len(p) for p in parts], np.int64) // np.dtype(kind).itemsize
 
 
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while (parent[parent] != parent).any():
-        parent = parent[parent]
-    return parent
-
-
-def _near(values: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the texts ``x`` are similar to those of ``y``, by place."""
-    starts, out = np.cumsum(counts) - counts, np.zeros(len(x), bool)
-    for k in range(0, len(x), 5_000):
-        i, j = x[k : k + 5_000], y[k : k + 5_000]
-        rows, keys = np.arange(len(i), dtype=np.uint64) << np.uint64(32), []
-        for t in (i, j):
-            n = counts[t]
-            keys.append(np.repeat(rows, n) | values[np.repeat(starts[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        both = np.sort(np.concatenate(keys))
-        shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(i))
-        out[k : k + 5_000] = shared >= threshold * (counts[i] + counts[j] - shared)
-    return out
-
-
-def stories(values: np.ndarray, counts: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """The story of each text, named by one of its texts: texts meet centres of the lists they share, over all of their shingles, in
-    rounds of other centres until hardly any are joined. It serves the counting only, so a story may stay in a few pieces."""
-    n = len(counts)
-    signs = signatures(values, counts, np.zeros(BUCKETS, bool))
-    parent, random = np.arange(n), np.random.default_rng(7)
-    for _ in range(ROUNDS):
-        drawn, met = random.permutation(n), []
-        for k in range(COORDINATES):
-            order = drawn[np.argsort(signs[drawn, k], kind="stable")]
-            head = np.concatenate([[True], signs[order[1:], k] != signs[order[:-1], k]])
-            centre = order[head][np.cumsum(head) - 1]
-            apart = parent[order] != parent[centre]
-            met.append(order[apart].astype(np.int64) << 32 | centre[apart])
-        x, y = (lambda m: (m >> 32, m & 0xFFFFFFFF))(np.unique(np.concatenate(met)))
-        likely = (signs[x] == signs[y]).sum(axis=1) > 1  # unrelated texts hardly ever agree twice
-        x, y = x[likely], y[likely]
-        same = _near(values, counts, x, y, threshold)
-        joined = 0
-        for i, j in zip(x[same].tolist(), y[same].tolist(), strict=True):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            while parent[j] != j:
-                parent[j] = parent[parent[j]]
-                j = parent[j]
-            if i != j:
-                parent[i], joined = j, joined + 1
-        parent = _roots(parent)
-        if joined <= n // 5_000:
-            break
-    return parent
-
-
-def frequent(grams: DataFrame, share: float = FREQUENT, threshold: float = THRESHOLD) -> np.ndarray:
-    """Which of BUCKETS buckets the stories of more than ``share`` of the texts hit, as booleans: by a sample of bounded size in which
-    each story counts once, so that what many versions of one story share isn't taken for common language."""
-    n, size = grams.agg(F.count("*"), F.sum(F.length("grams"))).first()
-    rate = min(1.0, SAMPLE_TEXTS / max(n, 1), SAMPLE_BYTES / max(size or 0, 1))
-    drawn = grams if rate == 1.0 else grams.where(F.pmod(F.xxhash64("id", F.lit(91)), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    rows = drawn.select("print", "grams").collect()  # about SAMPLE_TEXTS at most
-    if not rows:
-        return np.zeros(BUCKETS, bool)
-    sets = [np.frombuffer(g, np.uint32) for g in {r[0]: r[1] for r in rows}.values()]  # exact copies once
-    counts, values = np.array([len(x) for x in sets], np.int64), np.concatenate(sets)
-    story = np.repeat(stories(values, counts, threshold), counts)
-    hits = np.unique(story << 32 | (values & np.uint32(BUCKETS - 1)).astype(np.int64))
-    return np.bincount(hits & 0xFFFFFFFF, minlength=BUCKETS) > share * len(rows)
-
-
-def signatures(grams: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """COORDINATES 64-bit values a text: sets of Jaccard similarity s agree in each with probability s to the power HASHES."""
-    g = grams
-    owner = np.repeat(np.arange(len(counts)), counts)
-    rare = ~common[g & np.uint32(BUCKETS - 1)]
-    enough = np.bincount(owner[rare], minlength=len(counts)) >= LEAST
-    taken = rare | ~enough[owner]
-    g, starts = g[taken], np.concatenate([[0], np.cumsum(np.bincount(owner[taken], minlength=len(counts)))[:-1]])
-    out = np.empty((len(counts), COORDINATES), np.uint64)
+def signatures(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """POSTS 64-bit values a text, and its two words of collision prints, of texts whose shingles follow each other."""
+    starts = np.cumsum(counts) - counts
+    least, buffer = np.empty((len(_FACTORS), len(counts)), np.uint32), np.empty_like(grams)
+    for k, a in enumerate(_FACTORS):  # shingles are hashes, so that a multiplication orders them well enough
+        least[k] = np.minimum.reduceat(np.multiply(grams, a, out=buffer), starts)
+    values, prints = np.empty((len(counts), POSTS), np.uint64), np.zeros((len(counts), 2), np.uint64)
     with np.errstate(over="ignore"):
-        least = [np.minimum.reduceat(_spread(g * a + b), starts).astype(np.uint64) for a, b in zip(_FACTORS, _SHIFTS, strict=True)]
-        for k in range(COORDINATES):
+        for k in range(POSTS):
             x = np.full(len(counts), k, np.uint64)
             for part in least[HASHES * k : HASHES * (k + 1)]:
                 x = _mix((x ^ part) * _A + _C)
-            out[:, k] = x
-    return out.view(np.int64)
-
-
-def _spread(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return x ^ (x >> np.uint32(12))
+            values[:, k] = x
+        for k in range(COORDINATES):
+            two = (least[k * len(least) // COORDINATES] * np.uint32(0x9E3779B1)) >> np.uint32(30)
+            prints[:, k % 2] |= two.astype(np.uint64) << np.uint64(2 * (k // 2))
+    return values.view(np.int64), prints.view(np.int64)
 
 
-def signed(grams: DataFrame, common: np.ndarray) -> DataFrame:
-    """(id, values): the signature of each text."""
-    bitmap = grams.sparkSession.sparkContext.broadcast(np.packbits(common))  # BUCKETS bits
+def signed(grams: DataFrame) -> DataFrame:
+    """SIGNED: the posting values and the collision prints of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(bitmap.value).astype(bool)[:BUCKETS]
         for batch in batches:
             if batch.num_rows:
-                values = signatures(*_flat(batch, "grams"), known)
-                ends = pa.array(np.arange(0, values.size + 1, COORDINATES), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], names=["id", "values"])
-
-    return grams.select("id", "grams").mapInArrow(run, "id bigint, values array<bigint>")
-
-
-def candidates(signs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b) pairs of texts, a < b, that collide in MIN_COLLISIONS coordinates, and the stars of long lists; and (value, id, size)
-    of the long lists, if there are any."""
-    posts = signs.select("id", F.explode("values").alias("value"))
-    lists = posts.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
-    shared = written(posts.join(lists, "value"), "postings")
-    short = shared.where(F.col("size") <= long)
-    met = short.select("value", F.col("id").alias("a")).join(short.select("value", F.col("id").alias("b")), "value").where("a < b")
-    often = met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_COLLISIONS).select("a", "b")
-    if not shared.where(F.col("size") > long).limit(1).count():
-        return often, None
-    following = F.concat(F.slice("values", 2, COORDINATES), F.slice("values", 1, 1))
-    full = signs.select("id", F.explode(F.arrays_zip(F.col("values").alias("value"), following.alias("next"))).alias("p")).select("id", "p.value", "p.next")
-    parts = full.join(lists.where(F.col("size") > long).select("value"), "value", "left_semi")
-    centres = parts.groupBy("value", "next").agg(F.min("id").alias("a"))
-    stars = parts.join(centres, ["value", "next"]).where("id > a").select("a", F.col("id").alias("b"))
-    least = parts.groupBy("value").agg(F.min("id").alias("c"))
-    heads = centres.join(least, "value").where("a > c").select(F.col("c").alias("a"), F.col("a").alias("b"))
-    return often.union(stars).union(heads).distinct(), shared.where(F.col("size") > long)
+                values, prints = signatures(*_flat(batch, "grams"))
+                ends = pa.array(np.arange(0, values.size + 1, POSTS), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(values.ravel())), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in (0, 1))], names=["id", "values", "p", "q"])
+
+    return grams.select("id", "grams").mapInArrow(run, SIGNED)
+
+
+def match_threshold(threshold: float) -> int:
+    """Colliding coordinates, of COORDINATES, from which a pair is retained: two bits of unequal minima agree one time in four."""
+    p = threshold + (1 - threshold) / 4
+    return int(COORDINATES * p - DEVIATIONS * (COORDINATES * p * (1 - p)) ** 0.5)
+
+
+_ODD = np.uint64(0x5555555555555555)
+
+
+def _collide(p: np.ndarray, q: np.ndarray, x: np.ndarray | slice, y: np.ndarray | slice, least: int) -> np.ndarray:
+    """Whether the prints ``x`` and ``y`` of (p, q) agree in ``least`` coordinates; slices are broadcast against each other."""
+    apart = np.uint8(0)
+    for words in (p, q):
+        d = words[x] ^ words[y]
+        apart = apart + np.bitwise_count((d | (d >> np.uint64(1))) & _ODD)
+    return apart <= COORDINATES - least
+
+
+def _list_pairs(ids: np.ndarray, p: np.ndarray, q: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of one list that matches, counted in blocks."""
+    out = []
+    for k in range(0, len(ids), 256):
+        rows = np.arange(k, min(k + 256, len(ids)))[:, None]
+        i, j = np.nonzero(_collide(p, q, rows, np.arange(k, len(ids))[None, :], least))
+        later = j > i
+        out.append((ids[k + i[later]], ids[k + j[later]]))
+    return out
+
+
+def _merge(batches: Iterator[pa.RecordBatch], least: int, long: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Postings (value, id, p, q) in order of value to rows (value, a, b, p, q): pairs (a, b) that match, of no value, and postings
+    (b null) of lists that are set aside."""
+    none = np.empty(0, np.int64)
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        gone = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([gone, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), gone, gone], names=["value", "a", "b", "p", "q"])
+
+    def aside(value: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(value), pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(p.view(np.int64)), pa.array(q.view(np.int64))], names=["value", "a", "b", "p", "q"])
+
+    def done(value: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The rows of whole lists."""
+        heads = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else none
+        sizes = np.diff(np.append(heads, len(value)))
+        for h, n in zip(heads[sizes > long], sizes[sizes > long], strict=True):
+            own = slice(h, h + n)
+            found = _list_pairs(ids[own], p[own], q[own], least)
+            if sum(len(a) for a, _ in found) > DENSE * n:
+                yield aside(value[own], ids[own], p[own], q[own])
+            else:
+                yield pairs(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
+        at, gap = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= long), sizes)), 1
+        while len(at):  # every posting meets the one ``gap`` places further on in its list
+            at = at[at + gap < len(value)]
+            at = at[value[at] == value[at + gap]]
+            good = at[_collide(p, q, at, at + gap, least)]
+            if len(good):
+                yield pairs(ids[good], ids[good + gap])
+            gap += 1
+
+    held: list[tuple[np.ndarray, ...]] = []
+    streamed: int | None = None  # the value of a list that is too long to be held
+    for batch in batches:
+        cols = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        if not batch.num_rows:
+            continue
+        cols = (cols[0], cols[1], cols[2].view(np.uint64), cols[3].view(np.uint64))
+        if streamed is not None:
+            same = int(np.searchsorted(cols[0], streamed, "right"))
+            if same:
+                yield aside(*(c[:same] for c in cols))
+            cols = tuple(c[same:] for c in cols)
+            if not len(cols[0]):
+                continue
+            streamed = None
+        held.append(cols)
+        if sum(len(h[0]) for h in held) < 2 * block:
+            continue
+        whole = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+        cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last list may go on
+        yield from done(*(c[:cut] for c in whole))
+        held = [tuple(c[cut:] for c in whole)]
+        if len(held[0][0]) > block:
+            yield aside(*held[0])
+            held, streamed = [], int(whole[0][-1])
+    if held:
+        yield from done(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def _hot(signs: DataFrame, block: int) -> DataFrame | None:
+    """(value) of the lists that will have more than ``block`` texts, by a sample of bounded size; None if there are none."""
+    rate = min(1.0, SAMPLE_TEXTS / max(signs.count(), 1))
+    drawn = signs if rate == 1.0 else signs.where(F.pmod(F.xxhash64("id", F.lit(91)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    hot = written(drawn.select(F.explode("values").alias("value")).groupBy("value").count().where(F.col("count") >= max(SAMPLE_HITS, int(rate * block))).select("value"), "hot")
+    return F.broadcast(hot) if hot.limit(1).count() else None  # at most SAMPLE_TEXTS * POSTS / SAMPLE_HITS
+
+
+def candidates(signs: DataFrame, long: int = LONG, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b) pairs of texts, a < b, of one list that reach the match threshold; and (value, id, p, q, size) of the lists set aside,
+    if there are any."""
+    least = match_threshold(threshold)
+    posts = signs.select(F.explode("values").alias("value"), "id", "p", "q")
+    hot = _hot(signs, block)
+    cold = posts if hot is None else posts.join(hot, "value", "left_anti")
+    met = cold.repartition("value").sortWithinPartitions("value").mapInArrow(lambda batches: _merge(batches, least, long, block), "value bigint, a bigint, b bigint, p bigint, q bigint")
+    met = written(met, "met")
+    lists = met.where("b is null").select("value", F.col("a").alias("id"), "p", "q")
+    if hot is not None:
+        lists = lists.union(posts.join(hot, "value", "left_semi").select("value", "id", "p", "q"))
+    elif not lists.limit(1).count():
+        lists = None
+    if lists is not None:
+        sizes = written(lists.groupBy("value").agg(F.count("*").alias("size")), "sizes")
+        lists = written(lists.join(broadcast_if_small(sizes), "value"), "lists")
+    return met.where("b is not null").select("a", "b").distinct(), lists
 
 
 def _similar(pairs: DataFrame, kind: type) -> DataFrame:
@@ -346,32 +368,46 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
+def _match(x: str, y: str, least: int) -> Column:
+    """Whether the prints of the structs ``x`` and ``y`` agree in ``least`` coordinates."""
+    apart = F.lit(0)
+    for c in ("p", "q"):
+        d = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
+        apart = apart + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(int(_ODD))))
+    return apart <= COORDINATES - least
+
+
 def connected(edges: DataFrame, lists: DataFrame | None, grams: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, component) by ``edges`` and by every similar pair of the long lists (value, id, size)."""
+    """(id, component) by ``edges`` and by every similar pair of the lists set aside (value, id, p, q, size)."""
     found = components(edges)
     if lists is None:
         return found
+    least = match_threshold(threshold)
     posts = lists.count()
     for k in range(ROUNDS + 1):
-        named = lists.join(found.withColumnRenamed("component", "c"), "id", "left").select("value", "id", "size", F.coalesce("c", "id").alias("c"))
+        named = lists.join(found.withColumnRenamed("component", "c"), "id", "left").select("value", F.struct("id", "p", "q").alias("x"), "size", F.coalesce("c", "id").alias("c"))
         named = written(named, "named")
-        parts = named.groupBy("value", "c").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(k))).alias("centre"))
+        drawn = F.xxhash64("x.id", F.lit(k))
+        parts = named.groupBy("value", "c").agg(F.count("*").alias("n"), F.min_by("x", drawn).alias("centre"), F.min(drawn).alias("drawn"))
         main = parts.groupBy("value").agg(F.count("*").alias("parts"), F.max_by(F.struct("c", "centre"), F.struct("n", "c")).alias("m"))
         main = written(main.where("parts > 1").select("value", F.col("m.c").alias("main"), F.col("m.centre").alias("centre")), "main")
-        others = named.join(main, "value").where("c <> main")
+        others = named.join(broadcast_if_small(main), "value").where("c <> main")
         left = others.agg(F.sum("size")).first()[0]
         if left is None:  # all lists are connected
             return found
         last = k == ROUNDS or left <= FEW * posts
         if not last:
-            new = verified(others.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), grams, threshold)
+            own = parts.select("value", "c", F.col("centre").alias("pivot"), "drawn").join(broadcast_if_small(main.select("value", "main")), "value").where("c <> main")
+            own = written(own.groupBy("value").agg(F.min_by("pivot", "drawn").alias("pivot")), "pivots")
+            met = others.join(broadcast_if_small(own), "value").select("x", F.explode(F.array("centre", "pivot")).alias("y")).where(_match("x", "y", least))
+            new = verified(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a < b").distinct(), grams, threshold)
             new = written(new, "joined")
             last = not new.limit(1).count()
         if last:
             blocks = F.ceil(F.col("size") / LONG).cast("int")
-            outside = others.select("value", F.col("id").alias("x"), F.col("c").alias("cx"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-            every = named.join(main, "value", "left_semi").select("value", F.col("id").alias("y"), F.col("c").alias("cy"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-            pairs = outside.join(every, ["value", "block"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            outside = others.select("value", "x", F.col("c").alias("cx"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+            every = named.join(broadcast_if_small(main.select("value")), "value", "left_semi").select("value", F.col("x").alias("y"), F.col("c").alias("cy"), F.pmod(F.xxhash64("x.id"), blocks).cast("int").alias("block"))
+            pairs = outside.join(every, ["value", "block"]).where("cx <> cy").where(_match("x", "y", least)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
             new = verified(pairs, grams, threshold)
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new))
         if last:
@@ -384,8 +420,8 @@ def groups_of(grams: DataFrame, threshold: float = THRESHOLD, without: DataFrame
     ids = grams.select("id", "print") if without is None else grams.select("id", "print").join(without, "id", "left_anti")
     copies = ids.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     members = written(ids.join(copies, "print").select("id", "rep", "n"), "copies")
-    signs = signed(grams, frequent(grams, threshold=threshold)).join(members.where("id = rep").select("id"), "id", "left_semi")
-    met, lists = candidates(written(signs, "signatures"))
+    signs = signed(grams).join(members.where("id = rep").select("id"), "id", "left_semi")
+    met, lists = candidates(written(signs, "signatures"), threshold=threshold)
     found = connected(verified(met, grams, threshold), lists, grams, threshold)
     x = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return x.where(F.col("component").isNotNull() | (F.col("n") > 1)).select("id", F.coalesce("component", "rep").alias("group"))
@@ -399,5 +435,3 @@ def groups(texts: DataFrame, threshold: float = THRESHOLD, size: int = WORDS) ->
 def pairs(members: DataFrame) -> DataFrame:
     """(a, b), a < b, of every two members of one group."""
     return members.select("group", F.col("id").alias("a")).join(members.select("group", F.col("id").alias("b")), "group").where("a < b").select("a", "b")
-
-
