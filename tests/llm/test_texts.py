@@ -44,6 +44,32 @@ def test_leakage_after_dense_edits():
     assert leakage.leaked(" ".join(dense[:42]), ix) == []
 
 
+def test_leakage_of_short_passages(spark):
+    """Passages too short for q-grams are found whole, as words."""
+    items = [(1, "GDP grew 7%"), (2, "Profit rose sharply"), (3, "Hi"), (4, None), (5, "?!")]
+    docs = [(1, "It said GDP grew\n7 %, again."), (2, "profit ROSE sharply"), (3, "Nonprofit rose sharply; GDP grew 75"), (4, "Profit rose"), (5, "hi"), (6, "Delhi")]
+    got = {tuple(r) for r in leakage.search(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (5, 3)}
+
+
+@pytest.mark.parametrize(("words", "changes", "least"), [(25, [], 0.98), (25, [12], 0.98), (30, [5], 0.98), (45, [7, 15, 23, 31, 39], 0.98), (28, [9, 18], 0.95), (20, [], 0.0), (40, [3, 7, 11, 15, 19, 23, 27, 31, 35], 0.0)])
+@pytest.mark.parametrize("kind", ["changed", "missing", "added"])
+def test_leakage_recall(words, changes, least, kind):
+    """Stretches of 25 words or more with single words changed, missing or added; shorter or denser ones are no cases."""
+    rnd = random.Random(12)
+    pool = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(2, 10))) for _ in range(3000)]
+    items = [(k, " ".join(rnd.choices(pool, k=70))) for k in range(120)]
+    ix, found = leakage.index(items), 0
+    for k, t in items:
+        w = t.split()
+        at = rnd.randrange(70 - words)
+        s = w[at : at + words]
+        for c in reversed(changes):
+            s[c : c + (kind != "added")] = [] if kind == "missing" else [rnd.choice(pool)]
+        found += k in leakage.leaked(" ".join(rnd.choices(pool, k=40) + s + rnd.choices(pool, k=40)), ix)
+    assert found >= least * len(items) if least else found <= 0.02 * len(items)
+
+
 def test_leakage_in_parts(spark, monkeypatch):
     rnd = random.Random(2)
     items = [(k, text(rnd, 40)) for k in range(9)]
@@ -58,13 +84,6 @@ def test_labels(label, code):
     assert language.label_code(label) == code
 
 
-def test_labels_beyond_ten_thousand_spellings(spark):
-    found = spark.range(12_000).selectExpr("id as doc_id", "if(id % 2 = 0, concat('en-', id), concat('label ', id)) as lang", "'en' as main", "1.0D as confidence", "array(named_struct('line_no', 1L, 'lang', 'en', 'confidence', 1.0D)) as lines")
-    assert {tuple(r) for r in language.corrections(found).collect()} == {(k, 0, "en") for k in range(1, 12_000, 2)}
-    codes = {r.lang: r.code for r in language.label_codes(found).collect()}
-    assert len(codes) == 12_000 and codes["en-11998"] == "en" and codes["label 11999"] == ""
-
-
 SAMPLES = {
     "en": "the company said that the board will meet again in the third quarter and the shares fell",
     "de": "die Firma sagte dass der Vorstand sich im dritten Quartal wieder trifft und die Aktie verlor",
@@ -74,6 +93,12 @@ SAMPLES = {
 }
 
 
+@pytest.mark.skipif(not os.path.exists(language.VOCABULARY), reason="vocabulary files are not here")
+def test_twenty_thousand_spellings_of_labels(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", f"'{SAMPLES['en']}' as text", "if(id % 2 = 0, concat('en-', id), if(id % 20 = 1, concat('label ', id), concat('English (', id, ')'))) as lang")
+    assert {tuple(r) for r in language.corrections(language.identified(docs)).collect()} == {(k, 0, "en") for k in range(1, 20_000, 20)}
+
+
 @pytest.mark.skipif(not os.path.exists(language.VOCABULARY), reason="vocabulary files are not here")
 def test_languages(spark):
     rnd = random.Random(9)

@@ -28,11 +28,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import broadcast_if_small, written
-
 #: Languages told apart, with their names and three-letter codes (fixed values).
 LANGUAGES = {
     "en": ("english", "eng"), "hi": ("hindi", "hin"), "mr": ("marathi", "mar"), "bn": ("bengali", "ben", "bangla"), "ta": ("tamil", "tam"),
@@ -61,6 +59,7 @@ SCRIPTS = (("latin", 0x41, 0x24F), ("devanagari", 0x900, 0x97F), ("bengali", 0x9
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 
 
+@lru_cache(maxsize=100_000)
 def label_code(label: str | None) -> str | None:
     """The code that a label names, 'und' for labels that say there is none, None when it names no language."""
     text = (label or "").strip().lower().replace("_", "-")
@@ -78,16 +77,6 @@ def label_code(label: str | None) -> str | None:
     return None
 
 
-def label_codes(rows: DataFrame) -> DataFrame:
-    """(lang, code) of every spelling of a label in the column ``lang``; '' where it names no language."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([label_code(x) or "" for x in batch.column(0).to_pylist()], pa.string())], names=["lang", "code"])
-
-    return written(rows.select("lang").where("lang is not null").distinct().mapInArrow(run, "lang string, code string"), "labels")
-
-
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -137,30 +126,38 @@ class Model:
 
     def __init__(self, pieces: Pieces, languages: list[str], p: np.ndarray):
         self.pieces, self.languages, self.p = pieces, languages, p
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(languages)))
+        self.names = list(dict.fromkeys(languages))
+        self.variants = [[k for k, v in enumerate(languages) if v == n] for n in self.names]
 
-    def word(self, word: str) -> np.ndarray:
+    def _word(self, word: str) -> np.ndarray:
         """Log probability of a word in each variant, relative to the best one."""
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            found = np.zeros(len(self.languages))
-            data = word.encode("utf-8", "replace")
-            for k in range(0, len(data), 96):  # very long words in parts, so that nothing underflows
-                part = data[k : k + 96]
-                found = found + np.log(forward(self.pieces.lattice(part), self.p)[-1] + 1e-300)
-            found = np.maximum(found - found.max(), -MOST)
-            self.memo[word] = found
-        return found
-
-    def score(self, text: str) -> tuple[np.ndarray, int]:
-        """(log probabilities by variant, count of words) of a text."""
-        words = words_of(text)
-        out = np.zeros(len(self.languages))
-        for w in words:
-            out += self.word(w)
-        return out, len(words)
+        found = np.zeros(len(self.languages))
+        data = word.encode("utf-8", "replace")
+        for k in range(0, len(data), 96):  # very long words in parts, so that nothing underflows
+            part = data[k : k + 96]
+            found = found + np.log(forward(self.pieces.lattice(part), self.p)[-1] + 1e-300)
+        return np.maximum(found - found.max(), -MOST)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The log probabilities of the words, words x variants."""
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        get = self.memo.get
+        at = [get(w, -1) for w in words]
+        if -1 in at:
+            for k, w in enumerate(words):
+                if at[k] >= 0:
+                    continue
+                row = get(w)
+                if row is None:
+                    row = self.memo[w] = len(self.memo)
+                    if row >= len(self.rows):
+                        self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                    self.rows[row] = self._word(w)
+                at[k] = row
+        return self.rows[at]
 
 
 def fit(pieces: Pieces, counts: dict[tuple[str, str], Counter]) -> tuple[Model, list[tuple[str, str]]]:
@@ -209,11 +206,13 @@ def fit_twice(pieces: Pieces, sample: list[tuple[str, str]]) -> Model:
         count_words(text, code, counts)
     model, _ = fit(pieces, counts)
     counts = {}
-    for _, text in sample:
-        by_number = dict(lines_of(text))
-        for i, language, sure, _ in segments(text, model):
-            if language != UNKNOWN and sure > 0.9:
-                count_words(by_number[i], language, counts)
+    for k in range(0, len(sample), 256):
+        texts = [text for _, text in sample[k : k + 256]]
+        for text, parts in zip(texts, all_segments(texts, model), strict=True):
+            by_number = dict(lines_of(text))
+            for i, language, sure, _ in parts:
+                if language != UNKNOWN and sure > 0.9:
+                    count_words(by_number[i], language, counts)
     return fit(pieces, counts)[0]
 
 
@@ -224,34 +223,43 @@ def lines_of(text: str) -> list[tuple[int, str]]:
 
 def segments(text: str, model: Model) -> list[tuple[int, str, float, int]]:
     """(line number, language, confidence, characters) of every non-blank line."""
-    lines = lines_of(text)
+    return all_segments([text], model)[0]
+
+
+def all_segments(texts: list[str], model: Model) -> list[list[tuple[int, str, float, int]]]:
+    """:func:`segments` of each text."""
+    pages = [lines_of(t) for t in texts]
     if not model.languages:
-        return [(i, UNKNOWN, 0.0, len(t)) for i, t in lines]
-    names = list(dict.fromkeys(model.languages))
-    best = [[k for k, v in enumerate(model.languages) if v == n] for n in names]
-    scored = []
-    total = np.full(len(names), ELSEWHERE)
-    for i, t in lines:
-        s, n = model.score(t)
-        s = np.array([s[k].max() for k in best])
-        own = _posterior(s) * n if n else 0.0
-        total = total + own
-        scored.append((i, t, s, n, own))
-    out = []
-    for i, t, s, n, own in scored:
-        if not n:
-            out.append((i, UNKNOWN, 1.0, len(t)))
-            continue
-        others = np.maximum(total - own, ELSEWHERE)
-        post = _posterior(s + np.log(others / others.sum()))
-        k = int(post.argmax())
-        out.append((i, names[k], float(post[k]), len(t)))
+        return [[(i, UNKNOWN, 0.0, len(t)) for i, t in lines] for lines in pages]
+    words = [words_of(t) for lines in pages for _, t in lines]
+    sizes = np.array([len(w) for w in words], np.int64)
+    some = np.flatnonzero(sizes)
+    post = np.zeros((len(words), len(model.names)))
+    if len(some):
+        owner = np.repeat(np.arange(len(pages)), [len(lines) for lines in pages])[some]
+        each = model.scores([w for line in words for w in line])
+        by_variant = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[some])
+        s = np.stack([by_variant[:, k].max(axis=1) for k in model.variants], axis=1)
+        own = _posterior(s) * sizes[some][:, None]
+        total = np.full((len(pages), len(model.names)), ELSEWHERE)
+        np.add.at(total, owner, own)
+        others = np.maximum(total[owner] - own, ELSEWHERE)
+        post[some] = _posterior(s + np.log(others / others.sum(axis=1, keepdims=True)))
+    best = post.argmax(axis=1)
+    sure = post[np.arange(len(post)), best].tolist()
+    out, at = [], 0
+    for lines in pages:
+        parts = []
+        for i, t in lines:
+            parts.append((i, model.names[best[at]], sure[at], len(t)) if sizes[at] else (i, UNKNOWN, 1.0, len(t)))
+            at += 1
+        out.append(parts)
     return out
 
 
 def _posterior(s: np.ndarray) -> np.ndarray:
-    x = np.exp(s - s.max())
-    return x / x.sum()
+    x = np.exp(s - s.max(axis=-1, keepdims=True))
+    return x / x.sum(axis=-1, keepdims=True)
 
 
 def main_language(parts: list[tuple[int, str, float, int]]) -> tuple[str, float]:
@@ -266,19 +274,36 @@ def main_language(parts: list[tuple[int, str, float, int]]) -> tuple[str, float]
     return best, size[best] / sum(size.values())
 
 
+def sampled(documents: DataFrame, most: int) -> DataFrame:
+    """(code, text) of ``most`` labelled documents a language, those least by hash, in one scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, list[tuple[int, int, str]]] = {}
+        for batch in batches:
+            for text, label, h, i in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                code = label_code(label)
+                if code in LANGUAGES:
+                    own = least.setdefault(code, [])
+                    own.append((h, i, text))
+                    if len(own) >= 2 * most:
+                        own.sort()
+                        del own[most:]
+        rows = [(code, *x) for code, own in least.items() for x in sorted(own)[:most]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["code", "h", "doc_id", "text"])
+
+    kept = documents.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    kept = kept.mapInArrow(run, "code string, h bigint, doc_id bigint, text string")  # at most that many a task
+    return kept.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("h", "doc_id"))).where(F.col("k") <= most).select("code", "text")
+
+
 def train(documents: DataFrame, vocabulary: str = VOCABULARY) -> tuple[bytes, list[str], np.ndarray]:
     """The vocabulary file, the languages and their piece probabilities, from labelled rows of (doc_id, text, lang)."""
     data = Path(vocabulary).read_bytes()
     pieces = Pieces(data)
-    table = label_codes(documents.where("text is not null")).where(F.col("code").isin(*LANGUAGES))
-    codes = sorted(r[0] for r in table.select("code").distinct().collect())  # at most those of LANGUAGES
-    if not codes:
+    sample = sorted(tuple(r) for r in sampled(documents, SAMPLE_DOCUMENTS).collect())  # at most SAMPLE_DOCUMENTS a language
+    if not sample:
         return data, [], np.zeros((len(pieces.id), 0))
-    labelled = documents.where("text is not null").join(broadcast_if_small(table), "lang").select("code", "text", "doc_id")
-    sample = []
-    for code in codes:  # at most SAMPLE_DOCUMENTS a language, the least by hash
-        sample += labelled.where(F.col("code") == code).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).select("code", "text").collect()
-    model = fit_twice(pieces, [tuple(r) for r in sample])
+    model = fit_twice(pieces, sample)
     return data, model.languages, model.p
 
 
@@ -288,8 +313,8 @@ def _worker_model(key: str, data: bytes, languages: tuple[str, ...], p: bytes) -
 
 
 def identified(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, lang, main, confidence, lines) of every non-blank document of (doc_id, text, lang); ``lines`` holds (line_no,
-    lang, confidence) of each of its non-blank lines."""
+    """(doc_id, lang, code, main, confidence, lines) of every non-blank document of (doc_id, text, lang); ``code`` is what
+    its label names, '' if nothing; ``lines`` holds (line_no, lang, confidence) of each of its non-blank lines."""
     data, languages, p = train(documents, vocabulary)
     shared = documents.sparkSession.sparkContext.broadcast((data, tuple(languages), np.ascontiguousarray(p).tobytes()))  # fixed: pieces x languages
 
@@ -297,27 +322,26 @@ def identified(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         data_, languages_, p_ = shared.value
         model = _worker_model(str(len(p_)), data_, languages_, p_)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for i, text, label in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if not text or not text.strip():
-                    continue
-                parts = segments(text, model)
-                main, share = main_language(parts)
-                for c, v in zip(out, (i, label, main, share, [{"line_no": n, "lang": x, "confidence": s} for n, x, s, _ in parts]), strict=True):
-                    c.append(v)
-            kind = pa.list_(pa.struct([("line_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64()), pa.array(out[4], kind)], names=["doc_id", "lang", "main", "confidence", "lines"])
-
-    schema = "doc_id bigint, lang string, main string, confidence double, lines array<struct<line_no: bigint, lang: string, confidence: double>>"
+            rows = [r for r in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if r[1] and r[1].strip()]
+            found: list = []
+            for k in range(0, len(rows), 512):
+                found += all_segments([r[1] for r in rows[k : k + 512]], model)
+            mains = [main_language(parts) for parts in found]
+            flat = [x for parts in found for x in parts]
+            ends = np.cumsum([0, *(len(parts) for parts in found)])
+            lines = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.float64()))], names=["line_no", "lang", "confidence"])
+            own = {"doc_id": pa.array([r[0] for r in rows], pa.int64()), "lang": pa.array([r[2] for r in rows], pa.string()), "code": pa.array([label_code(r[2]) or "" for r in rows], pa.string())}
+            own |= {"main": pa.array([m[0] for m in mains], pa.string()), "confidence": pa.array([m[1] for m in mains], pa.float64()), "lines": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines)}
+            yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
+
+    schema = "doc_id bigint, lang string, code string, main string, confidence double, lines array<struct<line_no: bigint, lang: string, confidence: double>>"
     return documents.select(F.col("doc_id").cast("bigint"), "text", "lang").mapInArrow(run, schema)
 
 
 def corrections(found: DataFrame) -> DataFrame:
     """(doc_id, line_no, lang): line 0 with the main language where the label is missing or another's, and every line of documents
     in more than one language."""
-    x = found.join(broadcast_if_small(label_codes(found)), "lang", "left")
-    code = F.coalesce("code", F.lit(""))
-    wrong = x.where(code != F.col("main")).select("doc_id", F.lit(0).cast("bigint").alias("line_no"), F.col("main").alias("lang"))
+    wrong = found.where("code <> main").select("doc_id", F.lit(0).cast("bigint").alias("line_no"), F.col("main").alias("lang"))
     several = F.size(F.array_distinct(F.filter("lines.lang", lambda v: v != UNKNOWN))) > 1
     each = found.where(several).select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.line_no", "x.lang")
     return wrong.union(each)

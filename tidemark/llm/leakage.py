@@ -7,12 +7,15 @@ cut first. By the q-gram lemma two strings within an edit budget still share a n
   2. Every text position whose q-gram the index knows gives (passage, diagonal). Hits are counted in diagonal bands of width BAND
      that overlap by half. A region is kept when its count reaches the bound of the lemma for the shortest stretch that counts
      (STRETCH words) with one word in EDIT_EVERY changed.
-  3. A kept region is verified by alignment within the band: exact runs on single diagonals are chained where single words between
-     them were changed, added or dropped. A chain counts when it spans STRETCH words of the passage, or all of it, and FAR words
-     a run; every chain is tested, from each run on, so what precedes a stretch doesn't matter.
+  3. A kept region is verified by alignment within the band: all diagonals of the band are compared letter by letter, their exact
+     runs of RUN or more are chained where one word between them was changed, added or dropped. A chain counts when it spans
+     STRETCH words of the passage, or all of it but one, and FAR words a run on average; every chain is tested, from each run on,
+     so what precedes a stretch doesn't matter.
+Passages of fewer than SHORT_WORDS words have too few q-grams for that: they are looked up whole, as a sequence of words.
 
 Defined results: null and empty texts and passages match nothing; a text and passage are reported once however often they match;
-a passage shorter than STRETCH words counts when it is held whole; texts are searched whole; repeated rows are found alike.
+a passage shorter than STRETCH words counts when it is held whole (from SHORT_WORDS words on, but for one word at its ends); texts
+are searched whole; repeated rows are found alike. Of a stretch, words changed at its very ends don't count.
 """
 
 from __future__ import annotations
@@ -28,27 +31,40 @@ from pyspark.sql import functions as F
 
 #: q-gram length in characters, width of a diagonal band, words of a stretch, and at most one changed word in so many.
 Q, BAND, STRETCH, EDIT_EVERY = 12, 64, 25, 10
-#: Shortest exact run, and longest text between two runs (one changed, added or dropped word), in characters.
-RUN, GAP = 20, 22
+#: Shortest exact run, and how far two runs may overlap or lie apart (one changed, added or dropped word), in characters.
+RUN, GAP = 6, 30
 #: Share of a chain's characters that must match, and words a run of it must have on average: the edits are single and far apart.
-MATCHED, FAR = 0.85, 9
+MATCHED, FAR = 0.8, 7
+#: Passages of fewer words are looked up whole.
+SHORT_WORDS = 10
 #: Passages shipped to the tasks at once.
 PASSAGES = 20_000
 
 _MARKUP = re.compile(r"<[^<>\n]{1,80}>|&(?:[a-z]{2,8}|#\d{1,6});")
 _PIECE = re.compile(r"[^\W_]+")
 _BITS = 22
+#: What makes a diagonal positive, and the bits of its band; neither texts nor passages are that long.
+_OFFSET, _BAND_BITS = 1 << 36, 36
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def pieces_of(text: str) -> list[str]:
+    """The words of a text without markup, each reduced to its letters and digits in lower case."""
+    return [p for w in _MARKUP.sub(" ", text).lower().split() if (p := "".join(_PIECE.findall(w)))]
+
+
 def reduce(text: str) -> str:
     """Letters and digits only, in lower case, without markup."""
     return "".join(_PIECE.findall(_MARKUP.sub(" ", text).lower()))
 
 
+def letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def codes(text: str) -> np.ndarray:
     """A 64-bit hash of every q-gram of a reduced text, by position."""
-    x = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    x = letters(text).astype(np.uint64)
     n = len(x) - Q + 1
     if n < 1:
         return np.empty(0, np.uint64)
@@ -73,38 +89,41 @@ class Index:
     place: np.ndarray
     known: np.ndarray
     least: np.ndarray
+    short: dict[str, list[int]]
 
 
 def index(rows: list[tuple[int, str]]) -> Index:
     """The index of (id, text) passages."""
-    ids, texts, starts, all_codes, owners, places, least = [], [], [], [], [], [], []
+    ids, texts, starts, all_codes, owners, places, least, short = [], [], [], [], [], [], [], {}
     for i, text in rows:
-        pieces = [p for w in _MARKUP.sub(" ", text or "").lower().split() if (p := "".join(_PIECE.findall(w)))]
+        pieces = pieces_of(text or "")
         flat = "".join(pieces)
         c = codes(flat)
-        if not len(c):
+        if len(pieces) < SHORT_WORDS or not len(c):
+            if pieces:
+                short.setdefault(" ".join(_PIECE.findall(_MARKUP.sub(" ", text).lower())), []).append(i)
             continue
-        at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        sizes = np.array([len(p) for p in pieces])
+        at = np.concatenate([[0], np.cumsum(sizes)])
         span = min(STRETCH, len(pieces))
         length = int((at[span:] - at[: len(at) - span]).min())
-        edits = span // EDIT_EVERY
         # the lemma: of length - Q + 1 q-grams each changed word costs those that touch it
-        least.append(max(Q, length - Q + 1 - edits * (Q - 1 + 8)))
+        least.append(max(Q, length - Q + 1 - int(np.sort(sizes)[::-1][: span // EDIT_EVERY].sum() + (Q - 1) * (span // EDIT_EVERY))))
         all_codes.append(c)
         owners.append(np.full(len(c), len(ids)))
         places.append(np.arange(len(c)))
         ids.append(i)
         texts.append(flat)
         starts.append(at)
+    known = np.zeros(1 << _BITS, bool)
     if not ids:
-        return Index(np.empty(0, np.int64), [], [], *(np.empty(0, np.uint64) for _ in range(2)), *(np.empty(0, np.int64) for _ in range(2)), np.zeros(1 << _BITS, bool), np.empty(0, np.int64))
+        return Index(np.empty(0, np.int64), [], [], *(np.empty(0, np.uint64) for _ in range(2)), *(np.empty(0, np.int64) for _ in range(2)), known, np.empty(0, np.int64), short)
     c, o, p = np.concatenate(all_codes), np.concatenate(owners), np.concatenate(places)
     order = np.argsort(c, kind="stable")
     c, o, p = c[order], o[order], p[order]
     distinct, first = np.unique(c, return_index=True)
-    known = np.zeros(1 << _BITS, bool)
     known[(distinct >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Index(np.array(ids, np.int64), texts, starts, distinct, np.append(first, len(c)), o, p, known, np.array(least))
+    return Index(np.array(ids, np.int64), texts, starts, distinct, np.append(first, len(c)), o, p, known, np.array(least), short)
 
 
 def hits(text: str, ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,49 +145,71 @@ def regions(passage: np.ndarray, place: np.ndarray, at: np.ndarray, ix: Index) -
     """(passage, lowest diagonal, highest diagonal) of the bands that reach the lemma's bound."""
     if not len(at):
         return []
-    diagonal = at - place + (1 << 20)
+    diagonal = at - place + _OFFSET
     out = []
     for shift in (0, BAND // 2):
         band = (diagonal + shift) // BAND
-        keys, n = np.unique(passage.astype(np.int64) << 32 | band, return_counts=True)
-        good = n >= ix.least[keys >> 32]
+        keys, n = np.unique(passage.astype(np.int64) << _BAND_BITS | band, return_counts=True)
+        good = n >= ix.least[keys >> _BAND_BITS]
         for key in keys[good]:
-            b = int(key & 0xFFFFFFFF) * BAND - shift - (1 << 20)
-            out.append((int(key >> 32), b, b + BAND))
+            b = int(key & ((1 << _BAND_BITS) - 1)) * BAND - shift - _OFFSET
+            out.append((int(key >> _BAND_BITS), b, b + BAND))
     return out
 
 
-def aligned(passage: int, low: int, high: int, found: tuple[np.ndarray, np.ndarray, np.ndarray], ix: Index) -> bool:
+def runs_of(x: np.ndarray, y: np.ndarray, low: int, high: int) -> list[tuple[int, int, int]]:
+    """(place in the text ``x``, place in the passage ``y``, length) of the exact runs of RUN or more on the diagonals low..high."""
+    width, n = high - low, len(y)
+    padded = np.zeros(width + n, np.uint32)  # no letter is 0
+    a, z = max(0, low), min(len(x), high + n)
+    if z <= a:
+        return []
+    padded[a - low : z - low] = x[a:z]
+    same = np.zeros((width, n + 1), bool)
+    same[:, :-1] = np.lib.stride_tricks.sliding_window_view(padded, n)[:width] == y
+    flat = same.ravel()
+    turn = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+    if flat[0]:
+        turn = np.concatenate([[0], turn])
+    head, tail = turn[::2], turn[1::2]
+    long = tail - head >= RUN
+    d, place = np.divmod(head[long], n + 1)
+    return sorted(zip((d + low + place).tolist(), place.tolist(), (tail - head)[long].tolist(), strict=True))
+
+
+def touched(starts: np.ndarray, a: int, z: int) -> int:
+    """How many words lie in the characters a..z, in part or whole."""
+    return 0 if z <= a else int(np.searchsorted(starts, z - 1, "right") - np.searchsorted(starts, a, "right")) + 1
+
+
+def aligned(passage: int, low: int, high: int, text: np.ndarray, text_starts: np.ndarray, ix: Index) -> bool:
     """Whether the exact runs of a band chain to a stretch of the passage that counts."""
-    o, p, a = found
-    d = a - p
-    own = (o == passage) & (d >= low - BAND // 2) & (d < high + BAND // 2)
-    p, a, d = p[own], a[own], d[own]
-    order = np.lexsort((p, d))
-    p, a, d = p[order], a[order], d[order]
-    breaks = np.flatnonzero((np.diff(d) != 0) | (np.diff(p) != 1)) + 1
-    heads, tails = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(p)]]) - 1
-    runs = sorted((int(a[h]), int(p[h]), int(p[t] - p[h]) + Q) for h, t in zip(heads, tails, strict=True) if p[t] - p[h] + Q >= RUN)
+    runs = runs_of(text, letters(ix.texts[passage]), low - BAND // 2, high + BAND // 2)
     starts = ix.starts[passage]
     words = len(starts) - 1
+    need = min(STRETCH, words - 1)
     most = max(1, words // FAR)  # longer chains are refused
     chains: list[dict[tuple[int, int], int]] = []  # (place in the passage where a chain began, its runs): most characters matched
     for k, (at, place, n) in enumerate(runs):
         own_chains = {(place, 1): n}
         for (at0, place0, n0), before in zip(reversed(runs[:k]), reversed(chains), strict=True):
             gap_text, gap_passage = at - (at0 + n0), place - (place0 + n0)
-            if -Q <= gap_text <= GAP and -Q <= gap_passage <= GAP and place > place0 and at > at0:
-                more = n - max(0, -gap_text, -gap_passage)
-                for (begin, parts), matched in before.items():
-                    if parts < most and matched + more > own_chains.get((begin, parts + 1), 0):
-                        own_chains[begin, parts + 1] = matched + more
+            if not (-Q <= gap_text <= GAP and -Q <= gap_passage <= GAP and place > place0 and at > at0):
+                continue
+            overlap = max(0, -gap_text, -gap_passage)
+            cuts = ((0, overlap), (overlap, 0))  # letters that both runs claim belong to either
+            if all(touched(starts, place0 + n0 - u, place + v) > 1 or touched(text_starts, at0 + n0 - u, at + v) > 2 for u, v in cuts):
+                continue  # more than one word was changed
+            for (begin, parts), matched in before.items():
+                if parts < most and matched + n - overlap > own_chains.get((begin, parts + 1), 0):
+                    own_chains[begin, parts + 1] = matched + n - overlap
         chains.append(own_chains)
         end = place + n
         last = int(np.searchsorted(starts, end, "right")) - 1
         for (begin, parts), matched in own_chains.items():
             # words of the passage that lie in the stretch whole
             inside = last - int(np.searchsorted(starts, begin))
-            if inside >= min(STRETCH, words - 1) and matched >= MATCHED * (end - begin) and (parts == 1 or inside >= FAR * parts):
+            if inside >= need and matched >= MATCHED * (end - begin) and (parts == 1 or inside >= FAR * parts):
                 return True
     return False
 
@@ -178,12 +219,18 @@ def leaked(text: str | None, ix: Index) -> list[int]:
     if not text:
         return []
     flat = reduce(text)
-    found = hits(flat, ix)
     out: set[int] = set()
-    for passage, low, high in regions(*found, ix):
-        if passage not in out and aligned(passage, low, high, found, ix):
-            out.add(passage)
-    return [int(ix.ids[k]) for k in sorted(out)]
+    some = regions(*hits(flat, ix), ix)
+    if some:
+        x, starts = letters(flat), np.cumsum([0] + [len(p) for p in pieces_of(text)])
+        for passage, low, high in some:
+            if passage not in out and aligned(passage, low, high, x, starts, ix):
+                out.add(passage)
+    found = [int(ix.ids[k]) for k in out]
+    if ix.short:
+        words = f" {' '.join(_PIECE.findall(_MARKUP.sub(' ', text).lower()))} "
+        found += [i for passage, ids in ix.short.items() if f" {passage} " in words for i in ids]
+    return sorted(found)
 
 
 def search(documents: DataFrame, passages: DataFrame) -> DataFrame:
