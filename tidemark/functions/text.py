@@ -81,14 +81,20 @@ def dedupe_key(headline: Column) -> Column:
     return F.sha1(F.trim(plain))
 
 
+_SUFFIX = r"(?i)[\s,]+(?:" + "|".join(r"\.?\s+".join(x.split()) for x in SUFFIXES) + r")\.?$"
+
+
 def stripped_suffix(name: Column) -> Column:
-    """The company name without a corporate suffix; null where it has none."""
-    out = F.lit(None).cast("string")
-    for s in reversed(SUFFIXES):
-        pattern = r"(?i)[\s,]+" + r"\.?\s+".join(s.split()) + r"\.?$"
-        cut = F.rtrim(F.regexp_replace(F.regexp_replace(F.trim(name), pattern, ""), r",+$", ""))
-        out = F.when(F.trim(name).rlike(pattern) & (cut != ""), cut).otherwise(out)
-    return out
+    """The company name without a corporate suffix; null where it has none, or is nothing else."""
+    cut = F.rtrim(F.regexp_replace(F.regexp_replace(F.trim(name), _SUFFIX, ""), r",+$", ""))
+    return F.when(F.trim(name).rlike(_SUFFIX) & (cut != ""), cut)
+
+
+def alias_list(names: Column) -> Column:
+    """The names to look for, trimmed, the longest first (then in order), each spelling once whatever its case; blanks dropped."""
+    placed = F.array_sort(F.transform(names, lambda n, i: F.struct((-F.length(n)).alias("down"), i.alias("i"), F.trim(n).alias("n"))))
+    given = F.filter(F.transform(placed, lambda x: x["n"]), lambda n: F.coalesce(n, F.lit("")) != "")
+    return F.aggregate(given, F.array().cast("array<string>"), lambda acc, n: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(n)), acc).otherwise(F.concat(acc, F.array(n))))
 
 
 def alias_pattern(alias: Column) -> Column:

@@ -45,3 +45,24 @@ def outside(items: DataFrame, intervals: DataFrame, day: str) -> DataFrame:
     """The items whose day lies in no interval (start, end) of their symbol: intervals are spelled out as days and anti-joined."""
     days = intervals.select("symbol", F.explode(F.sequence("start", "end")).alias(day)).distinct()
     return items.join(days, ["symbol", day], "left_anti")
+
+
+def inside(items: DataFrame, intervals: DataFrame, day: str) -> DataFrame:
+    """The items whose day lies in an interval (start, end) of their symbol."""
+    days = intervals.select("symbol", F.explode(F.sequence("start", "end")).alias(day)).distinct()
+    return items.join(days, ["symbol", day], "left_semi")
+
+
+def sufficient(segments: DataFrame, requests: DataFrame) -> DataFrame:
+    """(symbol, start, end) of the segments whose ``sources`` hold all sources that the symbol's request has in ``wanted``."""
+    x = segments.join(requests.select("symbol", "wanted"), "symbol")
+    return x.where(F.size(F.array_except("wanted", "sources")) == 0).select("symbol", "start", "end")
+
+
+def replaced(cached: DataFrame, fresh: DataFrame, gaps_: DataFrame, day: str) -> DataFrame:
+    """What a cache holds after its gaps were filled: cached items outside them and the fresh ones. Of an address (symbol, url) a fresh
+    item wins over a cached one, then the last one (seq)."""
+    both = outside(cached, gaps_, day).withColumn("__fresh", F.lit(0)).unionByName(fresh.withColumn("__fresh", F.lit(1)))
+    rest = [c for c in cached.columns if c not in ("symbol", "url")]
+    x = both.groupBy("symbol", "url").agg(F.max_by(F.struct(*rest), F.struct("__fresh", "seq")).alias("x"))
+    return x.select("symbol", "url", "x.*")

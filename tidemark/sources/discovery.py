@@ -10,12 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 CANDIDATE = "source string, url string, hint_date date, seq bigint"
 
 
 def discovered(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], wanted: list[str]) -> tuple[DataFrame, dict[str, str]]:
-    """The union of the wanted sources' candidates, in the order given, and a status by source. A source that is unknown or fails
-    gives a status and no candidates; the others aren't touched by it."""
+    """The union of the wanted sources' candidates, in the order given, and a status by source. A source that is unknown or fails,
+    when it is planned or while it runs, gives a status and no candidates; the others aren't touched by it. Each source is written to
+    the shared folder on its own for that."""
     out, status = spark.createDataFrame([], CANDIDATE), {}
     for k, name in enumerate(wanted):
         if name not in sources:
@@ -23,8 +26,7 @@ def discovered(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]],
             continue
         try:
             one = sources[name]().select(F.lit(name).alias("source"), "url", "hint_date", (F.lit(k).cast("bigint") * (1 << 40) + F.monotonically_increasing_id()).alias("seq"))
-            one.schema  # noqa: B018  the plan is analysed here, so a broken source fails alone
-            out, status[name] = out.unionByName(one), "ok"
+            out, status[name] = out.unionByName(written(one, "candidates")), "ok"
         except Exception as e:  # one source's failure is its status
             status[name] = f"failed: {type(e).__name__}"
     return out, status
@@ -106,6 +108,85 @@ def preferred(rows: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     return rows.join(best, ["ticker", "label"])
 
 
+class _Insights(_Table):
+    """The cells of the element named ``insights``, each as its first piece of text."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.depth, self.within = 0, False
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.within:
+            self.depth += tag == "section"
+        elif dict(attrs).get("id") == "insights":
+            self.within, self.depth = True, 1
+        if self.within:
+            super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        super().handle_endtag(tag)
+        if self.within and tag == "section":
+            self.depth -= 1
+            self.within = self.depth > 0
+
+    def handle_data(self, data: str) -> None:
+        if self.within and self.cell is not None and not self.cell and data.strip():
+            self.cell.append(data)
+
+
+def order_book(html: str | None) -> tuple[str, float | None]:
+    """(status, latest value): 'available', 'masked' where the row is there without a figure, 'not applicable' without such a row."""
+    t = _Insights()
+    t.feed(html or "")
+    for row in t.rows:
+        if row and row[0] == "Order Book":
+            values = [number(c) for c in row[1:]]
+            return ("available", values[-1]) if any(v is not None for v in values) else ("masked", None)
+    return "not applicable", None
+
+
+def order_books(pages: DataFrame) -> DataFrame:
+    """(ticker, status, value) of (ticker, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(t, *order_book(text)) for t, text in zip(b["ticker"], b["text"], strict=True)], columns=["ticker", "status", "value"])
+
+    return pages.select("ticker", "text").mapInPandas(run, "ticker string, status string, value double")
+
+
+def _latest(quarters_: DataFrame) -> DataFrame:
+    """(ticker, label, values): the values of each row in order of time; some dozens of quarters."""
+    day = F.to_date(F.concat(F.lit("01 "), F.initcap(F.substring("quarter", 1, 3)), F.substring_index("quarter", " ", -1)), "dd MMMyyyy")
+    x = quarters_.groupBy("ticker", "label").agg(F.array_sort(F.collect_list(F.struct(day.alias("day"), "value"))).alias("v"))
+    return x.select("ticker", "label", F.transform("v", lambda q: q["value"]).alias("values"))
+
+
+def _back(values: Column, k: int) -> Column:
+    return F.try_element_at(values, F.lit(-1 - k))
+
+
+def changed(values: Column, k: int) -> Column:
+    """The change from ``k`` quarters back to the latest, relative to the size of the earlier; null where either is missing or 0."""
+    return F.try_divide(_back(values, 0) - _back(values, k), F.abs(_back(values, k)))
+
+
+def nopat(quarters_: DataFrame, income: tuple[str, ...] = ("Operating Profit", "Financing Profit"), tax: str = "Tax %") -> DataFrame:
+    """(ticker, nopat): the latest operating income after the latest tax rate; null where either is missing."""
+    own = _latest(preferred(quarters_, income)).select("ticker", _back(F.col("values"), 0).alias("income"))
+    rate = _latest(quarters_.where(F.col("label") == tax)).select("ticker", _back(F.col("values"), 0).alias("rate"))
+    return own.join(rate, "ticker", "left").select("ticker", (F.col("income") * (1 - F.col("rate") / 100)).alias("nopat"))
+
+
+def financials(tickers: DataFrame, quarters_: DataFrame, revenue: tuple[str, ...]) -> DataFrame:
+    """(ticker, label, revenue, qoq, yoy, tax_rate, nopat) of every ticker; what a page lacks is null."""
+    rows = _latest(preferred(quarters_, revenue))
+    v = F.col("values")
+    own = rows.select("ticker", "label", _back(v, 0).alias("revenue"), changed(v, 1).alias("qoq"), changed(v, 4).alias("yoy"))
+    rate = _latest(quarters_.where("label = 'Tax %'")).select("ticker", _back(v, 0).alias("tax_rate"))
+    return tickers.join(own, "ticker", "left").join(rate, "ticker", "left").join(nopat(quarters_), "ticker", "left")
+
+
 def reading(pages: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """Adds ``value``: the first figure that a pattern's group finds, null where it finds none."""
     return pages.withColumn("value", F.replace(F.regexp_extract(text, pattern, 1), F.lit(",")).try_cast("double"))

@@ -58,6 +58,11 @@ def daily_map_json(df: DataFrame, text: str = "text") -> DataFrame:
     return x.select("symbol", F.to_date("day").alias("date"), F.col("f")["4. close"].cast("double").alias("close"), F.lit(None).cast("double").alias("volume"))
 
 
+def provider_symbol(symbol: Column) -> Column:
+    """A symbol as the provider of date maps writes it: its own exchange suffix, no caret of indices."""
+    return F.replace(F.regexp_replace(symbol, r"\.NS$", ".BSE"), F.lit("^"))
+
+
 def news_bundle(spark: SparkSession, path: str) -> DataFrame:
     """The items of saved bundles, in order (``seq``); missing fields are null. The trading day is never read, it depends on the
     calendar at hand."""
@@ -66,11 +71,11 @@ def news_bundle(spark: SparkSession, path: str) -> DataFrame:
     return x.withColumn("published_at", F.try_to_timestamp("published_at"))
 
 
-def save_bundle(news: DataFrame, path: str, company: str, ticker: str) -> None:
-    """One bundle a file of a company's items, in order."""
+def save_bundle(news: DataFrame, path: str, company: str, ticker: str, most: int = 10_000) -> None:
+    """Bundles of a company's items in order, each of at most ``most`` (a run of seq), so that no task holds all of them."""
     fields = [c for c in news.columns if c != "seq"]
-    items = news.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("i")))), lambda x: x["i"]).alias("items"))
-    items.select(F.lit(company).alias("company"), F.lit(ticker).alias("ticker"), "items").write.mode("overwrite").json(path)
+    items = news.groupBy(F.floor(F.col("seq") / most).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("i")))), lambda x: x["i"]).alias("items"))
+    items.select(F.lit(company).alias("company"), F.lit(ticker).alias("ticker"), "items").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def unescaped(text: Column) -> Column:
