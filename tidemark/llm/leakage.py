@@ -106,9 +106,10 @@ def index(rows: list[tuple[int, str]]) -> Index:
         sizes = np.array([len(p) for p in pieces])
         at = np.concatenate([[0], np.cumsum(sizes)])
         span = min(STRETCH, len(pieces))
-        length = int((at[span:] - at[: len(at) - span]).min())
-        # the lemma: of length - Q + 1 q-grams each changed word costs those that touch it
-        least.append(max(Q, length - Q + 1 - int(np.sort(sizes)[::-1][: span // EDIT_EVERY].sum() + (Q - 1) * (span // EDIT_EVERY))))
+        # the lemma: of length - Q + 1 q-grams each changed word costs those that touch it; the least over all stretches
+        edits = span // EDIT_EVERY
+        costly = np.sort(np.lib.stride_tricks.sliding_window_view(sizes, span), axis=1)[:, span - edits :].sum(axis=1)
+        least.append(max(Q, int((at[span:] - at[: len(at) - span] - costly).min()) - (Q - 1) * (edits + 1)))
         all_codes.append(c)
         owners.append(np.full(len(c), len(ids)))
         places.append(np.arange(len(c)))
