@@ -15,5 +15,5 @@ def test_stream_equals_batch(spark, tmp_path):
     want = df.groupBy(F.date_trunc("hour", "ts").alias("h"), "event_type").agg(F.count("*").alias("n"))
     assert {(r.window.start, r.event_type, r.n) for r in got.collect()} == {(r.h, r.event_type, r.n) for r in want.collect()}
     assert C.drained(C.distinct(C.events(spark, str(tmp_path))), "d").count() == 200
-    assert {(r.user_id, r.n) for r in C.drained(C.running_counts(C.events(spark, str(tmp_path))), "r", "update").collect()} == {(0, 67), (1, 67), (2, 67)}
+    assert {(r.user_id, r.n) for r in C.drained(C.running_counts(C.events(spark, str(tmp_path))), "r", "update", ["user_id"]).collect()} == {(0, 67), (1, 67), (2, 67)}
     assert C.drained(C.sessions(C.events(spark, str(tmp_path)), "10 minutes"), "s", "complete").count() >= 1

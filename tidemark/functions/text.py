@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,37 +101,58 @@ def alias_list(names: Column) -> Column:
     return F.aggregate(given, F.array().cast("array<string>"), lambda acc, n: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(n)), acc).otherwise(F.concat(acc, F.array(n))))
 
 
-def alias_pattern(alias: Column) -> Column:
-    """A pattern for an alias as whole words, white space runs and English inflection allowed."""
-    escaped = F.regexp_replace(alias, r"([\\.^$|?*+()\[\]{}-])", r"\\$1")
-    return F.concat(F.lit(r"(?i)\b"), F.regexp_replace(escaped, r"\s+", r"\\s+"), F.lit(r"(?:['’]s|s['’]|s)?\b"))
+@lru_cache(maxsize=100_000)
+def alias_pattern(alias: str) -> re.Pattern:
+    """A pattern for an alias as whole words in any case: white space runs, plural and possessive forms are allowed."""
+    words = r"\s+".join(re.escape(w) for w in alias.split())
+    return re.compile(rf"\b{words}(?:['’]s|s['’]|s)?\b", re.IGNORECASE)
+
+
+HITS = "h int, b int, at int, words int, matched array<string>"
+
+
+def _alias_hits(headlines: pd.Series, bodies: pd.Series, aliases: pd.Series) -> pd.DataFrame:
+    """Matches in headline and body, the place of the first one in the body (null without), the body's words and the aliases met."""
+    rows = []
+    for headline, body, names in zip(headlines, bodies, aliases, strict=True):
+        h, b, at, met = 0, 0, None, []
+        low_h, low_b = headline.lower(), body.lower()
+        for name in names:
+            if len(name) < 3:
+                continue
+            first = name.split()[0].lower() if name.strip() else ""
+            if not first or (first not in low_h and first not in low_b):
+                continue  # much cheaper to see than by pattern
+            p = alias_pattern(name)
+            own_h = len(p.findall(headline))
+            places = [m.start() for m in p.finditer(body)]
+            if own_h or places:
+                h, b = h + own_h, b + len(places)
+                if places:
+                    at = places[0] if at is None else min(at, places[0])
+                if not any(name.lower() in m.lower() for m in met):
+                    met.append(name)
+        rows.append((h, b, at, len(body.split()), met))
+    out = pd.DataFrame(rows, columns=["h", "b", "at", "words", "matched"])
+    return out.astype({"h": "int32", "b": "int32", "at": "Int32", "words": "int32"})
 
 
 def relevance(headline: Column, body: Column, aliases: Column) -> Column:
     """A struct (score, matched, headline_match) of a row for its array of aliases, longest first; aliases of fewer than three
-    characters don't count. The score is rounded to four places."""
+    characters don't count. The score is rounded to four places. Patterns are compiled once an alias and worker."""
     h, b = F.coalesce(headline, F.lit("")), F.coalesce(body, F.lit(""))
-    # a text that lacks an alias's first word can't match it: that is much cheaper to see than by pattern
-    seen = lambda text, a: F.contains(F.lower(text), F.lower(F.split(a, r"\s+")[0]))
-    zero = F.lit(0)
-    hits = F.transform(F.filter(aliases, lambda a: F.length(a) >= 3), lambda a: F.struct(
-        a.alias("alias"), F.when(seen(h, a), F.regexp_count(h, alias_pattern(a))).otherwise(zero).alias("h"),
-        F.when(seen(b, a), F.regexp_count(b, alias_pattern(a))).otherwise(zero).alias("b"), F.when(seen(b, a), F.regexp_instr(b, alias_pattern(a))).otherwise(zero).alias("at")))
-    hits = F.filter(hits, lambda x: (x["h"] > 0) | (x["b"] > 0))
-    matched = F.aggregate(hits, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.contains(F.lower(y), F.lower(x["alias"]))), acc).otherwise(F.concat(acc, F.array(x["alias"]))))
-    nh, nb = F.aggregate(hits, F.lit(0), lambda acc, x: acc + x["h"]), F.aggregate(hits, F.lit(0), lambda acc, x: acc + x["b"])
-    first = F.array_min(F.transform(F.filter(hits, lambda x: x["at"] > 0), lambda x: x["at"])) - 1
-    count = F.size(F.filter(F.split(F.trim(b), r"(?U)\s+"), lambda w: w != ""))
+    x = F.pandas_udf(_alias_hits, HITS)(h, b, aliases)
+    nh, nb, first = x["h"], x["b"], x["at"]
     ratio = first / F.greatest(F.length(b), F.lit(1))
     score = (
         F.when(nh > 0, W_HEADLINE).otherwise(0.0)
-        + F.when(nb > 0, W_BODY * (1 - F.exp(-nb / 3)) + F.least(F.lit(W_DENSITY), 0.06 * nb / F.greatest(count / 100, F.lit(1.0)))).otherwise(0.0)
-        + F.when(first.isNull() | (b == ""), 0.0).when(ratio < 0.15, W_EARLY).when(ratio > 0.60, -P_LATE).otherwise(0.0)
+        + F.when(nb > 0, W_BODY * (1 - F.exp(-nb / 3)) + F.least(F.lit(W_DENSITY), 0.06 * nb / F.greatest(x["words"] / 100, F.lit(1.0)))).otherwise(0.0)
+        + F.when(first.isNull(), 0.0).when(ratio < 0.15, W_EARLY).when(ratio > 0.60, -P_LATE).otherwise(0.0)
         - F.when(h.rlike(ROUNDUP), P_ROUNDUP).otherwise(0.0)
         - F.when((nh == 0) & (nb > 0), P_BODY_ONLY).otherwise(0.0)
     )
-    clamped = F.when(F.size(matched) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
-    return F.struct(F.round(clamped, 4).alias("score"), matched.alias("matched"), (nh > 0).alias("headline_match"))
+    clamped = F.when((nh == 0) & (nb == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    return F.struct(F.round(clamped, 4).alias("score"), x["matched"].alias("matched"), (nh > 0).alias("headline_match"))
 
 
 def chunks(text: Column, size: int = 300) -> Column:

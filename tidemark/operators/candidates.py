@@ -23,17 +23,34 @@ def prefilter(candidates: DataFrame, groups: str, skip: int = 0) -> DataFrame:
     return candidates.join(sizes, "source").where((F.col("__n") <= skip) | F.coalesce(hit, F.lit(False))).drop("__n")
 
 
+def ranked(rows: DataFrame, key: str, seq: str, size: int = 100_000) -> DataFrame:
+    """Adds ``__rn``, each row's place within ``key`` by ``seq`` (unique whole numbers). Windows hold a run of ``size`` seq of a key;
+    what lies before a run is summed over the runs, so a key with most of the rows is many tasks."""
+    x = rows.withColumn("__run", F.floor(F.col(seq) / size))
+    runs = x.groupBy(key, "__run").agg(F.count("*").alias("__n"))
+    before = runs.withColumn("__before", F.sum("__n").over(Window.partitionBy(key).orderBy("__run")) - F.col("__n")).drop("__n")  # one row a run
+    own = F.row_number().over(Window.partitionBy(key, "__run").orderBy(seq))
+    x = x.withColumn("__own", own).alias("x").join(before.alias("y"), (F.col(f"x.{key}").eqNullSafe(F.col(f"y.{key}"))) & (F.col("x.__run") == F.col("y.__run")))
+    return x.select("x.*", "__before").withColumn("__rn", F.col("__own") + F.col("__before")).drop("__own", "__before", "__run")
+
+
 def interleaved(candidates: DataFrame, seq: str = "seq") -> DataFrame:
-    """Adds ``place``: round-robin over the sources in the order they were first seen. Only per-source ranks need a sort a source;
-    the place is a count over ranks, so nothing is sorted in one task."""
-    ranked = candidates.withColumn("__rn", F.row_number().over(Window.partitionBy("source").orderBy(seq)))
+    """Adds ``place``: round-robin over the sources in the order they were first seen. The place is a count over ranks, so nothing is
+    sorted in one task."""
+    x = ranked(candidates, "source", seq)
     first = candidates.groupBy("source").agg(F.min(seq).alias("first"), F.count("*").alias("n"))
     order = first.withColumn("__k", F.row_number().over(Window.orderBy("first")))  # one row a source
-    # rows before (rn, k): every source gives min(n, rn - 1), and those before k that reach rn give one more
-    sizes = order.agg(F.collect_list(F.struct("__k", "n")).alias("__sizes"))
-    x = ranked.join(F.broadcast(order.select("source", "__k")), "source").crossJoin(F.broadcast(sizes))  # one row on the right
-    before = F.aggregate("__sizes", F.lit(0).cast("bigint"), lambda acc, s: acc + F.least(s["n"], F.col("__rn").cast("bigint") - 1) + F.when((s["__k"] < F.col("__k")) & (s["n"] >= F.col("__rn")), 1).otherwise(0))
-    return x.withColumn("place", before + 1).drop("__rn", "__k", "__sizes")
+    # rows before (rn, k): all those of smaller ranks, and in rank rn the sources before k that reach it. Sources sorted by size give
+    # the number of rows below a rank in one step for every rank between two sizes.
+    steps = order.withColumn("__low", F.coalesce(F.lag("n").over(Window.orderBy("n", "__k")), F.lit(0))).withColumn("__left", F.count("*").over(Window.orderBy(F.desc("n"), F.desc("__k"))))
+    steps = steps.withColumn("__below", F.sum((F.col("n") - F.col("__low")) * F.col("__left")).over(Window.orderBy("n", "__k")) - (F.col("n") - F.col("__low")) * F.col("__left"))
+    steps = steps.where("n > __low").select("__low", F.col("n").alias("__high"), "__left", "__below")  # ranks low + 1 .. high
+    reach = order.alias("o").join(order.alias("p"), F.col("p.__k") < F.col("o.__k")).groupBy(F.col("o.source").alias("source")).agg(F.sort_array(F.collect_list("p.n")).alias("__sizes"))
+    x = x.join(order.select("source", "__k"), "source").join(reach, "source", "left")
+    x = x.join(steps, (F.col("__rn") > F.col("__low")) & (F.col("__rn") <= F.col("__high")))  # as many steps as sources at most
+    ahead = F.size(F.filter(F.coalesce("__sizes", F.array().cast("array<bigint>")), lambda n: n >= F.col("__rn")))
+    place = F.col("__below") + (F.col("__rn") - F.col("__low") - 1) * F.col("__left") + ahead + 1
+    return x.withColumn("place", place.cast("bigint")).drop("__rn", "__k", "__sizes", "__low", "__high", "__left", "__below")
 
 
 def capped(placed: DataFrame, limit: int) -> DataFrame:

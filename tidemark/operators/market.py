@@ -91,6 +91,13 @@ def thresholds(df_values: DataFrame, z: float) -> DataFrame:
     return df_values.sparkSession.createDataFrame([(d, t_equivalent(z, d)) for d in found] or [(0, z)], "scale_df int, threshold double")
 
 
+def grid_thresholds(df_values: DataFrame, cells: list[tuple[float, float]]) -> DataFrame:
+    """(cell, coverage_z, scale_df, threshold) of every (coverage z, return z) cell and distinct degree of freedom."""
+    found = sorted(r[0] for r in df_values.select("scale_df").distinct().collect())
+    rows = [(k, c, d, t_equivalent(z, d)) for k, (c, z) in enumerate(cells) for d in found or [0]]
+    return df_values.sparkSession.createDataFrame(rows, "cell int, coverage_z double, scale_df int, threshold double")
+
+
 def cumulative(abnormal_: DataFrame, events: DataFrame, window: tuple[int, int] = EVENT_WINDOW) -> DataFrame:
     """The cumulative abnormal return around each event of (symbol, day), over trading-day offsets from the event day or the next
     session. (symbol, day, anchor, car, days, truncated, t_stat); events after the last session have none."""

@@ -118,10 +118,8 @@ def headlines(incidents_: DataFrame, news: DataFrame, limit: int = 5) -> DataFra
     return x.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("symbol", "trading_day", "place", "seq", "headline")
 
 
-def robustness(daily_: DataFrame, tables: list[tuple[float, float, DataFrame]]) -> DataFrame:
-    """How many cells of a grid of thresholds flag each day: ``tables`` holds (coverage z, return z, thresholds) a cell."""
-    out = None
-    for c, z, t in tables:  # a fixed grid of nine
-        one = flags(daily_, t, c).where("candidate").select("symbol", "date", F.lit(c).alias("coverage_z"), F.lit(z).alias("return_z"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("symbol", "date").agg(F.count("*").alias("cells"))
+def robustness(daily_: DataFrame, thresholds_: DataFrame) -> DataFrame:
+    """How many cells of a grid of thresholds flag each day, in one pass: ``thresholds_`` is (cell, coverage_z, scale_df, threshold)."""
+    x = daily_.join(F.broadcast(thresholds_.withColumnRenamed("coverage_z", "limit")), "scale_df")  # nine cells a degree of freedom
+    unusual = (F.col("unique_count") > 0) & ((F.col("covered_days") < COVERED_DAYS) | (F.col("coverage_z") >= F.col("limit")) | (F.abs("sentiment_z") >= F.col("limit")))
+    return x.where(unusual & (F.abs("z") >= F.col("threshold"))).groupBy("symbol", "date").agg(F.count("*").alias("cells"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import t_equivalent
 from tidemark.operators import market as M
 from tidemark.operators import study as S
-from tidemark.session import table
+from tidemark.session import table, written
 
 #: First day of the analysis window, and the least estimation rows that suit the short price series of the tables.
 START, LEAST = "2024-02-15", 15
@@ -34,7 +34,7 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
-    x = _daily(spark, d)
+    x = written(_daily(spark, d), "daily")  # the thresholds need its degrees of freedom first
     return S.flags(x, M.thresholds(x, S.RETURN_Z))
 
 
@@ -123,9 +123,9 @@ def e10_valence(spark, d):
 
 
 def e11_robustness(spark, d):
-    x = _daily(spark, d)
+    x = written(_daily(spark, d), "daily")
     cells = [(round(S.COVERAGE_Z * c, 4), round(S.RETURN_Z * r, 4)) for c in GRID for r in GRID]
-    return S.robustness(x, [(c, r, M.thresholds(x, r)) for c, r in cells])
+    return S.robustness(x, M.grid_thresholds(x, cells))
 
 
 def e12_caveats(spark, d):

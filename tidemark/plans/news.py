@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scorers as C_
 from tidemark.functions import text as T
 from tidemark.operators import asof as A
 from tidemark.operators import candidates as C
@@ -13,6 +14,7 @@ from tidemark.operators import similarity as U
 from tidemark.operators import study as S
 from tidemark.plans.market import _PX
 from tidemark.session import table
+from tidemark.sources.pages import GATE
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -54,9 +56,7 @@ def a6_latest_session(spark, d):
 def u2_similarity(spark, d):
     """Each headline against the one collected before it by its symbol."""
     x = U.prepared(table(spark, d, "news").where("symbol is not null")).select("symbol", "seq", "tokens", "bigrams")
-    w = Window.partitionBy("symbol").orderBy("seq")
-    x = x.withColumns({"t0": F.lag("tokens").over(w), "b0": F.lag("bigrams").over(w)}).where("t0 is not null")
-    return x.select("symbol", "seq", F.round(T.similarity(F.col("tokens"), F.col("t0"), F.col("bigrams"), F.col("b0")), 6).alias("similarity"))
+    return U.against_previous(x).withColumn("similarity", F.round("similarity", 6))
 
 
 def u3_deduplicated(spark, d):
@@ -82,8 +82,9 @@ def r2_relevance(spark, d):
     q = table(spark, d, "quotes").where("name is not null").select(F.split("symbol", r"[.\-]")[0].alias("symbol"), "name").distinct()
     q = q.groupBy("symbol").agg(F.max("name").alias("name"))
     aliases = F.filter(F.array("name", T.stripped_suffix(F.col("name")), F.col("symbol")), lambda a: a.isNotNull())
-    x = table(spark, d, "news").join(q, "symbol").withColumn("r", T.relevance(F.col("headline"), F.coalesce(F.nullif("body", F.lit("")), F.col("snippet")), aliases))
-    return x.select("seq", F.col("r.score").alias("score"), F.col("r.matched").alias("matched"), F.col("r.headline_match").alias("headline_match"))
+    x = table(spark, d, "news").select("symbol", "seq", "headline", "body", "snippet").join(q.select("symbol", aliases.alias("aliases")), "symbol")
+    x = x.select("seq", T.relevance(F.col("headline"), F.coalesce(F.nullif("body", F.lit("")), F.col("snippet")), F.col("aliases")).alias("r"))
+    return x.select("seq", F.col("r.score").alias("score"), F.array_join("r.matched", "|").alias("matched"), F.col("r.headline_match").alias("headline_match"))
 
 
 def r3_kept(spark, d):
@@ -99,25 +100,21 @@ def r6_chunks(spark, d):
     return table(spark, d, "news").where("body is not null").select("seq", F.size(T.chunks(F.col("body"), 30)).alias("chunks"), F.try_element_at(T.chunks(F.col("headline"), 3), F.lit(1)).alias("first"))
 
 
-#: Words that the stub scorer counts; a model can take its place (fixed values).
-GOOD, BAD = "gained|climbed|jumped|advanced|added|improved|doubled|widened", "fell|dropped|lost|slid|eased|shed|narrowed|slipped"
+def r5_tone(spark, d):
+    """Tone and confidence of every headline, by the stand-in for a model."""
+    x = table(spark, d, "news").select("seq", C_.tone(F.col("headline"), C_.WordTone()).alias("t"))
+    return x.select("seq", F.round("t.score", 6).alias("score"), F.round("t.confidence", 6).alias("confidence"))
 
 
 def r7_blend(spark, d):
-    """Tone of headline (0.6) and body chunks (0.4, weighted by confidence), with a word-count stub in the model's place."""
-    def counts(c):
-        return F.regexp_count(F.lower(c), F.lit(rf"\b({GOOD})\b")), F.regexp_count(F.lower(c), F.lit(rf"\b({BAD})\b"))
+    """Tone of headline (0.6) and body chunks (0.4, weighted by confidence), with the stand-in in the model's place."""
+    return C_.blended(table(spark, d, "news").select("seq", "headline", F.coalesce("body", "snippet").alias("body")), C_.WordTone())
 
-    def score(c):
-        g, b = counts(c)
-        return F.coalesce((g - b) / (g + b + 1), F.lit(0.0)), F.coalesce((g + b + 0.5) / (g + b + 1), F.lit(0.5))
 
-    x = table(spark, d, "news").select("seq", "headline", F.posexplode_outer(T.chunks(F.coalesce("body", "snippet"), 300)).alias("k", "chunk"))
-    s, c = score(F.col("chunk"))
-    x = x.groupBy("seq", "headline").agg(F.try_divide(F.sum(F.when(F.col("chunk").isNotNull(), s * c)), F.sum(F.when(F.col("chunk").isNotNull(), c))).alias("body_score"))
-    hs, _ = score(F.col("headline"))
-    total = F.round(F.when(F.col("body_score").isNull(), hs).otherwise(0.6 * hs + 0.4 * F.col("body_score")), 4)
-    return x.select("seq", total.alias("score"), F.when(total > 0.15, "positive").when(total < -0.15, "negative").otherwise("neutral").alias("label"))
+def r8_moods(spark, d):
+    """The emotions of every headline, by the stand-in for a model, and the pick over them."""
+    x = table(spark, d, "news").select("seq", T.pick_emotions(F.coalesce(C_.emotions(F.col("headline"), C_.WordMoods()), F.create_map().cast("map<string,double>"))).alias("e"))
+    return x.select("seq", F.col("e.label").alias("label"), F.col("e.score").alias("score"), F.array_join("e.secondary", ",").alias("secondary"))
 
 
 def r9_emotions(spark, d):
@@ -184,23 +181,28 @@ def d_dedupe_key(spark, d):
 
 
 def x2_timestamp(spark, d):
-    """The strict reading of persisted timestamps: offset, naive (local), date only, or missing."""
+    """The strict reading of persisted timestamps: an instant, local where it names no offset; a bare or leading date is that day's
+    local midnight; anything else is missing."""
     raw = F.regexp_replace(F.trim("published_at"), r"(\.\d{6})\d+", "$1")
-    full = raw.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$")
-    kind = F.when(full & F.try_to_timestamp(raw).isNotNull(), "exact").when(raw.rlike(r"^\d{4}-\d{2}-\d{2}") & F.try_to_timestamp(F.substring(raw, 1, 10), F.lit("yyyy-MM-dd")).isNotNull(), "date-only").otherwise("missing")
-    return table(spark, d, "news_feed").select("feed_id", F.coalesce(kind, F.lit("missing")).alias("confidence"))
+    iso = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)(Z|[+-]\d{2}:\d{2})?$"
+    part = lambda k: F.regexp_extract(raw, iso, k)
+    full = F.try_to_timestamp(F.when(raw.rlike(iso), F.concat(part(1), F.lit(" "), F.when(F.length(part(2)) == 5, F.concat(part(2), F.lit(":00"))).otherwise(part(2)), F.coalesce(F.nullif(part(3), F.lit("")), F.lit("+05:30")))))
+    day = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.concat(F.substring(raw, 1, 10), F.lit(" 00:00:00+05:30"))))
+    bare = raw.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    value = F.when(bare, day).otherwise(F.coalesce(full, day))
+    kind = F.when(value.isNull(), "missing").when(~bare & full.isNotNull(), "exact").otherwise("date-only")
+    return table(spark, d, "news_feed").select("feed_id", F.unix_micros(value).alias("instant_us"), F.coalesce(kind, F.lit("missing")).alias("confidence"))
 
 
 def x7_paywalled(spark, d):
     """A gate counts only when it cost the text: a marker and a short body."""
-    marks = "paywall|isprime|subscribe now|subscriber only|premium story|for subscribers"
     x = table(spark, d, "news").where("body is not null")
-    return x.select("seq", (F.lower("body").rlike(marks) & (F.length("body") < 600)).alias("gated"))
+    return x.select("seq", (F.lower("body").rlike("|".join(GATE)) & (F.length("body") < 600)).alias("gated"))
 
 
 QUERIES = {f.__name__: f for f in (
     a2_next_session, a3_same_or_next, a4_attribution, a5_unattributed, a6_latest_session, u2_similarity, u3_deduplicated, u4_unique, u5_cluster_sizes, u6_staleness,
-    r2_relevance, r3_kept, r4_event_tag, r6_chunks, r7_blend, r9_emotions, r10_valence, r11_excerpt, r12_slug, c1_aliases, c2_slug_tokens, c3_prefilter, c4_interleaved, c5_capped, c7_window, c9_funnel, d_dedupe_key, x2_timestamp, x7_paywalled,
+    r2_relevance, r3_kept, r4_event_tag, r5_tone, r6_chunks, r7_blend, r8_moods, r9_emotions, r10_valence, r11_excerpt, r12_slug, c1_aliases, c2_slug_tokens, c3_prefilter, c4_interleaved, c5_capped, c7_window, c9_funnel, d_dedupe_key, x2_timestamp, x7_paywalled,
 )}
 
 _SES = f"WITH {_PX}, ses AS (SELECT symbol, date FROM px), dc AS (SELECT DISTINCT symbol, day AS date FROM daily_coverage WHERE symbol IS NOT NULL AND day IS NOT NULL)"
@@ -228,6 +230,39 @@ _SUF = "CASE " + " ".join(
 _TOK = f"list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(repr(w) for w in C.COMMON_WORDS)})))"
 _ORD = "WITH r AS (SELECT feed_id AS seq, source, row_number() OVER (PARTITION BY source ORDER BY feed_id) AS rn, min(feed_id) OVER (PARTITION BY source) AS f FROM news_feed), p AS (SELECT seq, source, row_number() OVER (ORDER BY rn, f) AS place FROM r)"
 
+_COUNT = r"len(regexp_extract_all(lower({t}), '\b({w})\b'))"
+_G, _B = (lambda t, w=w: _COUNT.format(t=t, w="|".join(w)) for w in (C_.GOOD, C_.BAD))
+_TONE = "CASE WHEN trim(coalesce({t}, ''), E' \\n\\t\\r') <> '' THEN {x} END"
+
+
+def _tone_sql(t: str) -> tuple[str, str]:
+    g, b = _G(t), _B(t)
+    return _TONE.format(t=t, x=f"({g} - {b})/({g} + {b} + 1.0)"), _TONE.format(t=t, x=f"greatest({g}, {b}, 1)/({g} + {b} + 1.0)")
+
+
+_ALIASES = rf"""q AS (SELECT string_split_regex(symbol, '[.-]')[1] AS symbol, max(name) AS name FROM quotes WHERE name IS NOT NULL GROUP BY 1),
+    al AS (SELECT symbol, unnest([name, {_SUF}, symbol]) AS alias, unnest([1, 2, 3]) AS k FROM q),
+    ap AS (SELECT symbol, alias, k, '(?i)\b' || regexp_replace(regexp_replace(alias, '([\\.^$|?*+()\[\]{{}}&-])', '\\\1', 'g'), '\s+', '\\s+', 'g') || '(?:[''’]s|s[''’]|s)?\b' AS p FROM al WHERE alias IS NOT NULL AND length(alias) >= 3)"""
+_REL = rf"""WITH {_ALIASES},
+    n AS (SELECT symbol, seq, coalesce(headline, '') AS h, coalesce(nullif(body, ''), snippet, '') AS b FROM news WHERE symbol IN (SELECT symbol FROM q)),
+    m AS (SELECT n.seq, alias, k, len(regexp_extract_all(h, p)) AS nh, len(regexp_extract_all(b, p)) AS nb, CASE WHEN regexp_matches(b, p) THEN length(string_split_regex(b, p)[1]) END AS pos FROM n JOIN ap USING (symbol)),
+    g AS (SELECT seq, sum(nh) AS nh, sum(nb) AS nb, min(pos) AS pos, list(alias ORDER BY k) FILTER (nh + nb > 0) AS l FROM m GROUP BY seq),
+    s AS (SELECT n.seq, coalesce(nh, 0) AS nh, coalesce(nb, 0) AS nb, coalesce(array_to_string(list_filter(l, lambda a, i: len(list_filter(l[1:i - 1], lambda e: contains(lower(e), lower(a)))) = 0), '|'), '') AS matched,
+        CASE WHEN nh > 0 THEN 0.45 ELSE 0 END + CASE WHEN nb > 0 THEN 0.30*(1 - exp(-nb/3.0)) + least(0.12, 0.06*nb/greatest(len(list_filter(string_split_regex(trim(b), '\s+'), lambda w: w <> ''))/100.0, 1)) ELSE 0 END
+        + CASE WHEN pos IS NULL THEN 0 WHEN pos/greatest(length(b), 1)::DOUBLE < 0.15 THEN 0.10 WHEN pos/greatest(length(b), 1)::DOUBLE > 0.60 THEN -0.10 ELSE 0 END
+        - CASE WHEN regexp_matches(h, '{T.ROUNDUP}') THEN 0.40 ELSE 0 END - CASE WHEN nh = 0 AND nb > 0 THEN 0.15 ELSE 0 END AS raw FROM n LEFT JOIN g USING (seq)),
+    rel AS (SELECT seq, round(CASE WHEN nh + nb = 0 THEN 0 ELSE greatest(0, least(1, raw)) END, 4)::DOUBLE AS score, matched, nh > 0 AS headline_match FROM s)"""
+_RD = r"""r AS (SELECT feed_id, regexp_replace(trim(published_at), '(\.\d{6})\d+', '\1') AS t FROM news_feed),
+    i AS (SELECT *, regexp_extract(t, '^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2}(?:\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$', ['d', 'm', 's', 'z']) AS x, regexp_matches(t, '^\d{4}-\d{2}-\d{2}$') AS bare FROM r),
+    j AS (SELECT feed_id, bare, epoch_us(TRY_CAST(x.d || ' ' || x.m || CASE WHEN x.s = '' THEN ':00' ELSE x.s END AS TIMESTAMP)) - CASE WHEN x.z IN ('Z', '') THEN 0 ELSE (x.z[1] || '1')::INT*(x.z[2:3]::INT*60 + x.z[5:6]::INT)::BIGINT*60000000 END - CASE WHEN x.z = '' THEN 19800000000 ELSE 0 END AS full_us,
+        CASE WHEN regexp_matches(t, '^\d{4}-\d{2}-\d{2}') THEN epoch_us(TRY_CAST(t[1:10] AS DATE)::TIMESTAMP) - 19800000000 END AS day_us FROM i)"""
+_GREEDY = f"""WITH RECURSIVE {_HEAD.replace("SELECT symbol, seq, published_at, duplicate_of,", "SELECT symbol, seq, coalesce(published_local_date::VARCHAR, '') AS day, coalesce(length(body), 0) AS size,").replace("SELECT symbol, seq, published_at, duplicate_of, list_distinct", "SELECT symbol, seq, list_distinct").replace("h AS (SELECT symbol, seq, coalesce(published_local_date::VARCHAR, '') AS day, coalesce(length(body), 0) AS size, list_distinct", "h AS (SELECT symbol, seq, day, size, list_distinct")},
+    k AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY size DESC, seq) AS rn FROM h),
+    g AS (SELECT symbol, day, 1::BIGINT AS rn, seq, NULL::BIGINT AS survivor, [{{'s': seq, 't': t, 'b': b}}] AS kept FROM k WHERE rn = 1
+        UNION ALL SELECT symbol, day, rn, seq, f, CASE WHEN f IS NULL THEN list_append(kept, {{'s': seq, 't': t, 'b': b}}) ELSE kept END FROM (
+            SELECT k.symbol, k.day, k.rn, k.seq, k.t, k.b, g.kept, list_filter(g.kept, lambda o: {_sim('o.t', 'o.b').replace('len(t)', 'len(k.t)').replace('(t,', '(k.t,').replace('(b,', '(k.b,').replace('len(b)', 'len(k.b)')} >= 0.72)[1].s AS f FROM g JOIN k ON k.symbol = g.symbol AND k.day = g.day AND k.rn = g.rn + 1) z)"""
+_MOODS = {m: f"1 - 0.6 ** {_COUNT.format(t='headline', w='|'.join(w))}" for m, w in C_.MOODS.items()}
+
 ORACLES = {
     "a2_next_session": f"{_SES} SELECT symbol, date, (SELECT min(date) FROM ses WHERE ses.symbol = dc.symbol AND ses.date > dc.date) AS session FROM dc",
     "a3_same_or_next": f"{_SES} SELECT symbol, date, (SELECT min(date) FROM ses WHERE ses.symbol = dc.symbol AND ses.date >= dc.date) AS session FROM dc",
@@ -251,5 +286,17 @@ ORACLES = {
     "c7_window": "SELECT seq FROM news WHERE published_at IS NULL OR ((published_at AT TIME ZONE 'UTC') + INTERVAL 330 MINUTE)::DATE BETWEEN DATE '2024-02-01' AND DATE '2024-02-15'",
     "c9_funnel": "SELECT source, count(*) AS collected, count(published_at) AS dated, count(*) FILTER (relevance_score >= 0.35) AS relevant, count(*) FILTER (duplicate_of IS NULL) AS \"unique\", count(trading_day) AS attributed, count(*) FILTER (after_close) AS after_close, count(*) FILTER (paywalled) AS paywalled FROM news GROUP BY source",
     "d_dedupe_key": r"SELECT sha1(trim(regexp_replace(regexp_replace(lower(headline), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))) AS key, count(*) AS items, min(seq) AS first_seq FROM news WHERE headline IS NOT NULL GROUP BY 1",
-    "x7_paywalled": "SELECT seq, regexp_matches(lower(body), 'paywall|isprime|subscribe now|subscriber only|premium story|for subscribers') AND length(body) < 600 AS gated FROM news WHERE body IS NOT NULL",
-}
+    "x7_paywalled": f"SELECT seq, ({' OR '.join(f'contains(lower(body), {g!r})' for g in GATE)}) AND length(body) < 600 AS gated FROM news WHERE body IS NOT NULL",
+    "r2_relevance": f"{_REL} SELECT * FROM rel",
+    "r3_kept": f"{_REL} SELECT score >= 0.35 AS kept, count(*) AS items FROM rel GROUP BY 1",
+    "r5_tone": f"SELECT seq, round({_tone_sql('headline')[0]}, 6) AS score, round({_tone_sql('headline')[1]}, 6) AS confidence FROM news",
+    "r7_blend": rf"""WITH w AS (SELECT seq, headline, list_filter(string_split_regex(trim(coalesce(body, snippet, ''), E' \n\t\r'), '\s+'), lambda x: x <> '') AS w FROM news), c AS (SELECT seq, unnest(list_transform(range(0, len(w), 300), lambda i: array_to_string(w[i + 1:i + 300], ' '))) AS chunk FROM w),
+        k AS (SELECT seq, {_tone_sql('chunk')[0]} AS s, {_tone_sql('chunk')[1]} AS c FROM c), b AS (SELECT seq, sum(s*c)/nullif(sum(c), 0) AS body_score FROM k GROUP BY seq), h AS (SELECT seq, coalesce({_tone_sql('headline')[0]}, 0) AS head FROM w),
+        t AS (SELECT h.seq, round(CASE WHEN body_score IS NULL THEN head ELSE 0.6*head + 0.4*body_score END, 4)::DOUBLE AS score FROM h LEFT JOIN b USING (seq)) SELECT seq, score, CASE WHEN score > 0.15 THEN 'positive' WHEN score < -0.15 THEN 'negative' ELSE 'neutral' END AS label FROM t""",
+    "r8_moods": f"""WITH e AS (SELECT seq, unnest([{', '.join(f"'{m}'" for m in _MOODS)}]) AS label, unnest([{', '.join(_MOODS.values())}]) AS p, unnest(range({len(_MOODS)})) AS i FROM news WHERE trim(coalesce(headline, ''), E' \\n\\t\\r') <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY p DESC, i) AS rn FROM e WHERE p >= 0.30)
+        SELECT n.seq, coalesce(max(label) FILTER (rn = 1), '') AS label, coalesce(round(max(p) FILTER (rn = 1), 4), 0)::DOUBLE AS score, coalesce(string_agg(label, ',' ORDER BY rn) FILTER (rn IN (2, 3)), '') AS secondary FROM news n LEFT JOIN r USING (seq) GROUP BY n.seq""",
+    "r9_emotions": """WITH e AS (SELECT seq, unnest(['approval_', coalesce(nullif(emotion_label, ''), 'none')]) AS label, unnest([abs(sentiment_score), coalesce(emotion_score, 0)]) AS p, unnest([1, 2]) AS i FROM news WHERE sentiment_score IS NOT NULL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY p DESC, i) AS rn FROM e WHERE p >= 0.30 AND label <> 'neutral') SELECT n.seq, coalesce(max(label) FILTER (rn = 1), '') AS label, coalesce(round(max(p) FILTER (rn = 1), 4), 0)::DOUBLE AS score, coalesce(max(label) FILTER (rn = 2), '') AS secondary FROM news n LEFT JOIN r USING (seq) WHERE sentiment_score IS NOT NULL GROUP BY n.seq""",
+    "u3_deduplicated": f"{_GREEDY} SELECT symbol, seq, survivor FROM g",
+    "x2_timestamp": f"WITH {_RD} SELECT feed_id, CASE WHEN bare THEN day_us ELSE coalesce(full_us, day_us) END AS instant_us, CASE WHEN coalesce(CASE WHEN bare THEN day_us ELSE coalesce(full_us, day_us) END, 0) = 0 THEN 'missing' WHEN NOT bare AND full_us IS NOT NULL THEN 'exact' ELSE 'date-only' END AS confidence FROM j",
+}

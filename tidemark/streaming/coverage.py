@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from tidemark.session import shared_dir
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +45,28 @@ def running_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, total double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and give its output as a table."""
-    name = f"{name}_{uuid.uuid4().hex}"  # a name of its own for every run
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there and give its output as a table in the shared folder, with its checkpoint beside it. Every batch is
+    written to a folder of its own, so a batch that is run again replaces its first try. In complete mode the last batch counts; in
+    update mode the last row of each of ``keys``."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/number={number}")
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    kind = StructType([*stream.schema.fields, StructField("__batch", IntegerType())])
+    out = spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(f"{folder}/out") if _any(spark, f"{folder}/out") else spark.createDataFrame([], kind)
+    if mode == "complete":
+        out = out.join(F.broadcast(out.agg(F.max("__batch").alias("__batch"))), "__batch")  # one row
+    elif mode == "update":
+        rest = [c for c in stream.columns if c not in (keys or [])]
+        out = out.groupBy(*(keys or [])).agg(F.max_by(F.struct(*rest), "__batch").alias("x")).select(*(keys or []), "x.*")
+    return out.drop("__batch")
+
+
+def _any(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
