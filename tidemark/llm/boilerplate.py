@@ -7,19 +7,23 @@ Stages
 3. ``profile``   recurring subtrees, and the coarser hashes of all other lines, are counted with how often they stand inside an
                  article, that is between the first and the last long closed line that doesn't recur. Page matter stands
                  outside; subheads, lists and tables of articles stand inside, however often they recur.
-4. ``mark``      each line is decided by its most specific hash with support: page matter where most copies stand outside.
+4. ``vocabulary`` words of pages whose own lines have nothing in common with their address and title, against the words of the
+                 other pages' own lines, on a sample: what errors, filler and notices are made of (see residue).
+5. ``mark``      each line is decided by its most specific hash with support: page matter where most copies stand outside.
                  A labelled line whose copies stand inside ("Also read: ...") is decided by the shape of what follows the label.
+                 A page whose own lines are made of that vocabulary holds no article, however long it is.
 
 Defined results: null and empty bodies have no lines; a page that holds no article at all (a response or filler) has no page
 matter; blank lines are never marked; repeated rows are marked alike; extra columns are ignored; a null host is a host of its own.
 
-Sizes: the tables of stage 3 are bounded by the support shares (at most lines-per-row / share entries). Those of stage 2 per host
-grow with the number of hosts: they are shipped to the tasks only when counted below BROADCAST_ROWS, and joined otherwise.
+Sizes: what is collected in stage 3 is bounded by the support shares (at most lines-per-row / share entries), in stage 4 by the sample
+(SAMPLE_PAGES). The recurring subtrees of stage 2 per host, and what stage 3 knows of each, grow with the number of hosts: they are
+shipped to the tasks only when counted below BROADCAST_ROWS, and joined otherwise.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,10 +53,14 @@ PROSE_TIMES = 5
 #: Levels of the profile.
 EXACT, LABEL, OPENING, SHAPE, CLOSED_SHAPE, COARSE = range(6)
 
-PARSED = "id bigint, host string, exact array<bigint>, forms binary, head int, head_print bigint, story bigint"
+#: Pages sampled for the vocabulary; how far a word's evidence counts, and from which mean evidence on a page's or headline's words are
+#: no text. Hashed words that a task counts before it hands them on.
+SAMPLE_PAGES, CLIP, PAGE_FROM, HEAD_FROM, HELD = 100_000, 3.0, 0.4, 0.5, 300_000
+
+PARSED = "id bigint, host string, exact array<bigint>, forms binary, tokens binary, head int, head_print bigint, head_tokens binary, story bigint, sampled boolean"
 #: What ``forms`` holds of each line, as 32-bit integers, one field after the other.
 FIELDS = ("no", "label", "opening", "shape", "rest", "coarse", "bits", "words", "count")
-MARKED = "id bigint, host string, drop array<int>, kept int, flags int, print bigint, head int, head_print bigint"
+MARKED = "id bigint, host string, drop array<int>, kept int, flags int, print bigint, head int, head_print bigint, head_score float, head_again float"
 #: Bits of ``flags``: the page holds no article / has a placeholder / may be a response that only evidence over hosts can tell.
 NO_ARTICLE, PLACEHOLDER, MAYBE = 1, 2, 4
 
@@ -67,12 +75,10 @@ def headline_bits(headline: str | None, slug: set[str], title: set[str]) -> tupl
     bits = R.HAS_PLACEHOLDER if R.unfilled(h) else 0
     if not slug.isdisjoint(title):
         bits |= R.SHARES_TERM
+    elif slug:
+        bits |= R.MISMATCHED
     if h.count(" ") < 8:
         bits |= SHORT
-    if not bits & R.SHARES_TERM:
-        plain = R.bare(h)
-        if plain in R.HEADLINES or (plain.count(" ") < 5 and R.responds(h)):
-            bits |= R.IS_RESPONSE
     return bits, digest(h.lower().translate(_NO_DIGITS))
 
 
@@ -93,49 +99,70 @@ def _binary(parts: list[bytes]) -> pa.Array:
 
 def _parse(batches: Iterator[pa.RecordBatch], with_tokens: bool = False) -> Iterator[pa.RecordBatch]:
     known = _Tokens().__getitem__
-    find = re.compile(r"[^\W_]+").findall
+    none = b""
     for batch in batches:
-        ids, hosts, bodies, heads, urls = (batch.column(k) for k in range(5))
-        offsets, exact, forms, tokens, hb, hp, stories = [0], [], [], [], [], [], []
-        for body, headline, url in zip(bodies.to_pylist(), heads.to_pylist(), urls.to_pylist(), strict=True):
+        ids, hosts, bodies, heads, urls, sampled = (batch.column(k) for k in range(6))
+        offsets, exact, forms, tokens, hb, hp, ht, stories = [0], [], [], [], [], [], [], []
+        for body, headline, url, drawn in zip(bodies.to_pylist(), heads.to_pylist(), urls.to_pylist(), sampled.to_pylist(), strict=True):
             slug = R.slug_terms(url)
             title = R.terms(headline)
             bits, mark = headline_bits(headline, slug, title)
             about = {w for w in slug | title if len(w) > 4}
             stories.append(R.story(slug or title))
-            if body and bits and not bits & R.SHARES_TERM and any(len(w) > 4 and w in low for low in (body.lower(),) for w in title):
+            low = body.lower() if body else ""
+            about_here = [w for w in about if w in low]
+            if about:
+                bits |= R.ABOUT
+            if not slug.isdisjoint(about_here):
+                bits |= R.SIDES
+            if not title.isdisjoint(about_here):
                 bits |= R.IN_BODY
             hb.append(bits)
             hp.append(mark)
-            here: list[str] = []
-            rows = []
+            ht.append(array("i", map(known, R.tokens(headline))).tobytes() if headline and (drawn or bits & R.MISMATCHED) else none)
+            lines, rows, sided = [], [], False
             if body:
                 for i, raw in enumerate(body.split("\n"), 1):
                     t = raw.strip()
                     if t:
                         e, label, opening, kind, rest, rough, b = form(t)
-                        n = 0
-                        if with_tokens:
-                            found = find(t.lower())
-                            n = len(found)
-                            here += found
+                        if R.unfilled(t):
+                            b |= R.HAS_PLACEHOLDER
+                        if about_here and _any_in(about_here, t.lower()):
+                            b |= R.SHARES_TERM
+                            sided = sided or bool(b & ANCHOR)
                         exact.append(e)
-                        rows.append((i, label, opening, kind, rest, rough, b | R.line_bits(t, about, bool(b & PROSE), bool(b & ANCHOR)), t.count(" ") + 1, n))
+                        lines.append(t)
+                        rows.append((i, label, opening, kind, rest, rough, b, t.count(" ") + 1, 0))
             offsets.append(len(exact))
-            forms.append(np.array(rows, np.int32).T.tobytes())
-            tokens.append(array("i", map(known, here)).tobytes())
-        own = {"id": ids, "host": hosts, "exact": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(exact, pa.int64())), "forms": _binary(forms)}
-        own |= {"head": pa.array(hb, pa.int32()), "head_print": pa.array(hp, pa.int64()), "story": pa.array(stories, pa.int64())}
-        if with_tokens:
-            own["tokens"] = _binary(tokens)
+            form_ = np.array(rows, np.int32).reshape(-1, len(FIELDS)).T
+            if with_tokens or drawn or not sided:  # of an article that speaks of its title nobody asks for the words
+                found = [R.tokens(t) for t in lines]
+                form_ = form_.copy()
+                form_[-1] = [len(f) for f in found]
+                tokens.append(array("i", [known(w) for f in found for w in f]).tobytes())
+            else:
+                tokens.append(none)
+            forms.append(np.ascontiguousarray(form_).tobytes())
+        own = {"id": ids, "host": hosts, "exact": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(exact, pa.int64())), "forms": _binary(forms), "tokens": _binary(tokens)}
+        own |= {"head": pa.array(hb, pa.int32()), "head_print": pa.array(hp, pa.int64()), "head_tokens": _binary(ht), "story": pa.array(stories, pa.int64()), "sampled": sampled}
         yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
 
 
+def _any_in(words: list[str], text: str) -> bool:
+    for w in words:
+        if w in text:
+            return True
+    return False
+
+
 def parse(df: DataFrame, with_tokens: bool = False) -> DataFrame:
-    """``df`` is (id bigint, host string, body string, headline string, url string). With tokens, every line's words as well
-    (32-bit hashes in ``tokens``, their count by line in the forms)."""
-    narrow = df.select(F.col("id").cast("bigint").alias("id"), F.coalesce("host", F.lit("")).alias("host"), "body", "headline", "url")
-    return written(narrow.mapInArrow(lambda batches: _parse(batches, with_tokens), PARSED + (", tokens binary" if with_tokens else "")), "pages")
+    """``df`` is (id bigint, host string, body string, headline string, url string). The words of pages that may hold no article, and of
+    the sampled ones, are kept by line (32-bit hashes in ``tokens``, their count by line in the forms); with tokens those of all."""
+    rate = min(1.0, SAMPLE_PAGES / max(df.count(), 1))
+    sampled = F.pmod(F.xxhash64(F.col("id").cast("bigint"), F.lit(17)), F.lit(1 << 30)) < int(rate * (1 << 30))
+    narrow = df.select(F.col("id").cast("bigint").alias("id"), F.coalesce("host", F.lit("")).alias("host"), "body", "headline", "url", F.coalesce(sampled, F.lit(False)).alias("sampled"))
+    return written(narrow.mapInArrow(lambda batches: _parse(batches, with_tokens), PARSED), "pages")
 
 
 @dataclass
@@ -173,14 +200,30 @@ def recurring(parsed: DataFrame, most: int = BROADCAST_ROWS) -> Recurring:
     return Recurring(n, everywhere, None, written(x.groupBy("id").agg(F.collect_set("exact").alias("hits")), "hits"))
 
 
-def _pages(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int] | None, list[int], list[list[int]]]]:
-    """(host, hits, exact hashes, the fields of the lines' forms) of the rows of a batch."""
-    host, hits, exact, forms = (batch.column(batch.schema.get_field_index(n)) for n in ("host", "hits", "exact", "forms"))
+@dataclass
+class Page:
+    """A parsed page; ``hits`` are its recurring lines, ``inner`` and ``outer`` those of them that mostly stand inside and outside of
+    articles, where these are joined to it."""
+
+    host: str
+    hits: list[int] | None
+    inner: list[int] | None
+    outer: list[int] | None
+    exact: list[int]
+    forms: np.ndarray
+    tokens: np.ndarray
+    head: int
+    head_tokens: np.ndarray
+
+
+def _pages(batch: pa.RecordBatch) -> Iterator[Page]:
+    """The pages of a batch."""
+    host, hits, inner, outer, exact, forms, tokens, head, head_tokens = (batch.column(batch.schema.get_field_index(n)) for n in ("host", "hits", "inner", "outer", "exact", "forms", "tokens", "head", "head_tokens"))
     values, ends = exact.flatten().to_numpy(zero_copy_only=False).tolist(), exact.offsets.to_numpy().tolist()
     first = ends[0]
-    some_hits = hits.to_pylist() if hits.null_count < len(hits) else [None] * len(hits)
-    for k, (h, hit, blob) in enumerate(zip(host.to_pylist(), some_hits, forms.to_pylist(), strict=True)):
-        yield h, hit, values[ends[k] - first : ends[k + 1] - first], np.frombuffer(blob, np.int32).reshape(len(FIELDS), -1).tolist()
+    some = [c.to_pylist() if c.null_count < len(c) else [None] * len(c) for c in (hits, inner, outer)]
+    for k, (h, hit, a, z, blob, words, bits, title) in enumerate(zip(host.to_pylist(), *some, forms.to_pylist(), tokens.to_pylist(), head.to_pylist(), head_tokens.to_pylist(), strict=True)):
+        yield Page(h, hit, a, z, values[ends[k] - first : ends[k + 1] - first], np.frombuffer(blob, np.int32).reshape(len(FIELDS), -1), np.frombuffer(words, np.int32), bits, np.frombuffer(title, np.int32))
 
 
 def extent(exact: list[int], bits: list[int], recurs: set[int]) -> tuple[int, int] | None:
@@ -192,16 +235,18 @@ def extent(exact: list[int], bits: list[int], recurs: set[int]) -> tuple[int, in
     return None
 
 
-def _recurring_of(host: str, exact: list[int], hits: list[int] | None, everywhere: set[int], per_host: set | None) -> set[int]:
-    own = set(hits) if hits else {e for e in exact if (host, e) in per_host} if per_host else set()
-    return own | everywhere.intersection(exact)
+def _recurring_of(page: Page, everywhere: set[int], per_host: set | None) -> set[int]:
+    own = set(page.hits) if page.hits else {e for e in page.exact if (page.host, e) in per_host} if per_host else set()
+    return own | everywhere.intersection(page.exact)
 
 
-def profile(parsed: DataFrame, rec: Recurring) -> dict[tuple[int, int], float]:
-    """(level, hash) -> the share of its copies that stand inside an article; only hashes with support."""
+def profile(parsed: DataFrame, rec: Recurring) -> tuple[dict[tuple[int, int], float], DataFrame | None]:
+    """(level, hash) -> the share of its copies that stand inside an article; only hashes with support, and recurring lines. Where the
+    recurring lines are joined, what is known of them is a table (id, inner, outer) instead."""
     shared = parsed.sparkSession.sparkContext.broadcast((rec.everywhere, rec.per_host))  # bounded, see the module's text
-    source = parsed.select("id", "host", "exact", "forms")
-    source = source.join(rec.hits, "id", "left") if rec.hits is not None else source.withColumn("hits", F.lit(None).cast("array<bigint>"))
+    none = F.lit(None).cast("array<bigint>")
+    source = parsed.select("id", "host", "exact", "forms", "tokens", "head", "head_tokens")
+    source = (source.join(rec.hits, "id", "left") if rec.hits is not None else source.withColumn("hits", none)).withColumns({"inner": none, "outer": none})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         everywhere, per_host = shared.value
@@ -217,9 +262,19 @@ def profile(parsed: DataFrame, rec: Recurring) -> dict[tuple[int, int], float]:
                 c[0] += 1
                 c[1] += inside
 
+        def told() -> pa.RecordBatch:
+            keys = list(seen)
+            out = pa.RecordBatch.from_pydict({
+                "level": pa.array([k[0] for k in keys], pa.int32()), "h": pa.array([k[1] for k in keys], pa.int64()),
+                "n": pa.array([seen[k][0] for k in keys], pa.int64()), "inside": pa.array([seen[k][1] for k in keys], pa.int64()), "prose": pa.array([seen[k][2] for k in keys], pa.int64()),
+            })
+            seen.clear()
+            return out
+
         for batch in batches:
-            for host, hits, exact, (_, label, opening, shape, _, rough, bits, _, _) in _pages(batch):
-                recurs = _recurring_of(host, exact, hits, everywhere, per_host)
+            for page in _pages(batch):
+                exact, (_, label, opening, shape, _, rough, bits, _, _) = page.exact, page.forms.tolist()
+                recurs = _recurring_of(page, everywhere, per_host)
                 span = extent(exact, bits, recurs)
                 if span is None:
                     continue
@@ -244,18 +299,24 @@ def profile(parsed: DataFrame, rec: Recurring) -> dict[tuple[int, int], float]:
                         add(SHAPE, shape[i], inside)
                     if rough[i]:
                         add(COARSE, rough[i], inside)
+            if len(seen) > HELD:
+                yield told()
         if seen:
-            keys = list(seen)
-            yield pa.RecordBatch.from_pydict({
-                "level": pa.array([k[0] for k in keys], pa.int32()), "h": pa.array([k[1] for k in keys], pa.int64()),
-                "n": pa.array([seen[k][0] for k in keys], pa.int64()), "inside": pa.array([seen[k][1] for k in keys], pa.int64()), "prose": pa.array([seen[k][2] for k in keys], pa.int64()),
-            })
+            yield told()
 
     found = source.mapInArrow(run, "level int, h bigint, n bigint, inside bigint, prose bigint").groupBy("level", "h").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"), F.sum("prose").alias("prose"))
-    found = found.where((F.col("level") == EXACT) | (F.col("n") + F.col("prose") >= max(SUPPORT_ROWS, SUPPORT_SHARE * rec.rows)))
     # an opening that article paragraphs have far more often than other lines is one of a cut paragraph
     share = F.when(F.col("prose") >= PROSE_TIMES * F.col("n"), 1.0).otherwise(F.col("inside") / F.col("n"))
-    return {(r[0], r[1]): r[2] for r in found.select("level", "h", share).collect()}  # at most lines-per-row / SUPPORT_SHARE, and the recurring ones
+    exact, supported = F.col("level") == EXACT, F.col("n") + F.col("prose") >= max(SUPPORT_ROWS, SUPPORT_SHARE * rec.rows)
+    found = found.where(exact | supported).select("level", "h", share.alias("share"))
+    if rec.hits is None:  # at most lines-per-row / SUPPORT_SHARE, and the recurring lines, which were counted
+        return {(r[0], r[1]): r[2] for r in found.collect()}, None
+    found = written(found, "profile")
+    small_ = parsed.sparkSession.createDataFrame([(h,) for h in rec.everywhere], "h bigint")
+    known = {(r[0], r[1]): r[2] for r in found.where(~exact).union(found.where(exact).join(F.broadcast(small_), "h", "left_semi").select("level", "h", "share")).collect()}
+    told = rec.hits.select("id", F.explode("hits").alias("h")).join(found.where(exact).select("h", "share"), "h")
+    sides = told.groupBy("id").agg(*[F.array_compact(F.collect_set(F.when(c, F.col("h")))).alias(n) for n, c in (("inner", F.col("share") >= INSIDE), ("outer", F.col("share") < INSIDE))])
+    return known, written(sides, "sides")
 
 
 def decide(label: int, opening: int, shape: int, rest: int, rough: int, bits: int, inside: bool, known: dict) -> bool:
@@ -283,72 +344,149 @@ def decide(label: int, opening: int, shape: int, rest: int, rough: int, bits: in
     return p < INSIDE if p is not None else not inside and bool(bits & SHORT)
 
 
-def mark_page(host: str, hits: list[int] | None, exact: list[int], forms: list[list[int]], everywhere: set[int], per_host: set | None, known: dict) -> tuple[list[int], int, int, int]:
-    """(numbers of the lines of page matter, count of the others, flags, print of a possible response) of one page."""
-    no, label, opening, shape, rest, rough, bits, words, _ = forms
-    recurs = _recurring_of(host, exact, hits, everywhere, per_host)
+def own_lines(page: Page, everywhere: set[int], per_host: set | None, known: dict) -> tuple[list[int], list[int]]:
+    """(lines of page matter, the page's own lines) by place."""
+    _, label, opening, shape, rest, rough, bits, _, _ = page.forms.tolist()
+    exact = page.exact
+    recurs = _recurring_of(page, everywhere, per_host)
     span = extent(exact, bits, recurs)
+    inner, outer = set(page.inner or ()), set(page.outer or ())
     drop, own = [], []
     for i, b in enumerate(bits):
-        if exact[i] in recurs:
-            out = known.get((EXACT, exact[i]), float(bool(b & ANCHOR))) < INSIDE
+        e = exact[i]
+        if e in recurs:
+            share = known.get((EXACT, e))
+            if share is None:
+                share = 1.0 if e in inner else 0.0 if e in outer else float(bool(b & ANCHOR))
+            out = share < INSIDE
         else:
             out = decide(label[i], opening[i], shape[i], rest[i], rough[i], b, span is not None and span[0] <= i <= span[1], known)
-        if b & (R.IS_RESPONSE | R.IS_FILLER) and (exact[i] not in recurs or b & R.IS_FILLER):
-            out = False
         (drop if out else own).append(i)
+    if not own and span is None:  # nothing looks like text: what doesn't recur is all that the page says
+        own = [i for i in drop if exact[i] not in recurs]
+        drop = [i for i in drop if exact[i] in recurs]
+    return drop, own
+
+
+def evidence(tokens: np.ndarray, weights: dict[int, float]) -> float:
+    """Mean evidence of the words; 0 without words, and unknown words speak for a text."""
+    return sum(weights.get(w, -CLIP) for w in tokens.tolist()) / len(tokens) if len(tokens) else 0.0
+
+
+def words_of(page: Page, lines: list[int]) -> np.ndarray:
+    """The words of some of a page's lines, where they are kept."""
+    counts = page.forms[-1]
+    if not len(page.tokens):
+        return page.tokens
+    keep = np.zeros(len(counts), bool)
+    keep[lines] = True
+    return page.tokens[np.repeat(keep, counts)]
+
+
+def mark_page(page: Page, everywhere: set[int], per_host: set | None, known: dict, weights: dict[int, float]) -> tuple[list[int], int, int, int]:
+    """(numbers of the lines of page matter, count of the others, flags, print of a possible response) of one page."""
+    drop, own = own_lines(page, everywhere, per_host, known)
+    no, bits, words = page.forms[0].tolist(), page.forms[6].tolist(), page.forms[7].tolist()
     flags = PLACEHOLDER if any(bits[i] & R.HAS_PLACEHOLDER for i in own) else 0
-    anchors = any(bits[i] & ANCHOR and not bits[i] & (R.IS_FILLER | R.IS_RESPONSE) for i in own)
     mark = 0
-    if own and not anchors:
-        filler = any(bits[i] & R.IS_FILLER for i in own)
-        response = any(bits[i] & R.IS_RESPONSE for i in own)
-        shares = any(bits[i] & R.SHARES_TERM and not bits[i] & (NUMERIC | R.IS_RESPONSE) for i in own)
-        size = sum(words[i] for i in own)
-        if filler or (flags and size < 15) or (response and not shares and size <= 40):
+    if own and not any(bits[i] & ANCHOR and bits[i] & R.SHARES_TERM for i in own):
+        score = evidence(words_of(page, own), weights)
+        if score > PAGE_FROM or (flags and sum(words[i] for i in own) < 15):
             flags |= NO_ARTICLE
-        elif not shares and size <= 40 and not any(bits[i] & NUMERIC for i in own):
+        elif score > 0 and not any(bits[i] & (R.SHARES_TERM | ANCHOR) for i in own):
             flags |= MAYBE
-            mark = small("".join(str(exact[i]) for i in own if words[i] > 1))
+            mark = small("".join(str(page.exact[i]) for i in own if words[i] > 1))
     return [no[i] for i in drop], len(own), flags, mark
 
 
+def vocabulary(pages: DataFrame, shared: Broadcast) -> tuple[dict[int, float], dict[int, float], dict[int, float]]:
+    """What words say about a page, about a headline, and about a headline by those that several have: log ratios, clipped, of how many
+    pages without a word in common with address and title have them and how many others; only words of the former have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int | None, list[int]] = {}
+
+        def add(words: np.ndarray, k: int) -> None:
+            for w in [None, *set(words.tolist())]:
+                c = seen.get(w)
+                if c is None:
+                    c = seen[w] = [0, 0, 0, 0]
+                c[k] += 1
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), *(pa.array([c[k] for c in seen.values()], pa.int64()) for k in range(4))], names=["word", "a", "z", "ah", "zh"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for page in _pages(batch):
+                if len(page.exact) and page.head & R.ABOUT:
+                    _, own = own_lines(page, *shared.value)
+                    if own:
+                        bits = page.forms[6]
+                        add(words_of(page, own), 0 if (bits[own] & R.SHARES_TERM).any() else 1)
+                if len(page.head_tokens):
+                    add(page.head_tokens, 3 if page.head & R.MISMATCHED and not page.head & R.IN_BODY else 2)
+            if len(seen) > HELD:
+                yield told()
+        if seen:
+            yield told()
+
+    found = pages.where("sampled").mapInArrow(run, "word int, a bigint, z bigint, ah bigint, zh bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("a", "z", "ah", "zh")])
+    rows = found.where("word is null or z > 0 or zh > 0").collect()  # the words of a part of SAMPLE_PAGES pages
+    total = next((r for r in rows if r.word is None), None)
+    if total is None:
+        return {}, {}, {}
+    ratio = lambda k, n, m, of: max(-CLIP, min(CLIP, math.log((k + 0.1) / (n + 1)) - math.log((m + 0.1) / (of + 1))))
+    words = [r for r in rows if r.word is not None]
+    page = {r.word: ratio(r.z, total.z, r.a, total.a) for r in words if r.z}
+    head = {r.word: ratio(r.zh, total.zh, r.a + r.ah, total.a + total.ah) for r in words if r.zh}
+    return page, head, {r.word: head[r.word] if r.zh > 1 else min(0.0, head[r.word]) for r in words if r.zh}
+
+
 @dataclass
 class Fitted:
-    """Parsed pages with their ``hits``, and what marking them needs, shipped to the tasks (bounded, see the module's text)."""
+    """Parsed pages with their recurring lines, and what marking them needs, shipped to the tasks (bounded, see the module's text)."""
 
     pages: DataFrame
     shared: Broadcast
+    heads: Broadcast
 
 
 def fit(df: DataFrame, with_tokens: bool = False) -> Fitted:
     """Parse the pages of (id, host, body, headline, url) and learn what recurs on them."""
+    context = df.sparkSession.sparkContext
     parsed = parse(df, with_tokens)
     rec = recurring(parsed)
-    shared = df.sparkSession.sparkContext.broadcast((rec.everywhere, rec.per_host, profile(parsed, rec)))
-    return Fitted(parsed.join(rec.hits, "id", "left") if rec.hits is not None else parsed.withColumn("hits", F.lit(None).cast("array<bigint>")), shared)
+    known, sides = profile(parsed, rec)
+    none = F.lit(None).cast("array<bigint>")
+    pages = parsed.join(rec.hits, "id", "left").join(sides, "id", "left") if sides is not None else parsed.withColumns({"hits": none, "inner": none, "outer": none})
+    page, *heads = vocabulary(pages, context.broadcast((rec.everywhere, rec.per_host, known)))
+    return Fitted(pages, context.broadcast((rec.everywhere, rec.per_host, known, page)), context.broadcast(tuple(heads)))
 
 
 def mark_batch(batch: pa.RecordBatch, shared: tuple) -> list[tuple[list[int], int, int, int]]:
     """:func:`mark_page` of every row of a batch of parsed pages."""
-    return [mark_page(*page, *shared) for page in _pages(batch)]
+    return [mark_page(page, *shared) for page in _pages(batch)]
 
 
 def mark(df: DataFrame) -> DataFrame:
     """(id, host, drop: numbers of lines of page matter, kept: count of the others, flags, ...) of each row of
     (id, host, body, headline, url)."""
     fitted = fit(df)
-    shared = fitted.shared
+    shared, heads = fitted.shared, fitted.heads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = mark_batch(batch, shared.value)
-            named = {n: batch.column(batch.schema.get_field_index(n)) for n in ("id", "host", "head", "head_print")}
+            named = {n: batch.column(batch.schema.get_field_index(n)) for n in ("id", "host", "head", "head_print", "head_tokens")}
+            titles = [np.frombuffer(t, np.int32) for t in named["head_tokens"].to_pylist()]
+            scores = [pa.array([evidence(t, w) for t in titles], pa.float32()) for w in heads.value]
             ends = np.cumsum([0, *(len(o[0]) for o in out)])
             drop = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([v for o in out for v in o[0]], pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [named["id"], named["host"], drop, pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int64()), named["head"], named["head_print"]],
-                names=["id", "host", "drop", "kept", "flags", "print", "head", "head_print"],
+                [named["id"], named["host"], drop, pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int64()), named["head"], named["head_print"], *scores],
+                names=["id", "host", "drop", "kept", "flags", "print", "head", "head_print", "head_score", "head_again"],
             )
 
     return written(fitted.pages.mapInArrow(run, MARKED), "marked")
@@ -359,7 +497,7 @@ RESPONSE_HEADLINES = 5
 
 
 def judged(marked: DataFrame) -> DataFrame:
-    """Add ``no_article``: found by the detectors, or a low-information print that many mismatched rows share."""
+    """Add ``no_article``: known by its words, or a print leaning that way that many mismatched rows share."""
     shared = marked.where(F.col("flags").bitwiseAND(MAYBE) != 0).groupBy("print").agg(F.countDistinct("head_print").alias("print_rows")).where(F.col("print_rows") >= RESPONSE_HEADLINES)
     x = marked.join(shared, "print", "left")
     alone = (F.col("flags").bitwiseAND(MAYBE) != 0) & F.col("print_rows").isNotNull()

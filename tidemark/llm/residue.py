@@ -1,14 +1,14 @@
-"""Detectors for what a broken page or publishing system prints instead of text: placeholders, filler, responses.
+"""Detectors for what a broken page or publishing system prints instead of text, and the words that tell such output apart.
 
-The word lists and patterns below are fixed values that name such output; which row they exclude is decided with the page model
-(what of a page is its own text) and with evidence over hosts (the same response under other addresses).
+Placeholders are known by their form. Filler, errors, block messages and notices aren't listed anywhere: they are known by words that
+stand on pages whose text has nothing in common with its own address and title, and hardly on others. Which words those are is counted
+on the pages themselves (see ``boilerplate.vocabulary``).
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 #: Unfilled placeholders (fixed values).
 PLACEHOLDER = re.compile(
@@ -16,33 +16,15 @@ PLACEHOLDER = re.compile(
     r"|\[(?:INSERT|ADD|YOUR|HEADLINE|BODY|TEXT|QUOTE|NAME|DATE|TITLE)\b[A-Z ]{0,40}\]|__[A-Z][A-Z_]{1,40}__|%s\b|%\([a-z_]+\)s|@@[a-z_]{2,40}@@|\bTK TK\b|\bTK headline\b|\[object Object\]|<[A-Z][A-Z_ ]{2,40}>"
     r"|\bTODO:|<!-- ?[A-Z_]{2,40} ?-->|\bXX+ per cent \(check\)|\bXX per cent\b"
 )
-#: Filler (fixed values).
-FILLER = re.compile(r"(?i)^lorem\b|\blorem ipsum dolor\b|\bbody copy goes here\b|\breplace this text\b|\bsample paragraph text\b|\bdraft layout\b|\basdf\b|\btest test\b|\b(x{3,7})(?:\W+x{3,7}){2,}|\bheadline goes here\b|\byour headline in max\b")
-#: Error and block messages, script and cookie notices (fixed values).
-RESPONSE = re.compile(
-    r"(?i)\b(?:error|http) ?\d{3}\b|^\W*[45]\d\d\b|\bpage (?:isn['’]t|is not|was not|cannot be|could not be|not) |\bnot found\b|\bbad gateway\b|\bgateway time|\bservice unavailable\b|\btime[d-]?[ -]?out\b|\btoo many requests\b|\bserver is busy\b"
-    r"|\bfatal error\b|\btemplate '|\bundefined (?:index|variable)\b|\bnonetype\b|\btraceback\b|\bwent wrong\b|\binternal (?:server )?error\b|\berror establishing\b|\bdatabase connection\b|\bnot available in your\b|\bdo not have permission\b|\baccess denied\b"
-    r"|\byou are (?:a )?human\b|\bcaptcha\b|\benable (?:javascript|java ?script|cookies|scripts)\b|\ballow scripts\b|\bcould not load\b|\btap to retry\b|\blink has expired\b|\bredirected you\b|\bfalling back to stub\b|\bchecking your browser\b|\bjust a moment\b|\battention required\b"
-    r"|^loading\W*$|\bsession has\b|\blog in again\b|\bunusual traffic\b|\bseite\b.*\bnicht gefunden\b|पृष्ठ उपलब्ध नहीं|त्रुटि \d|\bno longer available\b|\berror \d{1,3}\b|\bplease enable\b"
-    r"|\bcould not be found\b|\bmoved or taken down\b|\bplanned (?:upkeep|maintenance)\b|\bundergoing maintenance\b|\bbrowser is out of date\b|\bblocks scripts\b|\bscripts switched on\b|\bturn (?:scripts|them) on\b|\bback to the front page\b|\breload the page\b|\btry again (?:later|in a)\b"
-)
-#: Frequent words of natural English and other languages written in Latin letters (fixed values): a long line with none is filler.
-COMMON = (" the ", " of ", " to ", " a ", " in ", " and ", " for ", " on ", " at ", " with ", " de ", " la ", " der ", " die ", " und ", " el ", " que ", " le ", " les ", " o ", " yang ", " dan ", " ke ", " mein ")
-#: Whole headlines that are system output, in the form of :func:`bare` (fixed values).
-HEADLINES = frozenset(("undefined", "null", "none", "nan", "untitled", "untitled document", "access denied", "attention required", "just a moment", "please enable scripts", "lorem ipsum dolor", "object object", "headline goes here", "new story template do not publish", "test post please ignore", "page not found", "error", "tk headline tk", "headline to come"))
-
 #: Substrings of which a match of each pattern has one: looked for first, since that is much cheaper.
 _PLACEHOLDER_HINTS = ("{", "<", "[", "%%", "%s", "%(", "$", "__", "@@", "TK ", "TODO", "XX")
-_FILLER_HINTS = ("orem", "copy goes", "eplace this", "ample paragraph", "draft layout", "asdf", "est test", "xxx", "XXX", "eadline")
-_RESPONSE_HINTS = ("error", "http", "page ", "found", "gateway", "unavailable", "time", "too many", "server", "template", "undefined", "nonetype", "traceback", "wrong", "database", "available", "permission", "denied", "human", "captcha", "enable", "script", "load", "expired", "redirected", "stub", "browser", "moment", "attention", "session", "again", "traffic", "upkeep", "maintenance", "front page", "gefunden", "पृष्ठ", "त्रुटि")
-
 _TOKEN = re.compile(r"[^\W_]+")
 _EXTENSION = re.compile(r"\.[a-z]{2,5}$")
 _LONG = re.compile(r"[^\W_]{3,}")
 _SLUG = re.compile(r"/([^/?#]+?)/?(?:[?#].*)?$")
 
 #: Bits of a line or headline that this module sets, above the bits of its form.
-HAS_PLACEHOLDER, IS_FILLER, IS_RESPONSE, SHARES_TERM, IN_BODY = 256, 512, 1024, 2048, 4096
+HAS_PLACEHOLDER, SHARES_TERM, MISMATCHED, IN_BODY, SIDES, ABOUT = 256, 512, 1024, 2048, 4096, 8192
 
 
 def terms(text: str | None) -> set[str]:
@@ -61,11 +43,6 @@ def story(about: set[str]) -> int:
     return min((zlib.crc32(w.encode()) for w in about if len(w) > 3), default=0)
 
 
-def bare(text: str) -> str:
-    """Words only, numbers dropped, in lower case: copies of one response under other numbers are equal."""
-    return " ".join(w for w in _TOKEN.findall(text.lower()) if not any(c.isdigit() for c in w))
-
-
 def _has(text: str, hints: tuple[str, ...]) -> bool:
     for h in hints:
         if h in text:
@@ -74,37 +51,9 @@ def _has(text: str, hints: tuple[str, ...]) -> bool:
 
 
 def unfilled(text: str) -> bool:
-    """Whether a text has a placeholder or filler."""
-    return bool((_has(text, _PLACEHOLDER_HINTS) and PLACEHOLDER.search(text)) or (_has(text, _FILLER_HINTS) and FILLER.search(text)))
-
-
-def responds(text: str) -> bool:
-    """Whether a text has the words of an error or block message."""
-    low = text.lower()
-    return bool((_has(low, _RESPONSE_HINTS) or low[:1].isdigit()) and RESPONSE.search(text))
-
-
-def line_bits(text: str, about: set[str], prose: bool, anchor: bool) -> int:
-    """The detectors' bits of one line; ``about`` are the words of address and title."""
-    bits = _short_bits(text, prose, anchor) if len(text) <= 120 else _own_bits(text, prose, anchor)
-    if about and (not anchor or bits & IS_RESPONSE) and not about.isdisjoint(_TOKEN.findall(text.lower())):
-        bits |= SHARES_TERM
-    return bits
-
-
-@lru_cache(maxsize=65_536)
-def _short_bits(text: str, prose: bool, anchor: bool) -> int:
-    """Short lines repeat, so each worker remembers a bounded number of them."""
-    return _own_bits(text, prose, anchor)
+    """Whether a text has a placeholder."""
+    return _has(text, _PLACEHOLDER_HINTS) and PLACEHOLDER.search(text) is not None
 
 
-def _own_bits(text: str, prose: bool, anchor: bool) -> int:
-    bits = HAS_PLACEHOLDER if _has(text, _PLACEHOLDER_HINTS) and PLACEHOLDER.search(text) else 0
-    n = text.count(" ") + 1
-    if prose and n >= 8 and not _has(text, COMMON) and not _has(text.lower() + " ", COMMON) and text.isascii() and sum(map(str.isalpha, text)) > 0.7 * len(text):
-        bits |= IS_FILLER
-    if _has(text, _FILLER_HINTS) and FILLER.search(text):
-        bits |= IS_FILLER
-    if n <= (25 if anchor else 40) and responds(text):
-        bits |= IS_RESPONSE
-    return bits
+def tokens(text: str) -> list[str]:
+    return _TOKEN.findall(text.lower())

@@ -1,9 +1,9 @@
 """Fields of a row that hold system output instead of text: the rows of problem "template residue".
 
-Headline: an unfilled placeholder or filler; or no word in common with the address slug, and either system output by its words or
-a short one that also has nothing in common with the body. Body: a placeholder in its own text; or, after page matter is taken
-away, only filler or a short response that shares no word with slug and headline, known by its words or by standing under many
-different headlines (over all hosts).
+Headline: an unfilled placeholder; or no word in common with the address slug and made of words that such headlines have and others
+don't. Where the body doesn't side with the slug, those words must stand in several such headlines. Body: a placeholder in its own
+text; or what is left after page matter is taken away is made of words that stand on pages without a word in common with address and
+title, and hardly on others, or leans that way and stands under many different headlines (over all hosts).
 
 Defined results: null and empty fields are never found; a row can be found for both fields; repeated rows are found alike; a
 null address or headline only takes the evidence away that it would give.
@@ -16,21 +16,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import boilerplate as B
 from tidemark.llm import residue as R
-from tidemark.llm.page_lines import SHORT
-
-#: A short headline print that shares nothing with its addresses and so many rows have is system output.
-HEADLINE_ROWS = 5
-
 
 def found(df: DataFrame) -> DataFrame:
     """(id, field) for ``df`` (id, host, body, headline, url)."""
     x = B.judged(B.mark(df))
     has = lambda c, bit: F.col(c).bitwiseAND(bit) != 0
     body = x.where(F.col("no_article") | has("flags", B.PLACEHOLDER)).select("id", F.lit("body").alias("field"))
-    alone = ~has("head", R.SHARES_TERM)
-    mismatched = x.where(alone & has("head", SHORT) & ~has("head", R.IN_BODY) & (F.col("head_print") != 0))
-    often = mismatched.groupBy("head_print").agg(F.count("*").alias("n")).where(F.col("n") >= HEADLINE_ROWS).select("head_print")
-    by_print = mismatched.join(often, "head_print", "left_semi").select("id")
-    by_words = x.where(has("head", R.HAS_PLACEHOLDER) | (alone & has("head", R.IS_RESPONSE))).select("id")
-    head = by_words.union(by_print).distinct().select("id", F.lit("headline").alias("field"))
+    odd = has("head", R.MISMATCHED) & (F.col("head_score") > B.HEAD_FROM) & (has("head", R.SIDES) | (F.col("head_again") > B.HEAD_FROM))
+    head = x.where(has("head", R.HAS_PLACEHOLDER) | odd).select("id", F.lit("headline").alias("field"))
     return body.union(head)
