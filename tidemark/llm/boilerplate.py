@@ -128,7 +128,8 @@ def _parse(batches: Iterator[pa.RecordBatch], with_tokens: bool = False) -> Iter
                         e, label, opening, kind, rest, rough, b = form(t)
                         if R.unfilled(t):
                             b |= R.HAS_PLACEHOLDER
-                        if about_here and _any_in(about_here, t.lower()):
+                        # a part of a word decides once a paragraph of the article has a whole one
+                        if about_here and _any_in(about_here, t.lower()) and (sided or not about.isdisjoint(R.tokens(t))):
                             b |= R.SHARES_TERM
                             sided = sided or bool(b & ANCHOR)
                         exact.append(e)
