@@ -6,11 +6,14 @@ symbol and are joined by the planner's choice. Missing numbers are null, never N
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import t_equivalent
+from tidemark.functions.stats import t_equivalent, t_two_sided
 
 ESTIMATION_DAYS, MIN_DAYS, GAP_DAYS = 120, 40, 5
 EVENT_WINDOW = (-1, 3)
@@ -111,6 +114,21 @@ def cumulative(abnormal_: DataFrame, events: DataFrame, window: tuple[int, int]
     return x.select("symbol", "day", "anchor", "car", "days", (F.col("days") < hi - lo + 1).alias("truncated"), F.when(F.col("scale") > 0, F.col("car") / (F.col("scale") * F.sqrt("days"))).alias("t_stat"))
 
 
+@lru_cache(maxsize=100_000)
+def _p_value(t: float, df: int) -> float:
+    return t_two_sided(t, df)
+
+
+def significant(cars: DataFrame) -> DataFrame:
+    """Adds ``p_value`` to (t_stat, df): how often Student's t is as far from 0 on either side; null without a t or degrees of freedom."""
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([_p_value(float(a), int(b)) if pd.notna(a) and pd.notna(b) and b > 0 else None for a, b in zip(t, df, strict=True)], dtype="float64")
+
+    return cars.withColumn("p_value", p("t_stat", "df"))
+
+
 def anchor(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """The session on the event day or the next one after it: events and sessions in one sort a symbol, no theta join."""
     both = events.select("symbol", "day", F.col("day").alias("date"), F.lit(0).alias("side")).unionByName(sessions.select("symbol", F.lit(None).cast("date").alias("day"), "date", F.lit(1).alias("side")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("cleaning", "market", "news", "series", "ingest", "extension", "streams")
+AREAS = ("cleaning", "market", "news", "series", "ingest", "extension", "statistics", "streams")
 
 
 def _all(what: str) -> dict:

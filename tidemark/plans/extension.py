@@ -32,7 +32,6 @@ SELECTS = {
     "b15_average_path": "SELECT date, round(avg(ar), 6) AS aar, count(ar) AS n, round(sum(avg(ar)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS caar FROM ab WHERE ar IS NOT NULL GROUP BY date",
     "b16_cornish_fisher": "SELECT symbol, round(m, 6) AS mean, round(m3/nullif(v*sqrt(v), 0), 4) AS skew, round(m4/nullif(v*v, 0) - 3, 4) AS excess FROM (SELECT symbol, max(mu) AS m, avg((ret - mu)*(ret - mu)) AS v, avg((ret - mu)*(ret - mu)*(ret - mu)) AS m3, avg((ret - mu)*(ret - mu)*(ret - mu)*(ret - mu)) AS m4 FROM (SELECT symbol, ret, avg(ret) OVER (PARTITION BY symbol) AS mu FROM ab WHERE ret IS NOT NULL) t GROUP BY symbol) u",
     "b18_rolling_beta": f"SELECT symbol, date, CASE WHEN n >= 20 THEN round(c/nullif(v, 0), 4) END AS beta FROM (SELECT symbol, date, count(ret) OVER w AS n, covar_pop(bret, ret) OVER w AS c, var_pop(bret) OVER w AS v FROM ab WHERE ret IS NOT NULL AND bret IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) t",
-    "b21_attribution": "SELECT symbol, date, round(bret, 6) AS market_part, round(ret - bret, 6) AS own_part FROM ab WHERE ret IS NOT NULL AND bret IS NOT NULL",
     "b26_lead_lag": "SELECT symbol, tau, count(*) AS n, round(covar_pop(x, y)/nullif(stddev_pop(x)*stddev_pop(y), 0), 4) AS r FROM (SELECT symbol, 0 AS tau, ret AS x, bret AS y FROM ab UNION ALL SELECT symbol, 1, ret, lag(bret, 1) OVER (PARTITION BY symbol ORDER BY date) FROM ab UNION ALL SELECT symbol, -1, ret, lead(bret, 1) OVER (PARTITION BY symbol ORDER BY date) FROM ab UNION ALL SELECT symbol, 2, ret, lag(bret, 2) OVER (PARTITION BY symbol ORDER BY date) FROM ab) t WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY symbol, tau",
     "b28_source_variance": "SELECT symbol, trading_day, count(*) AS sources, round(var_samp(tone), 9) AS variance FROM (SELECT symbol, trading_day, source, avg(sentiment_score) AS tone FROM news WHERE trading_day IS NOT NULL AND symbol IS NOT NULL AND sentiment_score IS NOT NULL GROUP BY symbol, trading_day, source) t GROUP BY symbol, trading_day HAVING count(*) >= 2",
     "b31_drawdown": "SELECT symbol, date, round(close/max(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1, 6) AS drawdown FROM ab",
