@@ -30,6 +30,8 @@ VOCABULARY_DIR = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers; the memo starts anew when it is full, and longer pieces are never kept.
 MEMO_PIECES, MEMO_BYTES = 200_000, 64
+#: Pairs of tokens whose compatibility a worker remembers.
+PAIRS = 2_000_000
 
 
 def read_ranks(data: bytes) -> list[bytes]:
@@ -60,6 +62,7 @@ class Encoder:
             if len(t) > 1:
                 self._split(k, t)
         self.memo: dict[str, list[int]] = {}
+        self.pairs: dict[int, bool] = {}
         self.ends = np.cumsum([len(t) for t in tokens])
         self.flat = b"".join(tokens)
 
@@ -78,6 +81,16 @@ class Encoder:
                 self.merged[a, b] = k
                 return
 
+    def _compatible(self, a: int, b: int) -> bool:
+        """:meth:`_apart` by a table of the pairs met so far, of bounded size."""
+        key = a << 32 | b
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            found = self.pairs[key] = self._apart(a, b)
+        return found
+
     def _apart(self, a: int, b: int) -> bool:
         """Whether merging the bytes of tokens ``a`` and ``b`` side by side leaves the border between them: no merge across it
         may come due before the merges that build the two sides have hidden it."""
@@ -121,7 +134,7 @@ class Encoder:
         open_end, out, at = bytearray(b"\x01") * (n + 1), [], 0
         token = longest[0] if n else -1
         while at < n:
-            while token >= 0 and not (open_end[at + size[token]] and (not out or self._apart(out[-1], token))):
+            while token >= 0 and not (open_end[at + size[token]] and (not out or self._compatible(out[-1], token))):
                 token = self.shorter[token]
             if token >= 0:
                 out.append(token)

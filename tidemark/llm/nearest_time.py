@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import kept_in_order
 
+#: Rows of a range partition, about; a task holds one.
+PARTITION_ROWS = 2_000_000
+
 _EVENTS = "entity string, t bigint, left_id bigint, right_id bigint"
 
 
@@ -84,8 +87,8 @@ def _edges(events: DataFrame, block: int) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, tolerance_us: int, partitions: int | None = None) -> DataFrame:
     """``left`` and ``right`` are (entity string, t bigint in microseconds, id bigint). Gives (left_id, right_id, distance_us)."""
     spark = left.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = lambda df: df.where("entity is not null and t is not null and id is not null")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(known(left).count() + known(right).count()) // PARTITION_ROWS))
     r = known(right).groupBy("entity", "t").agg(F.min("id").alias("right_id")).select("entity", "t", F.lit(None).cast("bigint").alias("left_id"), "right_id")
     events = known(left).select("entity", "t", F.col("id").alias("left_id"), F.lit(None).cast("bigint").alias("right_id")).unionByName(r)
     # the ids take part in the range, so that rows of one entity and instant can be split as well

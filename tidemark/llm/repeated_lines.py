@@ -89,10 +89,10 @@ def repeated(df: DataFrame) -> DataFrame:
 def without_repeated(df: DataFrame) -> DataFrame:
     """``df`` with ``text`` freed from its source's repeated lines; a text of repeated lines only becomes empty."""
     _, again = _marked(df)
-    lines = df.where("source is not null and text is not null").select("id", "source", F.posexplode(F.arrays_zip(F.split("text", "\n").alias("line"), _hashes(F.col("text")).alias("h"))).alias("pos", "x"))
-    lines = lines.select("id", "source", "pos", F.col("x.line").alias("line"), F.col("x.h").alias("h"))
-    kept = lines.join(broadcast_if_small(again), ["source", "h"], "left_anti").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("left"))
-    kept = kept.select(F.col("id").alias("__id"), F.array_join("left.line", "\n").alias("__text"))
-    x = df.join(kept, F.col("id") == F.col("__id"), "left")
-    freed = F.when(F.col("text").isNull() | F.col("source").isNull(), F.col("text")).otherwise(F.coalesce("__text", F.lit("")))
+    # lines-per-row / SHARE hashes a source at most; texts stay where they are
+    own = written(again.groupBy("source").agg(F.collect_set("h").alias("__again")).withColumnRenamed("source", "__source"), "repeated-by-source")
+    x = df.join(broadcast_if_small(own), F.col("source") == F.col("__source"), "left")
+    lines = F.arrays_zip(F.split("text", "\n").alias("line"), _hashes(F.col("text")).alias("h"))
+    kept = F.filter(lines, lambda v: v["h"].isNull() | ~F.array_contains("__again", v["h"]))
+    freed = F.when(F.col("text").isNull() | F.col("__again").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda v: v["line"]), "\n"))
     return x.withColumn("text", freed).select(*df.columns)
