@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 from functools import reduce
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,8 +92,8 @@ def normalize(df: DataFrame, outlets: DataFrame, text: str = "published_at", sou
     """
     spark = df.sparkSession
     known = outlets.select(F.col(source).alias("__source"), F.col(zone).alias("__zone"), F.col(order).alias("__order")).dropDuplicates(["__source"])
-    zones = [r[0] for r in known.select("__zone").where("__zone is not null").distinct().limit(1000).collect()]  # zone names: some hundreds exist
-    good = [z for z in zones if _is_zone(z)]
+    exist = spark.createDataFrame([(z,) for z in sorted(available_timezones())], "__zone string")  # the system's zones, some hundreds
+    good = [r[0] for r in known.select("__zone").distinct().join(F.broadcast(exist), "__zone", "left_semi").collect()]
     offsets = spark.createDataFrame(zone_abbreviations(good) or [("", "", 0)], "__abbr_zone string, __abbr string, __abbr_min int")
     plain = F.lower(F.trim(F.regexp_replace(F.col(f"`{text}`"), r"[\s    ]+", " ")))
     x = df.join(known, F.col(f"`{source}`") == F.col("__source"), "left").withColumn("__zone", F.when(F.col("__zone").isin(good or [""]), F.col("__zone")))
@@ -128,10 +128,3 @@ def normalize(df: DataFrame, outlets: DataFrame, text: str = "published_at", sou
     kind = F.when(F.col("__p").isNull() | (F.col("__p._h") != ""), "exact").otherwise("date-only")
     out = x.where(F.col("__us").isNotNull())
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("instant_us", "confidence")], F.col("__us").alias("instant_us"), kind.alias("confidence"))
-
-
-def _is_zone(name: str) -> bool:
-    try:
-        return bool(ZoneInfo(name))
-    except Exception:
-        return False

@@ -13,8 +13,8 @@ from tidemark.functions import fits
 from tidemark.plans import market as P
 from tidemark.session import table
 
-#: Publisher weights by kind of source (fixed values).
-AUTHORITY = "CASE WHEN source IN ('dalal_patrika', 'bazaar_ledger') THEN 1.5 WHEN source IN ('startup_chowk', 'prairie_quote') THEN 0.7 ELSE 1.0 END"
+#: Publisher weights: from 0.7 for the one with fewest items to 1.5 for the one with most; a table of weights can take its place.
+AUTHORITY = "(SELECT source, CASE WHEN max(n) OVER () > min(n) OVER () THEN 0.7 + 0.8*(n - min(n) OVER ())/(max(n) OVER () - min(n) OVER ()) ELSE 1e0 END AS weight FROM (SELECT source, count(*) AS n FROM news WHERE source IS NOT NULL GROUP BY source) c)"
 _REG = "covar_pop({x}, {y})/nullif(var_pop({x}), 0)"
 
 
@@ -38,7 +38,7 @@ SELECTS = {
     "b32_volatility": "SELECT symbol, date, CASE WHEN n = 20 THEN round(s*sqrt(252), 5) END AS volatility FROM (SELECT symbol, date, count(ret) OVER w AS n, stddev_samp(ret) OVER w AS s FROM ab WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) t",
     "b33_category_response": "SELECT event_category, count(*) AS items, round(avg(ar), 6) AS mean_ar, round(avg(abs(ar)), 6) AS mean_size FROM news n JOIN ab ON n.symbol = ab.symbol AND n.trading_day = ab.date WHERE ar IS NOT NULL AND duplicate_of IS NULL GROUP BY event_category",
     "b36_velocity": "SELECT symbol, trading_day, round((n - m)/greatest(1, m), 5) AS velocity FROM (SELECT symbol, trading_day, n, coalesce(avg(n) OVER (PARTITION BY symbol ORDER BY trading_day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS m FROM (SELECT symbol, trading_day, count(*) AS n FROM news WHERE trading_day IS NOT NULL AND symbol IS NOT NULL GROUP BY symbol, trading_day) t) u",
-    "b38_authority": f"SELECT symbol, round(sum(sentiment_score*{AUTHORITY})/sum({AUTHORITY}), 6) AS tone FROM news WHERE symbol IS NOT NULL AND sentiment_score IS NOT NULL GROUP BY symbol",
+    "b38_authority": f"SELECT symbol, round(sum(sentiment_score*weight)/sum(weight), 6) AS tone FROM news JOIN {AUTHORITY} w ON news.source = w.source WHERE symbol IS NOT NULL AND sentiment_score IS NOT NULL GROUP BY symbol",
     "b39_risk_parity": "SELECT symbol, round((1/s)/sum(1/s) OVER (), 8) AS weight FROM (SELECT symbol, stddev_samp(ret) AS s FROM ab GROUP BY symbol) t WHERE s > 0",
     "b40_elasticity": f"SELECT symbol, round({_reg('bret', 'ret')}, 5) AS elasticity FROM ab WHERE ret IS NOT NULL AND bret IS NOT NULL GROUP BY symbol",
     "b43_up_down": "SELECT symbol, round(avg(CASE WHEN bret > 0 THEN ret END)/nullif(avg(CASE WHEN bret > 0 THEN bret END), 0), 5) AS up_capture, round(avg(CASE WHEN bret < 0 THEN ret END)/nullif(avg(CASE WHEN bret < 0 THEN bret END), 0), 5) AS down_capture FROM ab WHERE ret IS NOT NULL AND bret IS NOT NULL GROUP BY symbol",

@@ -183,6 +183,98 @@ def b52_spillover(spark, d):
     return x.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.try_divide(F.covar_pop("x", "y"), F.var_pop("x")), 4).alias("spillover"))
 
 
+def b8_clusters(spark, d):
+    """Runs of sessions on which the pressure of return and volume together is 1.5 or more."""
+    own = Window.partitionBy("symbol")
+    vz = F.try_divide(F.col("volume") - F.avg("volume").over(own), F.stddev_samp("volume").over(own))
+    x = P._abnormal(spark, d).select("symbol", "date", F.sqrt(F.col("z") * F.col("z") + vz * vz).alias("adi"), F.row_number().over(M.by_day()).alias("pos")).where("adi >= 1.5")
+    x = x.withColumn("run", F.col("pos") - F.row_number().over(M.by_day()))
+    return x.groupBy("symbol", "run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("sessions"), F.round(F.max("adi"), 4).alias("peak")).drop("run")
+
+
+def b16_cone(spark, d):
+    """Value at risk at 95 % over four horizons by the Cornish-Fisher expansion."""
+    x = P._aligned(spark, d).where("ret is not null").groupBy("symbol").agg(F.avg("ret").alias("mu"), F.stddev_samp("ret").alias("sd"), F.skewness("ret").alias("s"), F.kurtosis("ret").alias("k"))
+    x = x.withColumn("h", F.explode(F.array(*[F.lit(h) for h in (1, 5, 10, 21)])))
+    z, s, k = F.lit(-1.6448536269514722), F.col("s") / F.sqrt("h"), F.col("k") / F.col("h")
+    q = z + (z * z - 1) * s / 6 + (z * z * z - 3 * z) * k / 24 - (2 * z * z * z - 5 * z) * s * s / 36
+    return x.select("symbol", "h", F.round(-(F.col("mu") * F.col("h") + q * F.col("sd") * F.sqrt("h")), 6).alias("value_at_risk"))
+
+
+def b18_chow(spark, d):
+    """Whether the market model changed halfway: the F statistic of two halves against one line."""
+    x = P._aligned(spark, d).where("ret is not null and bret is not null")
+    x = x.select("symbol", "ret", "bret", (F.row_number().over(M.by_day()) * 2 <= F.count("*").over(Window.partitionBy("symbol"))).cast("int").alias("half"))
+    ssr = F.var_pop("ret") * F.count("*") - F.try_divide(F.pow(F.covar_pop("bret", "ret"), F.lit(2)) * F.count("*"), F.var_pop("bret"))
+    parts = x.groupBy("symbol", "half").agg(ssr.alias("ssr")).groupBy("symbol").agg(F.sum("ssr").alias("apart"))
+    y = x.groupBy("symbol").agg(ssr.alias("ssr"), F.count("*").alias("n")).join(parts, "symbol").where("n >= 10")
+    return y.select("symbol", "n", F.round(F.when(F.col("apart") > 1e-12, (F.col("ssr") - F.col("apart")) / 2 / (F.col("apart") / (F.col("n") - 4))), 4).alias("f"))  # without residuals there is no statistic
+
+
+def b31_recovery(spark, d):
+    """Sessions after a flagged day until the close is back at that of the session before it, within twenty."""
+    rows = P._abnormal(spark, d).select("symbol", "date", "close", F.row_number().over(M.by_day()).alias("pos"), F.lag("close").over(M.by_day()).alias("base"))
+    at = rows.join(_events(spark, d).select("symbol", F.col("day").alias("date")), ["symbol", "date"]).where("base is not null").select("symbol", F.col("date").alias("day"), F.col("pos").alias("at"), "base")
+    x = at.withColumn("pos", F.explode(F.sequence(F.col("at"), F.col("at") + 20))).join(rows.select("symbol", "pos", "close"), ["symbol", "pos"])
+    return x.groupBy("symbol", "day").agg(F.round(F.min(F.col("close") / F.col("base") - 1), 6).alias("drawdown"), F.min(F.when(F.col("close") >= F.col("base"), F.col("pos") - F.col("at"))).alias("sessions"))
+
+
+def b32_cone(spark, d):
+    """Yearly volatility over three windows: the latest, and the quarters of its range."""
+    out = None
+    for n in (10, 20, 30):
+        w = M.by_day().rowsBetween(-n + 1, 0)
+        x = P._aligned(spark, d).where("ret is not null").select("symbol", "date", (F.stddev_samp("ret").over(w) * F.sqrt(F.lit(252.0))).alias("v"), F.count("*").over(w).alias("n")).where(F.col("n") == n)
+        one = x.groupBy("symbol").agg(F.lit(n).alias("window"), F.round(F.max_by("v", "date"), 5).alias("latest"), *[F.round(F.percentile("v", F.lit(q)), 5).alias(f"p{int(100 * q)}") for q in (0.25, 0.5, 0.75)])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def b36_cascades(spark, d):
+    """Days on which items arrive two or more times faster than the mean of the three recorded days before."""
+    x = table(spark, d, "news").where("trading_day is not null and symbol is not null").groupBy("symbol", "trading_day").agg(F.count("*").alias("n"))
+    m = F.coalesce(F.avg("n").over(Window.partitionBy("symbol").orderBy("trading_day").rowsBetween(-3, -1)), F.lit(0.0))
+    v = (F.col("n") - m) / F.greatest(F.lit(1.0), m)
+    return x.select("symbol", "trading_day", F.round(v, 5).alias("velocity")).where("velocity >= 2")
+
+
+def b43_betas(spark, d):
+    """Betas on days on which the market rose and fell."""
+    x = P._aligned(spark, d).where("ret is not null and bret is not null")
+    up, down = F.col("bret") > 0, F.col("bret") < 0
+    beta = lambda c: F.try_divide(F.covar_pop(F.when(c, F.col("bret")), F.when(c, F.col("ret"))), F.var_pop(F.when(c, F.col("bret"))))
+    return P._rounded(x.groupBy("symbol").agg(beta(up).alias("up_beta"), beta(down).alias("down_beta")), 4)
+
+
+def b48_ncskew(spark, d):
+    """Negative coefficient of skewness of abnormal returns."""
+    x = P._abnormal(spark, d).where("ar is not null").groupBy("symbol").agg(F.count("*").alias("n"), F.skewness("ar").alias("s")).where("n >= 10")
+    # skewness is m3 / m2^1.5 with means; the coefficient has sums and the sample's corrections
+    return x.select("symbol", F.round(-F.col("s") * (F.col("n") - 1) * F.sqrt(F.col("n") - 1.0) * F.sqrt("n") / ((F.col("n") - 1) * (F.col("n") - 2)) * 1.0, 5).alias("ncskew"))
+
+
+def b57_impact(spark, d):
+    """Price impact of signed volume, and the mean imbalance of buying and selling volume over five sessions."""
+    x = P._aligned(spark, d).where("volume is not null").select("symbol", "date", "volume", (F.col("close") - F.lag("close").over(M.by_day())).alias("dp")).where("dp is not null")
+    x = x.withColumn("signed", F.signum("dp") * F.col("volume"))
+    w = M.by_day().rowsBetween(-4, 0)
+    x = x.select("symbol", "dp", "signed", F.when(F.count("*").over(w) == 5, F.try_divide(F.abs(F.sum("signed").over(w)), F.sum("volume").over(w))).alias("imbalance"))
+    return x.groupBy("symbol").agg(F.round(F.try_divide(F.covar_pop("signed", "dp"), F.var_pop("signed")) * 1e9, 4).alias("impact"), F.round(F.avg("imbalance"), 5).alias("imbalance"))
+
+
+def b23_decoupled(spark, d):
+    """Windows (-1, 3) of flagged days that would overlap end and begin at the middle between them."""
+    rows = P._abnormal(spark, d).select("symbol", "date", "ar", F.row_number().over(M.by_day()).alias("pos"))
+    e = rows.join(_events(spark, d).select("symbol", F.col("day").alias("date")), ["symbol", "date"]).select("symbol", F.col("date").alias("day"), "pos")
+    w = Window.partitionBy("symbol").orderBy("pos")
+    middle = lambda a, b: F.floor((a + b) / 2)
+    low = F.greatest(F.col("pos") - 1, F.coalesce(middle(F.lag("pos").over(w), F.col("pos")) + 1, F.col("pos") - 1))
+    high = F.least(F.col("pos") + 3, F.coalesce(middle(F.col("pos"), F.lead("pos").over(w)), F.col("pos") + 3))
+    e = e.select("symbol", "day", F.least(low, F.col("pos")).alias("low"), F.greatest(high, F.col("pos")).alias("high"))
+    x = e.select("symbol", "day", F.explode(F.sequence("low", "high")).alias("pos")).join(rows.select("symbol", "pos", "ar"), ["symbol", "pos"])
+    return x.groupBy("symbol", "day").agg(F.count("*").alias("sessions"), F.round(F.sum(F.coalesce("ar", F.lit(0.0))), 5).alias("car"))
+
+
 def b6_sentences(spark, d):
     """Sentences of a body that name the company by the first word of its name."""
     q = table(spark, d, "quotes").where("name is not null").select(F.split("symbol", r"[.\-]")[0].alias("symbol"), F.lower(F.split("name", " ")[0]).alias("word")).groupBy("symbol").agg(F.max("word").alias("word"))
@@ -246,7 +338,7 @@ def b22_salience(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     m8_significance, a2_weekdays, i2_index_study, i2_index_returns, i4_global, o10_levels, b4_two_factors, b21_attribution, b11_trajectory, b45_cone, b47_categories, b51_variances, b59_rank_test, b29_dyadic, b34_stress, b42_half_life, b52_spillover,
-    b6_sentences, b17_filing_tiers, b35_esg, b19_negation, b44_uncertainty, b49_guidance, b54_red_flags, b58_fog, b22_salience,
+    b8_clusters, b16_cone, b18_chow, b31_recovery, b32_cone, b36_cascades, b43_betas, b48_ncskew, b57_impact, b23_decoupled, b6_sentences, b17_filing_tiers, b35_esg, b19_negation, b44_uncertainty, b49_guidance, b54_red_flags, b58_fog, b22_salience,
 )}
 
 _EV = f"{P._FL}, evs AS (SELECT symbol, date AS day, dominant_event_category FROM fl WHERE candidate), pos AS (SELECT symbol, date, ar, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM ab), st AS (SELECT evs.symbol, evs.day, evs.dominant_event_category, b.pos - a.pos AS step, coalesce(b.ar, 0) AS ar FROM evs JOIN pos a ON a.symbol = evs.symbol AND a.date = evs.day JOIN pos b ON b.symbol = a.symbol)"
@@ -301,4 +393,22 @@ ORACLES = {
     "b54_red_flags": f"SELECT symbol, sum(len(regexp_extract_all(lower(body), '{RED_FLAGS}')))::BIGINT AS flags, count(*) AS items FROM news WHERE symbol IS NOT NULL AND body IS NOT NULL GROUP BY symbol",
     "b58_fog": r"WITH w AS (SELECT seq, len(regexp_extract_all(body, '[.!?]+')) AS ends, regexp_extract_all(lower(body), '[a-z]+') AS w FROM news WHERE body IS NOT NULL) SELECT seq, round(0.4*(len(w)/greatest(ends, 1)::DOUBLE + 100*len(list_filter(w, lambda t: regexp_matches(t, '[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]+[aeiouy]+')))/len(w)::DOUBLE), 3) AS fog FROM w WHERE len(w) > 0",
     "b22_salience": f"{N._REL} SELECT source, count(*) AS items, count(*) FILTER (score < 0.2) AS dropped FROM rel JOIN news USING (seq) GROUP BY source",
+    "b8_clusters": f"""WITH {P._AB}, v AS (SELECT symbol, avg(volume) AS m, stddev_samp(volume) AS s FROM ab GROUP BY symbol), p AS (SELECT symbol, date, sqrt(z*z + power((volume - m)/nullif(s, 0), 2)) AS adi, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM ab JOIN v USING (symbol)),
+        h AS (SELECT * FROM p WHERE adi >= 1.5), f AS (SELECT h.*, (SELECT max(g.pos) FROM h g WHERE g.symbol = h.symbol AND g.pos <= h.pos AND NOT EXISTS (SELECT 1 FROM h k WHERE k.symbol = g.symbol AND k.pos = g.pos - 1)) AS head FROM h)
+        SELECT symbol, min(date) AS start, max(date) AS "end", count(*) AS sessions, round(max(adi), 4) AS peak FROM f GROUP BY symbol, head""",
+    "b16_cone": f"""WITH {P._AL}, m AS (SELECT symbol, ret, avg(ret) OVER (PARTITION BY symbol) AS mu FROM al WHERE ret IS NOT NULL), g AS (SELECT symbol, max(mu) AS mu, stddev_samp(ret) AS sd, avg(power(ret - mu, 3))/power(var_pop(ret), 1.5) AS s, avg(power(ret - mu, 4))/power(var_pop(ret), 2) - 3 AS k FROM m GROUP BY symbol),
+        q AS (SELECT symbol, h::INT AS h, mu, sd, s/sqrt(h) AS s, k/h AS k, -1.6448536269514722::DOUBLE AS z FROM g, unnest([1, 5, 10, 21]) u(h)) SELECT symbol, h, round(-(mu*h + (z + (z*z - 1)*s/6 + (power(z, 3) - 3*z)*k/24 - (2*power(z, 3) - 5*z)*s*s/36)*sd*sqrt(h)), 6) AS value_at_risk FROM q""",
+    "b18_chow": f"""WITH {P._AL}, r AS (SELECT symbol, ret, bret, row_number() OVER (PARTITION BY symbol ORDER BY date)*2 <= count(*) OVER (PARTITION BY symbol) AS half FROM al WHERE ret IS NOT NULL AND bret IS NOT NULL), f AS (SELECT symbol, half, regr_slope(ret, bret) AS b, regr_intercept(ret, bret) AS a FROM r GROUP BY symbol, half), w AS (SELECT symbol, regr_slope(ret, bret) AS b, regr_intercept(ret, bret) AS a, count(*) AS n FROM r GROUP BY symbol),
+        e AS (SELECT r.symbol, max(n) AS n, sum(power(ret - w.a - w.b*bret, 2)) AS one, sum(power(ret - f.a - f.b*bret, 2)) AS apart FROM r JOIN f ON f.symbol = r.symbol AND f.half = r.half JOIN w ON w.symbol = r.symbol GROUP BY r.symbol) SELECT symbol, n, CASE WHEN apart > 1e-12 THEN round((one - apart)/2/(apart/(n - 4)), 4) END AS f FROM e WHERE n >= 10""",
+    "b31_recovery": f"""WITH {_EV}, c AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM ab), x AS (SELECT e.symbol, e.day, q.pos - p.pos AS k, q.close/b.close - 1 AS r FROM evs e JOIN c p ON p.symbol = e.symbol AND p.date = e.day JOIN c b ON b.symbol = p.symbol AND b.pos = p.pos - 1 JOIN c q ON q.symbol = p.symbol AND q.pos BETWEEN p.pos AND p.pos + 20)
+        SELECT symbol, day, round(min(r), 6) AS drawdown, (min(k) FILTER (r >= 0))::INT AS sessions FROM x GROUP BY symbol, day""",
+    "b32_cone": f"""WITH {P._AL}, r AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM al WHERE ret IS NOT NULL), v AS (SELECT a.symbol, a.rn, n AS "window", stddev_samp(b.ret)*sqrt(252) AS v FROM r a, unnest([10, 20, 30]) u(n), r b WHERE a.rn >= n AND b.symbol = a.symbol AND b.rn > a.rn - n AND b.rn <= a.rn GROUP BY ALL)
+        SELECT symbol, "window", round(arg_max(v, rn), 5) AS latest, round(quantile_cont(v, 0.25), 5) AS p25, round(quantile_cont(v, 0.5), 5) AS p50, round(quantile_cont(v, 0.75), 5) AS p75 FROM v GROUP BY ALL""",
+    "b36_cascades": "WITH c AS (SELECT symbol, trading_day, count(*) AS n FROM news WHERE trading_day IS NOT NULL AND symbol IS NOT NULL GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trading_day) AS rn FROM c), m AS (SELECT a.symbol, a.trading_day, a.n, coalesce(avg(b.n), 0) AS m FROM n a LEFT JOIN n b ON b.symbol = a.symbol AND b.rn BETWEEN a.rn - 3 AND a.rn - 1 GROUP BY ALL) SELECT symbol, trading_day, round((n - m)/greatest(1, m), 5) AS velocity FROM m WHERE round((n - m)/greatest(1, m), 5) >= 2",
+    "b43_betas": f"WITH {P._AL} SELECT symbol, round(regr_slope(ret, bret) FILTER (bret > 0), 4) AS up_beta, round(regr_slope(ret, bret) FILTER (bret < 0), 4) AS down_beta FROM al WHERE ret IS NOT NULL AND bret IS NOT NULL GROUP BY symbol",
+    "b48_ncskew": f"WITH {P._AB}, c AS (SELECT symbol, ar - avg(ar) OVER (PARTITION BY symbol) AS e FROM ab WHERE ar IS NOT NULL), s AS (SELECT symbol, count(*)::DOUBLE AS n, sum(power(e, 3)) AS s3, sum(e*e) AS s2 FROM c GROUP BY symbol HAVING count(*) >= 10) SELECT symbol, round(-n*power(n - 1, 1.5)*s3/((n - 1)*(n - 2)*power(s2, 1.5)), 5) AS ncskew FROM s",
+    "b57_impact": f"""WITH {P._AL}, r AS (SELECT symbol, date, volume, close - lag(close) OVER (PARTITION BY symbol ORDER BY date) AS dp FROM al WHERE volume IS NOT NULL), g AS (SELECT symbol, dp, volume, CASE WHEN dp > 0 THEN volume WHEN dp < 0 THEN -volume ELSE 0 END AS sv, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM r WHERE dp IS NOT NULL),
+        i AS (SELECT a.symbol, a.rn, abs(sum(b.sv))/nullif(sum(b.volume), 0) AS imbalance FROM g a JOIN g b ON b.symbol = a.symbol AND b.rn BETWEEN a.rn - 4 AND a.rn WHERE a.rn >= 5 GROUP BY a.symbol, a.rn) SELECT g.symbol, round(regr_slope(dp, sv)*1e9, 4) AS impact, (SELECT round(avg(imbalance), 5) FROM i WHERE i.symbol = g.symbol) AS imbalance FROM g GROUP BY g.symbol""",
+    "b23_decoupled": f"""WITH {_EV}, e AS (SELECT evs.symbol, evs.day, pos.pos FROM evs JOIN pos ON pos.symbol = evs.symbol AND pos.date = evs.day), n AS (SELECT e.*, (SELECT max(p.pos) FROM e p WHERE p.symbol = e.symbol AND p.pos < e.pos) AS before, (SELECT min(p.pos) FROM e p WHERE p.symbol = e.symbol AND p.pos > e.pos) AS after FROM e)
+        SELECT n.symbol, n.day, count(*) AS sessions, round(sum(coalesce(ar, 0)), 5) AS car FROM n JOIN pos ON pos.symbol = n.symbol AND pos.pos BETWEEN least(n.pos, greatest(n.pos - 1, coalesce((before + n.pos) // 2 + 1, n.pos - 1))) AND greatest(n.pos, least(n.pos + 3, coalesce((n.pos + after) // 2, n.pos + 3))) GROUP BY n.symbol, n.day""",
 }
