@@ -1,4 +1,4 @@
-"""Command line: list the queries, run one, or print a company's flagged days."""
+"""Command line: list the queries, run one, print a company's flagged days or a share's revisions, the funnel, or the sources' verdicts."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ import sys
 from pyspark.sql import SparkSession
 
 from tidemark import plans
+from tidemark import unlisted as timeline
+from tidemark.operators import market
 from tidemark.report import bundle, html, table_text
-from tidemark.session import ship
+from tidemark.session import ship, table
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -27,6 +29,17 @@ def main(argv: list[str] | None = None) -> int:
     study.add_argument("--top", type=int, default=0)
     study.add_argument("--json")
     study.add_argument("--html")
+    ingest = sub.add_parser("ingest", help="the funnel of collected items as JSON, and the items that were read")
+    ingest.add_argument("--data", required=True)
+    ingest.add_argument("--out", help="folder for the items")
+    unlisted = sub.add_parser("unlisted", help="a share's price revisions and the news inside its moves")
+    unlisted.add_argument("symbol")
+    unlisted.add_argument("--data", required=True)
+    unlisted.add_argument("--start", default="1900-01-01")
+    unlisted.add_argument("--end", default="2999-12-31")
+    unlisted.add_argument("--html")
+    probe = sub.add_parser("probe", help="what each source lets one expect, and whether prices are there")
+    probe.add_argument("--data", required=True)
     a = p.parse_args(argv)
     if a.command == "queries":
         print("\n".join(sorted(plans.queries())))
@@ -42,6 +55,24 @@ def main(argv: list[str] | None = None) -> int:
         df = found(spark, a.data)
         df.write.mode("overwrite").parquet(a.out) if a.out else df.show(50, False)
         return 0
+    if a.command == "ingest":
+        known = plans.queries()
+        print(json.dumps(known["c9_counters"](spark, a.data).first().asDict(), indent=1))
+        if a.out:
+            known["c8_items"](spark, a.data).write.mode("overwrite").parquet(a.out)
+        return 0
+    if a.command == "probe":
+        known = plans.queries()
+        known["s32_verdicts"](spark, a.data).orderBy("source").show(200, False)
+        known["s32_prices"](spark, a.data).orderBy("symbol").show(200, False)
+        return 0
+    if a.command == "unlisted":
+        found = timeline.bundle(spark, market.frame(table(spark, a.data, "prices")), table(spark, a.data, "news"), a.symbol, a.start, a.end)
+        print("\n".join(timeline.narrative(found)))
+        if a.html:
+            with open(a.html, "w") as f:
+                f.write(timeline.html(found))
+        return 0
     result = bundle(spark, a.data, a.symbol, a.top)
     print(table_text(result["incidents"]))
     if a.json:

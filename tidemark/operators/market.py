@@ -17,6 +17,8 @@ from tidemark.functions.stats import t_equivalent, t_two_sided
 
 ESTIMATION_DAYS, MIN_DAYS, GAP_DAYS = 120, 40, 5
 EVENT_WINDOW = (-1, 3)
+#: Calendar days loaded before and after a window.
+LEAD_IN, TAIL = 200, 21
 
 
 def by_day() -> Window:
@@ -76,6 +78,15 @@ def models(aligned_: DataFrame, start: str, days: int = ESTIMATION_DAYS, least:
     )
 
 
+def built(frame_: DataFrame, benchmark: DataFrame, start: str, end: str, lead_in: int = LEAD_IN, tail: int = TAIL, least: int = MIN_DAYS) -> DataFrame:
+    """Abnormal returns of a window with what is needed around it: ``lead_in`` calendar days before it for the model, ``tail`` days after
+    it for cumulative returns. ``in_window`` tells the window's own rows (both ends count)."""
+    day = lambda d: F.lit(d).cast("date")
+    near = F.col("date").between(F.date_sub(day(start), lead_in), F.date_add(day(end), tail))
+    x = aligned(frame_.where(near), benchmark.where(near))
+    return abnormal(x, models(x, start, least=least)).withColumn("in_window", F.col("date").between(day(start), day(end)))
+
+
 def abnormal(aligned_: DataFrame, models_: DataFrame) -> DataFrame:
     """Expected and abnormal return of each day, and its z by the residual SD; where there is none, by the SD of the symbol's
     abnormal returns. Adds expected, ar, scale, scale_df, z."""

@@ -275,6 +275,18 @@ def s32_verdicts(spark, d):
     return D.verdicts(x).select("source", "verdict")
 
 
+def s32_prices(spark, d):
+    """Whether each symbol's prices would do: rows, rows without a close, and the verdict."""
+    x = table(spark, d, "prices").where("symbol is not null").groupBy("symbol").agg(F.count("*").alias("delivered"), F.count("close").alias("closes"), F.countDistinct("date").alias("days"))
+    return x.withColumn("verdict", F.when(F.col("closes") == 0, "no prices").when(F.col("days") < 40, "too short").otherwise("usable"))
+
+
+def s25_blanket(spark, d):
+    """Sources whose robots file shuts everything: every third is shut, every third has an exception, the others are open."""
+    x = table(spark, d, "outlets").select(F.col("source").alias("origin"), F.lit(200).alias("status"), F.when(F.length("source") % 3 == 0, "User-agent: *\nDisallow: /\n").when(F.length("source") % 3 == 1, "User-agent: *\nDisallow: /\nAllow: /news\n").otherwise("User-agent: *\nDisallow: /private\n").alias("text"))
+    return robots.blanket(robots.rules(x))
+
+
 def _html(spark: SparkSession, d: str) -> DataFrame:
     """(url, text): a page of every item, with its values as structured data; every second row has them in meta tags and paragraphs."""
     plain = lambda c: F.coalesce(F.regexp_replace(c, r"[<>&\p{Cc}\p{Z}]+", " "), F.lit(""))
@@ -378,7 +390,7 @@ def v10_cached_ingest(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     s3_chart_json, s5_daily_map, s7_bundle, s8_locations, s9_blocks, s10_index, s12_month_parts, s13_days_by_query, s14_day_parts, s15_year_months, s16_days_with_margin, s17_day_pages, s18_walk, s19_archive, s20_dispatch, s21_snapshots, s22_topic_links, s22_topic_slugs,
-    s23_archived_items, s24_provenance, s25_robots, s27_directory, s29_embedded_series, s30_quarters, s30_order_book, i9_nopat, i10_financials, s31_reading, s32_verdicts, x8_articles, x9_shells, c1_alias_list, c6_widened, c8_items, c8_outcomes, c9_counters,
+    s23_archived_items, s24_provenance, s25_robots, s27_directory, s29_embedded_series, s30_quarters, s30_order_book, i9_nopat, i10_financials, s31_reading, s25_blanket, s32_prices, s32_verdicts, x8_articles, x9_shells, c1_alias_list, c6_widened, c8_items, c8_outcomes, c9_counters,
     v6_sufficient_gaps, v9_after_gaps, v9_segments, v10_cached_ingest,
 )}
 
@@ -449,4 +461,6 @@ ORACLES = {
         re AS (SELECT symbol, count(*) AS reused, count(DISTINCT day) AS days_reused FROM nw JOIN rq USING (symbol) WHERE seq % 2 = 0 AND day BETWEEN lo AND hi AND (symbol, day) NOT IN (SELECT (symbol, day) FROM gd) GROUP BY symbol),
         cr AS (SELECT symbol, count(*) AS crawled FROM nw WHERE (symbol, day) IN (SELECT (symbol, day) FROM gd) GROUP BY symbol)
         SELECT symbol, coalesce(gaps, 0) AS gaps, coalesce(gap_days, 0) AS gap_days, coalesce(reused, 0) AS reused, coalesce(days_reused, 0) AS days_reused, coalesce(crawled, 0) AS crawled FROM rq LEFT JOIN sp USING (symbol) LEFT JOIN re USING (symbol) LEFT JOIN cr USING (symbol)""",
+    "s32_prices": "SELECT symbol, count(*) AS delivered, count(close) AS closes, count(DISTINCT date) AS days, CASE WHEN count(close) = 0 THEN 'no prices' WHEN count(DISTINCT date) < 40 THEN 'too short' ELSE 'usable' END AS verdict FROM prices WHERE symbol IS NOT NULL GROUP BY symbol",
+    "s25_blanket": "SELECT source AS origin, '*' AS agent FROM outlets WHERE length(source) % 3 = 0",
 }

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import indices as X
 from tidemark.operators import market as M
+from tidemark.operators import study as S
 from tidemark.plans import market as P
 from tidemark.plans import news as N
+from tidemark.plans import series as SERIES
 from tidemark.session import table, written
 
 #: Names that the text detectors look for (fixed values).
@@ -52,6 +55,30 @@ def a2_weekdays(spark, d):
     return days.select("day", X.next_weekday(F.col("day")).alias("session"))
 
 
+def m10_window(spark, d):
+    """A window's abnormal returns, with the lead-in for its model and the tail behind it."""
+    f = P._frame(spark, d)
+    x = M.built(f, M.market(f), P.START, "2024-03-01", lead_in=60, tail=7, least=P.LEAST)
+    return P._rounded(x.select("symbol", "date", "in_window", "ar", "z"), 5)
+
+
+def o6_moves(spark, d):
+    """Moves between revisions in words."""
+    from tidemark import unlisted
+    from tidemark.operators import revisions as V
+    from tidemark.plans.series import _stepped
+
+    return unlisted.told(V.moves(V.revisions(_stepped(spark, d)))).select("symbol", "start", "end", "direction", "size", "pace")
+
+
+def e6_summaries(spark, d):
+    """The strongest headlines of each flagged day with a summary: the snippet, else the body's beginning, else nothing."""
+    news = table(spark, d, "news")
+    x = S.headlines(S.incidents(P._flags(spark, d)), news).select("symbol", "trading_day", "place", "seq")
+    text = F.coalesce(F.nullif(F.trim("snippet"), F.lit("")), F.col("body"), F.lit(""))
+    return x.join(news.select("seq", T.excerpt(text).alias("summary")), "seq")
+
+
 def _indices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(frames of three made indices, the benchmark): the mean close, the median close and the largest close of a day."""
     f = P._frame(spark, d)
@@ -337,7 +364,7 @@ def b22_salience(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    m8_significance, a2_weekdays, i2_index_study, i2_index_returns, i4_global, o10_levels, b4_two_factors, b21_attribution, b11_trajectory, b45_cone, b47_categories, b51_variances, b59_rank_test, b29_dyadic, b34_stress, b42_half_life, b52_spillover,
+    m8_significance, m10_window, o6_moves, e6_summaries, a2_weekdays, i2_index_study, i2_index_returns, i4_global, o10_levels, b4_two_factors, b21_attribution, b11_trajectory, b45_cone, b47_categories, b51_variances, b59_rank_test, b29_dyadic, b34_stress, b42_half_life, b52_spillover,
     b8_clusters, b16_cone, b18_chow, b31_recovery, b32_cone, b36_cascades, b43_betas, b48_ncskew, b57_impact, b23_decoupled, b6_sentences, b17_filing_tiers, b35_esg, b19_negation, b44_uncertainty, b49_guidance, b54_red_flags, b58_fog, b22_salience,
 )}
 
@@ -411,4 +438,8 @@ ORACLES = {
         i AS (SELECT a.symbol, a.rn, abs(sum(b.sv))/nullif(sum(b.volume), 0) AS imbalance FROM g a JOIN g b ON b.symbol = a.symbol AND b.rn BETWEEN a.rn - 4 AND a.rn WHERE a.rn >= 5 GROUP BY a.symbol, a.rn) SELECT g.symbol, round(regr_slope(dp, sv)*1e9, 4) AS impact, (SELECT round(avg(imbalance), 5) FROM i WHERE i.symbol = g.symbol) AS imbalance FROM g GROUP BY g.symbol""",
     "b23_decoupled": f"""WITH {_EV}, e AS (SELECT evs.symbol, evs.day, pos.pos FROM evs JOIN pos ON pos.symbol = evs.symbol AND pos.date = evs.day), n AS (SELECT e.*, (SELECT max(p.pos) FROM e p WHERE p.symbol = e.symbol AND p.pos < e.pos) AS before, (SELECT min(p.pos) FROM e p WHERE p.symbol = e.symbol AND p.pos > e.pos) AS after FROM e)
         SELECT n.symbol, n.day, count(*) AS sessions, round(sum(coalesce(ar, 0)), 5) AS car FROM n JOIN pos ON pos.symbol = n.symbol AND pos.pos BETWEEN least(n.pos, greatest(n.pos - 1, coalesce((before + n.pos) // 2 + 1, n.pos - 1))) AND greatest(n.pos, least(n.pos + 3, coalesce((n.pos + after) // 2, n.pos + 3))) GROUP BY n.symbol, n.day""",
+    "m10_window": f"WITH {P._PX.replace('close IS NOT NULL)', f'close IS NOT NULL AND date BETWEEN DATE {P.START!r} - 60 AND DATE {chr(39)}2024-03-08{chr(39)})')}, {P._aligned_sql('al', 'avg')}, {P._models_sql('mm', 'al', P.LEAST)}, {P._abnormal_sql('ab', 'al', 'mm')} SELECT symbol, date, date BETWEEN DATE '{P.START}' AND DATE '2024-03-01' AS in_window, round(ar, 5) AS ar, round(z, 5) AS z FROM ab",
+    "o6_moves": f"WITH {SERIES._MV} SELECT symbol, start, \"end\", CASE WHEN change > 0 THEN 'rose' WHEN change < 0 THEN 'fell' ELSE 'held' END AS direction, CASE WHEN abs(change) >= 0.25 THEN 'very large' WHEN abs(change) >= 0.10 THEN 'large' WHEN abs(change) >= 0.03 THEN 'moderate' ELSE 'small' END AS size, CASE WHEN \"end\" - start > 30 THEN 'slowly' ELSE 'at once' END AS pace FROM mv",
+    "e6_summaries": rf"""WITH {P._INC}, h AS (SELECT n.symbol, n.trading_day, n.seq, row_number() OVER (PARTITION BY n.symbol, n.trading_day ORDER BY abs(n.sentiment_score) DESC NULLS LAST, n.relevance_score DESC NULLS LAST, n.seq) AS place, trim(regexp_replace(coalesce(nullif(trim(snippet), ''), body, ''), '\s+', ' ', 'g')) AS t FROM news n JOIN inc ON n.symbol = inc.symbol AND n.trading_day = inc.date WHERE n.duplicate_of IS NULL)
+        SELECT symbol, trading_day, place, seq, CASE WHEN length(t) <= 220 THEN t ELSE rtrim(regexp_replace(substr(t, 1, 220), '\s+\S*$', '')) || '…' END AS summary FROM h WHERE place <= 5""",
 }

@@ -41,6 +41,11 @@ def price_files(spark: SparkSession, folder: str, start: str | None = None, end:
     return x.where(F.col("date") <= F.lit(end).cast("date")) if end else x
 
 
+def export_prices(frame: DataFrame, folder: str) -> None:
+    """Write (symbol, date, close, volume) as CSV, a folder a symbol, each in order of date."""
+    frame.repartition("symbol").sortWithinPartitions("symbol", "date").write.mode("overwrite").partitionBy("symbol").option("header", True).csv(folder)
+
+
 def chart_json(df: DataFrame, text: str = "text", zone: str = "Asia/Kolkata") -> DataFrame:
     """(symbol, date, close, volume, seq) of chart answers: parallel arrays of epoch seconds, closes and volumes."""
     schema = "chart struct<result: array<struct<meta: struct<symbol: string>, timestamp: array<bigint>, indicators: struct<quote: array<struct<close: array<double>, volume: array<double>>>>>>>"

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Meta tags that hold the time of publication, by trust (fixed values).
 TIME_META = ("article:published_time", "og:article:published_time", "publish-date", "datePublished", "pubdate", "article.published", "og:published_time", "content_type:published_time")
@@ -91,8 +92,57 @@ def articles(html: str) -> list[dict]:
     return out
 
 
-def parsed(html: str | None) -> tuple[str, str, str, str, bool]:
-    """(headline, body, snippet, published, gated) of a page; empty strings where a page has none."""
+def cleaned(headline: str, outlets: tuple[str, ...] = ()) -> str:
+    """A headline without the outlet's name behind its last dash or bar."""
+    text = headline.strip()
+    if outlets:
+        text = re.sub(rf"\s*[-|–—]\s*(?:{'|'.join(map(re.escape, sorted(outlets, key=len, reverse=True)))})\s*$", "", text, flags=re.I)
+    return text.strip()
+
+
+class _Container(HTMLParser):
+    """The text of the first element that a selector names: ``tag``, ``.class``, ``tag.class`` or ``#id``."""
+
+    def __init__(self, selector: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.tag, self.mark, self.name = re.fullmatch(r"([a-z0-9]*)([.#]?)(.*)", selector).groups()
+        self.depth, self.skip, self.found, self.text = 0, 0, False, []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = {k: v or "" for k, v in attrs}
+        if self.depth:
+            if tag in SKIPPED:
+                self.skip += 1
+            if tag == self.within:
+                self.depth += 1
+        elif not self.found and (not self.tag or tag == self.tag) and (not self.mark or (self.name in a.get("class", "").split() if self.mark == "." else a.get("id") == self.name)):
+            self.depth, self.found, self.within = 1, True, tag
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.depth and tag in SKIPPED and self.skip:
+            self.skip -= 1
+        if self.depth and tag == self.within:
+            self.depth -= 1
+
+    def handle_data(self, data: str) -> None:
+        if self.depth and not self.skip:
+            self.text.append(data)
+
+
+def selected(html: str, selectors: tuple[str, ...], least: int = 200) -> str:
+    """The text of the first selected element that has more than ``least`` characters; '' if none has."""
+    for s in selectors:
+        c = _Container(s)
+        c.feed(html)
+        text = _SPACE.sub(" ", " ".join(c.text)).strip()
+        if len(text) > least:
+            return text
+    return ""
+
+
+def parsed(html: str | None, selectors: tuple[str, ...] = (), outlets: tuple[str, ...] = ()) -> tuple[str, str, str, str, bool]:
+    """(headline, body, snippet, published, gated) of a page; empty strings where a page has none. ``selectors`` are those of its site,
+    ``outlets`` the names that headlines end in."""
     if not html:
         return "", "", "", "", False
     page, found = _Page(), articles(html)
@@ -101,19 +151,21 @@ def parsed(html: str | None) -> tuple[str, str, str, str, bool]:
     headline = text("headline") or page.meta.get("og:title") or page.meta.get("twitter:title") or page.h1 or page.title.split("|")[0].strip()
     body = _SPACE.sub(" ", text("articleBody"))
     if len(body) <= 200:
-        body = max((" ".join(p) for p in page.paragraphs.values() if len(p) >= 3), key=len, default="")
+        body = selected(html, selectors) or max((" ".join(p) for p in page.paragraphs.values() if len(p) >= 3), key=len, default="")
     snippet = text("description") or text("abstract") or page.meta.get("og:description") or page.meta.get("description") or ""
     published = text("datePublished") or next((page.meta[m] for m in TIME_META if page.meta.get(m)), "") or page.time
     low = html.lower()
-    return headline.strip(), body, snippet.strip(), published, any(g in low for g in GATE) and len(body) < 600
+    return cleaned(headline, outlets), body, snippet.strip(), published, any(g in low for g in GATE) and len(body) < 600
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """(url, headline, body, snippet, published, gated) of (url, text)."""
+def extracted(pages: DataFrame, selectors: dict[str, tuple[str, ...]] | None = None, outlets: tuple[str, ...] = ()) -> DataFrame:
+    """(url, headline, body, snippet, published, gated) of (url, text), or of (url, text, source) with the selectors of each source."""
+    sites = selectors or {}
+    own = pages.select("url", "text", "source" if sites else F.lit("").alias("source"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [parsed(t) for t in b["text"]]
+            rows = [parsed(t, sites.get(s, ()), outlets) for t, s in zip(b["text"], b["source"], strict=True)]
             yield pd.DataFrame(rows, columns=["headline", "body", "snippet", "published", "gated"]).assign(url=b["url"].to_numpy())[["url", "headline", "body", "snippet", "published", "gated"]]
 
-    return pages.select("url", "text").mapInPandas(run, "url string, headline string, body string, snippet string, published string, gated boolean")
+    return own.mapInPandas(run, "url string, headline string, body string, snippet string, published string, gated boolean")

@@ -35,3 +35,9 @@ def decided(requests: DataFrame, rules_: DataFrame) -> DataFrame:
     x = requests.join(best, "id", "left").join(rules_.withColumnRenamed("agent", "token").withColumn("regex", regex), ["origin", "token"], "left")
     hit = x.where("regex is not null and path rlike regex").groupBy("id").agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("allow"))
     return requests.join(hit, "id", "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+
+
+def blanket(rules_: DataFrame) -> DataFrame:
+    """(origin, agent) of the groups that forbid everything and allow nothing."""
+    x = rules_.groupBy("origin", "agent").agg(F.coalesce(F.bool_or(~F.col("allow") & F.col("pattern").isin("/", "/*", "*")), F.lit(False)).alias("shut"), F.coalesce(F.bool_or("allow"), F.lit(False)).alias("opened"))
+    return x.where("shut and not opened").select("origin", "agent")
