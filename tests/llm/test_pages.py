@@ -77,6 +77,28 @@ def test_residue_rows(spark, site):
     assert got == {(1001, "body"), (1002, "body"), (1003, "headline"), (1004, "body"), (1007, "body")}
 
 
+def test_residue_in_any_wording(spark, site):
+    """Responses, filler and notices in words that no list could hold, short and long, with page matter around or not; an article that
+    uses the same words is none, nor is one whose address tells nothing."""
+    rows, _ = site
+    rnd = random.Random(3)
+    made = "zorble gantry handshake refused kindly revisit tide quell nimbus vortan spindle lattice".split()
+    odd, want = [], set()
+    for k in range(8):
+        title, _ = article(rnd)
+        i = 2000 + k
+        message = "The gantry refused your handshake. Kindly revisit after the tide." if k % 2 else " ".join(rnd.choices(made, k=90)).capitalize() + "."
+        body = message if k < 4 else rows[k][2].split("\n")[0] + "\n" + message + "\n" + rows[k][2].split("\n")[-1]
+        odd.append((i, "ab"[k % 2], body, title, f"https://a/{'-'.join(title.lower().split())}-{i}.html"))
+        want.add((i, "body"))
+        odd.append((i + 100, "ab"[k % 2], rows[k][2], "Kindly revisit the gantry", rows[k][4]))
+        want.add((i + 100, "headline"))
+    title, text = article(rnd)
+    odd.append((3000, "a", "\n".join([*text, "The gantry refused the handshake, the board said of its tide plant.", text[0]]), title, f"https://a/{'-'.join(title.lower().split())}.html"))
+    odd.append((3001, "a", "\n".join(text), title, None))
+    assert {(r.id, r.field) for r in residue_rows.found(spark.createDataFrame(rows + odd, PAGE)).collect()} == want
+
+
 @pytest.mark.parametrize("text", ["{{headline}}", "a %%LEDE%% b", "${story.summary}", "<%= title %>", "[INSERT QUOTE HERE]", "[[TICKER]]", "<!-- BODY_TEXT -->", "#{percent_change}", "rival {0} crore", "@@dateline@@", "TK TK", "$COMPANY_SHORT", "[object Object]", "TODO: add figures"])
 def test_placeholders(text):
     assert residue.unfilled(f"before {text} after")

@@ -351,15 +351,14 @@ def own_lines(page: Page, everywhere: set[int], per_host: set | None, known: dic
     exact = page.exact
     recurs = _recurring_of(page, everywhere, per_host)
     span = extent(exact, bits, recurs)
-    inner, outer = set(page.inner or ()), set(page.outer or ())
+    outer = set(page.outer or ())
     drop, own = [], []
     for i, b in enumerate(bits):
         e = exact[i]
         if e in recurs:
             share = known.get((EXACT, e))
-            if share is None:
-                share = 1.0 if e in inner else 0.0 if e in outer else float(bool(b & ANCHOR))
-            out = share < INSIDE
+            # what recurs on pages without an article only, and never beside one, isn't matter of pages
+            out = share < INSIDE if share is not None else e in outer
         else:
             out = decide(label[i], opening[i], shape[i], rest[i], rough[i], b, span is not None and span[0] <= i <= span[1], known)
         (drop if out else own).append(i)
