@@ -49,6 +49,8 @@ LONG, DENSE, BLOCK = 200, 10, 10_000
 #: Texts sampled to find the values of very long lists, and the least of them under such a value.
 SAMPLE_TEXTS, SAMPLE_HITS = 20_000, 8
 MARGIN, WIDE, ROUNDS = 0.02, 2_000, 12
+#: Rounds of stars, which grow with the logarithm of the largest component's diameter.
+MOST_ROUNDS = 200
 #: Comparisons a posting of a list set aside, at most, for which the rounds before the comparison of all that is left are spared.
 FEW = 50
 
@@ -353,7 +355,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each end of an edge is connected with."""
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
-    while True:
+    for _ in range(MOST_ROUNDS):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -361,11 +363,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "stars")
+        before, edges = edges, written(small, "stars")
         seen = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
-        if seen == state:
+        if seen == state and not edges.join(before, ["u", "v"], "left_anti").limit(1).count():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         state = seen
+    raise RuntimeError("components did not settle")
 
 
 def _match(x: str, y: str, least: int) -> Column:
