@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import broadcast_if_small
+
 #: Words of a company name that tell nothing in a slug (fixed values).
 COMMON_WORDS = ("ltd", "limited", "inc", "the", "and")
 
@@ -47,7 +49,7 @@ def interleaved(candidates: DataFrame, seq: str = "seq") -> DataFrame:
     steps = steps.where("n > __low").select("__low", F.col("n").alias("__high"), "__left", "__below")  # ranks low + 1 .. high
     reach = order.alias("o").join(order.alias("p"), F.col("p.__k") < F.col("o.__k")).groupBy(F.col("o.source").alias("source")).agg(F.sort_array(F.collect_list("p.n")).alias("__sizes"))
     x = x.join(order.select("source", "__k"), "source").join(reach, "source", "left")
-    x = x.join(steps, (F.col("__rn") > F.col("__low")) & (F.col("__rn") <= F.col("__high")))  # as many steps as sources at most
+    x = x.join(broadcast_if_small(steps), (F.col("__rn") > F.col("__low")) & (F.col("__rn") <= F.col("__high")))  # as many steps as sources at most
     ahead = F.size(F.filter(F.coalesce("__sizes", F.array().cast("array<bigint>")), lambda n: n >= F.col("__rn")))
     place = F.col("__below") + (F.col("__rn") - F.col("__low") - 1) * F.col("__left") + ahead + 1
     return x.withColumn("place", place.cast("bigint")).drop("__rn", "__k", "__sizes", "__low", "__high", "__left", "__below")
