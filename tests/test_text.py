@@ -103,3 +103,46 @@ def test_name_match_meets_every_name(spark, tmp_path):
             want[q] = (best[1], round(best[0], 4))
     assert want["Motors"] == ("S0", 1.0) and want["Relaince Industries"][0] == "S1"
     assert {r.query: (r.symbol, r.score) for r in series.s28_name_match(spark, str(tmp_path)).collect()} == want
+
+
+def test_greedy_duplicates_equal_the_ordered_walk(spark):
+    """Rounds on the graph of similar pairs give what a walk in order gives, whatever chains of similar headlines there are."""
+    rnd = __import__("random").Random(8)
+    pool = [f"word{k}" for k in range(10)]
+    rows = [("A", None, k, " ".join(rnd.sample(pool, 6)) if rnd.random() < 0.9 else rnd.choice(["", "an of"]), "x" * rnd.randrange(4)) for k in range(160)]
+    news = spark.createDataFrame(rows, "symbol string, published_local_date date, seq bigint, headline string, body string")
+
+    def sets(h):
+        w = [x for x in re.findall(r"[a-z0-9]+", h.lower()) if x not in T.STOPWORDS]
+        return {x for x in w if len(x) > 2}, set(zip(w, w[1:])) if len(w) >= 2 else set(w)
+
+    def alike(a, b):
+        (ta, ba), (tb, bb) = sets(a), sets(b)
+        return bool(ta and tb) and 0.6 * len(ta & tb) / len(ta | tb) + 0.4 * len(ba & bb) / len(ba | bb) >= 0.5
+
+    kept, want = [], {}
+    for _, _, k, h, b in sorted(rows, key=lambda r: (-len(r[4]), r[2])):
+        want[k] = next((s for s, other in kept if alike(h, other)), None)
+        if want[k] is None:
+            kept.append((k, h))
+    assert sum(v is not None for v in want.values()) > 20
+    assert {r.seq: r.survivor for r in similarity.deduplicated(news, threshold=0.5).collect()} == want
+
+
+def test_interleave_in_runs(spark):
+    """Places by runs of seq equal those of one walk, for sources of very unequal sizes."""
+    rnd = __import__("random").Random(4)
+    rows = [(k, rnd.choices("abcdef", [50, 20, 10, 5, 2, 1])[0]) for k in range(400)]
+    by = {}
+    for k, s in rows:
+        by.setdefault(s, []).append(k)
+    order, want = sorted(by, key=lambda s: by[s][0]), []
+    for rank in range(max(map(len, by.values()))):
+        want += [by[s][rank] for s in order if rank < len(by[s])]
+    df = spark.createDataFrame(rows, "seq bigint, source string")
+    original = candidates.ranked
+    candidates.ranked = lambda d, key, seq: original(d, key, seq, size=37)
+    try:
+        assert [r.seq for r in candidates.interleaved(df).orderBy("place").collect()] == want
+    finally:
+        candidates.ranked = original
