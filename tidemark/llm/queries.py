@@ -118,6 +118,14 @@ ORACLES: dict[str, str] = {
         c AS (SELECT source, key, count(DISTINCT seq) AS k FROM k WHERE key <> '' GROUP BY source, key),
         r AS (SELECT c.source, c.key FROM c JOIN n USING (source) WHERE c.k >= 3 AND c.k * 20 >= n.rows)
         SELECT k.seq, k.line_no::BIGINT AS line_no FROM k JOIN r USING (source, key)""",
+    "p4_clean": r"""
+        WITH l AS (SELECT seq, source, unnest(string_split(body, chr(10))) AS line FROM news WHERE body IS NOT NULL AND source IS NOT NULL),
+        k AS (SELECT seq, source, lower(regexp_replace(line, '[^\p{L}]+', '', 'g')) AS key FROM l),
+        n AS (SELECT source, count(*) AS rows FROM news WHERE source IS NOT NULL GROUP BY source),
+        c AS (SELECT source, key, count(DISTINCT seq) AS k FROM k WHERE key <> '' GROUP BY source, key),
+        r AS (SELECT c.source, list(c.key) AS keys FROM c JOIN n USING (source) WHERE c.k >= 3 AND c.k * 20 >= n.rows GROUP BY c.source)
+        SELECT seq, CASE WHEN body IS NULL OR keys IS NULL THEN body ELSE array_to_string(list_filter(string_split(body, chr(10)), lambda t: NOT list_contains(keys, lower(regexp_replace(t, '[^\p{L}]+', '', 'g')))), chr(10)) END AS body
+        FROM news LEFT JOIN r USING (source)""",
     "p2_found": """
         WITH n AS (SELECT seq, symbol, epoch_us(published_at) AS t FROM news WHERE symbol IS NOT NULL AND published_at IS NOT NULL),
         d AS (SELECT symbol, epoch_us(day::TIMESTAMP) + 36000000000 AS t, min(cov_id) AS cov_id FROM daily_coverage WHERE symbol IS NOT NULL AND day IS NOT NULL GROUP BY ALL),
