@@ -20,7 +20,7 @@ from tidemark.session import written
 
 def grams(df: DataFrame, size: int = N.WORDS) -> tuple[DataFrame, DataFrame]:
     """(id, print, grams) of the articles of (id, host, body, headline, url), and the ids of those that turned out as responses."""
-    fitted = B.fit(df, with_tokens=True)
+    fitted = B.fit(df)
     shared = fitted.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +41,7 @@ def grams(df: DataFrame, size: int = N.WORDS) -> tuple[DataFrame, DataFrame]:
             extra = [pa.array(flags[has]), pa.array(np.array([m[3] for m in marked], np.int64)[has]), named["head_print"].filter(pa.array(has))]
             yield pa.RecordBatch.from_arrays([*out.columns, *extra], names=["id", "print", "grams", "flags", "response", "head_print"])
 
-    pages = fitted.pages.drop("story", "sampled")
+    pages = fitted.pages.drop("story")
     made = written(pages.mapInArrow(run, N.GRAMS + ", flags int, response bigint, head_print bigint"), "article-grams")
     maybe = made.where(F.col("flags").bitwiseAND(B.MAYBE) != 0)
     shown = maybe.groupBy("response").agg(F.countDistinct("head_print").alias("n")).where(F.col("n") >= B.RESPONSE_HEADLINES)

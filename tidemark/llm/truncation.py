@@ -5,7 +5,9 @@ hashed features of the close (last characters and words, punctuation, open quote
 length limit) gives the probability that it was cut. Positives are made by cutting intact values, at random places and at the
 limits; negatives are intact values: closed ones, headlines, lists, tables and subheads at their line ends, and unclosed snippets
 that are no part of their row's body (titles and summaries). Limits are the lengths that unclosed values pile up at, counted over
-all rows. The classifier is fitted on a bounded sample (SAMPLE_ROWS rows by hash of the id); every value is scored.
+all rows. Examples are made of every row, equal ones are counted, and the classifier is fitted on all of them: its loss is convex, so
+the weights depend neither on an order nor on how the rows are spread. Every value is scored. The features of values and examples are
+made in one pass over the text. Their distinct sets are fitted on the driver when counted below BROADCAST_ROWS, on the tasks otherwise.
 
 Defined results: null, empty and blank values are never cut; a body that holds no article is never cut; repeated rows are scored
 alike; ids must be unique; with too few rows to fit (no example of either kind) only the closing punctuation decides.
@@ -16,7 +18,9 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,32 +29,51 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import boilerplate as B
 from tidemark.llm.page_lines import CUT_MARK, END_MARK
-from tidemark.session import written
+from tidemark.session import BROADCAST_ROWS, written
 
-#: Rows that the classifier is fitted on at most, hashed features, and the probability from which a value counts as cut.
-SAMPLE_ROWS, FEATURES, CUT_FROM = 4000, 1 << 14, 0.5
+#: Hashed features, and the probability from which a value counts as cut.
+FEATURES, CUT_FROM = 1 << 14, 0.5
+#: Feature sets that a task counts before it hands them on. The fit ends when so many steps lower the loss by less than this share. Its
+#: passes over a table run in so many tasks at most, since each hands the driver a gradient.
+HELD, STEPS, GAIN, PARTS = 100_000, 5, 5e-3, 128
 #: A length is a limit when so many unclosed values have it, and so many times as many as the lengths around it on average.
 LIMIT_ROWS, LIMIT_EXCESS, AROUND = 8, 4.0, 10
 
 #: Notices behind the end of a text (fixed values).
 _NOTICE = re.compile(r"(?:\s*(?:Read more|More inside|Read on|Continue reading|Read the full story[^.\n]{0,40}|\((?:More details awaited|With inputs from|Edited by|Reporting by)[^()\n]{0,60}\)))+\s*$", re.I)
-_CLOSED = re.compile(r"[.?!।॥][\"'”’»)\]]*$")
 _INNER = re.compile(r"[.?!।॥][\"'”’»)\]]*\s+(?=[\"“‘A-Z0-9])")
+_CLOSERS = "\"'”’»)]"
 _MARKUP = re.compile(r"(?:<[^<>]{0,40}|&#?\w{0,6})$")
+_ENDS = frozenset(".?!।॥")
+#: What a line with a mark of a cut or end at its end has one of, and the end of one with a notice in lower case.
+_END_HINTS, _DASH = ("(ends)", "■", "/END", "###", "***", "-30-", "||", ">>", "»"), re.compile(r"[-–—] ?[A-Z]")
+_CUT_HINTS, _NOTICE_HINTS = ("...", "…", "chars]", "(more)", "\ufffd"), ("read", "more inside", "(")
 _BULLET = re.compile(r"^(?:[-*•–·▪>]|\(?\d{1,3}[.)])\s+")
 _WORD = re.compile(r"\S+")
 
 
+def _has(text: str, hints: tuple[str, ...]) -> bool:
+    for h in hints:
+        if h in text:
+            return True
+    return False
+
+
+def _closed(line: str) -> bool:
+    return line.rstrip(_CLOSERS)[-1:] in _ENDS
+
+
 def own_end(line: str) -> tuple[str, str]:
     """(the last line without marks and notices, which kinds of them there were)."""
     kinds, text = "", line.rstrip()
     while True:
-        for kind, pattern in (("c", CUT_MARK), ("n", _NOTICE), ("e", END_MARK)):
-            if kind == "e" and _CLOSED.search(text):
+        tail = text[-90:].lower()  # the last notice is no longer
+        for kind, pattern, may in (("c", CUT_MARK, _has(text, _CUT_HINTS)), ("n", _NOTICE, _has(tail, _NOTICE_HINTS)), ("e", END_MARK, not _closed(text) and (_has(text, _END_HINTS) or _DASH.search(text)))):
+            if not may:
                 continue
             cut = pattern.sub("", text)
             if cut != text:
-                if kind == "e" and not _CLOSED.search(cut.rstrip()):
+                if kind == "e" and not _closed(cut.rstrip()):
                     continue  # what looks like an end mark stands behind no end
                 kinds, text = kinds + kind, cut.rstrip()
                 break
@@ -62,30 +85,46 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) & (FEATURES - 1)
 
 
+@lru_cache(maxsize=65_536)
+def _form_slots(closed: str, field: str, kind: str, several: bool, inner: int, base: str, kinds: str, near: str, quotes: bool, markup: bool, bracket: bool) -> list[int]:
+    """Slots of what doesn't depend on words; the same few come back."""
+    return [_slot(n) for n in (
+        "bias", f"c{closed}", f"f{field}{closed}", f"k{kind}{closed}", f"kf{kind}{closed}{field}{several}", f"l{base}", f"m{kinds}{closed}", f"i{inner}{closed}{field}", f"n{near}{closed}", f"nf{near}{closed}{field}",
+        f"q{quotes}{closed}", f"u{markup}", f"p{bracket}{closed}",
+    )]
+
+
 def features(lines: list[str], size: int, limits: list[int], field: str) -> list[int] | None:
-    """Hashed feature slots of a value given by its own non-blank lines; None when nothing is left of it."""
-    if not lines:
-        return None
-    text, kinds = own_end(lines[-1])
+    """Hashed feature slots of a value given by its own non-blank lines; None when nothing is left of it. ``limits`` are ascending."""
+    return _close(lines[-1], len(lines) > 1, size, limits, field) if lines else None
+
+
+def _close(line: str, more: bool, size: int, limits: list[int], field: str) -> list[int] | None:
+    """:func:`features` of the last line of a value, and whether there are others."""
+    text, kinds = own_end(line)
     if not text:
         return None
-    words = _WORD.findall(text[-160:].lower())
-    words = ["".join("0" if c.isdigit() else c for c in w) for w in words[-3:]]
-    closed = "C" if _CLOSED.search(text) else "O"
+    closed = "C" if _closed(text) else "O"
     last = text[-1]
     kind = "b" if _BULLET.match(text) else "p" if " | " in text else "s" if text.count(" ") < 4 and field == "body" else "t"
-    inner = min(2, len(_INNER.findall(text)) + (len(lines) > 1))
-    below = min((limit - n for limit in limits for n in (size, size - len(lines[-1]) + len(text)) if limit >= n), default=999)
+    inner = min(2, len(_INNER.findall(text)) + more)
+    below = min((limits[at] - n for n in (size, size - len(line) + len(text)) if (at := bisect_left(limits, n)) < len(limits)), default=999)
     near = "0" if below == 0 else "a" if below <= 3 else "b" if below <= 12 else "c" if below <= 25 else "f"
     base = "a" if last.isalpha() else "0" if last.isdigit() else last
     quotes = text.count('"') % 2 or text.count("“") > text.count("”")
-    names = [
-        "bias", f"c{closed}", f"f{field}{closed}", f"k{kind}{closed}", f"kf{kind}{closed}{field}{inner > 0}", f"l{base}", f"m{kinds}{closed}", f"i{inner}{closed}{field}", f"n{near}{closed}", f"nf{near}{closed}{field}",
-        f"q{bool(quotes)}{closed}", f"u{bool(_MARKUP.search(text)) or '�' in lines[-1][-6:]}", f"p{text.count('(') > text.count(')')}{closed}",
-    ]
+    slots = _form_slots(closed, field, kind, inner > 0, inner, base, kinds, near, bool(quotes), bool(_MARKUP.search(text[-48:])) or "\ufffd" in line[-6:], text.count("(") > text.count(")"))
     if closed == "O":
-        names += [f"e{text[-k:].lower()}" for k in (2, 3, 4)] + [f"w{' '.join(words[-k:])}" for k in (1, 2, 3)] + [f"x{kind}{inner}{words[-1] if words else ''}"]
-    return [_slot(n) for n in names]
+        words = [w if w.isalpha() else "".join("0" if c.isdigit() else c for c in w) for w in _WORD.findall(text[-160:].lower())[-3:]]
+        names = [f"e{text[-k:].lower()}" for k in (2, 3, 4)] + [f"w{' '.join(words[-k:])}" for k in (1, 2, 3)] + [f"x{kind}{inner}{words[-1] if words else ''}"]
+        slots = slots + [_slot(n) for n in names]
+    return slots
+
+
+def _last(text: str) -> tuple[str, bool]:
+    """(the last line that isn't blank, stripped; whether there are others)."""
+    text = text.rstrip()
+    at = text.rfind("\n")
+    return text[at + 1 :].strip(), at >= 0 and not text[:at].isspace()
 
 
 def _lines(text: str | None) -> list[str]:
@@ -96,26 +135,25 @@ def _letters(text: str) -> str:
     return re.sub(r"\W+", " ", text.lower()).strip()
 
 
-def examples(rows: list[tuple], limits: dict[str, list[int]]) -> tuple[list[list[int]], list[int]]:
+def examples(rows: Iterator[tuple], limits: dict[str, list[int]]) -> Iterator[tuple[list[int], int]]:
     """Feature slots and labels from (id, headline, own body, snippet) rows."""
-    xs, ys = [], []
-
-    def add(text: str, field: str, label: int) -> None:
-        if (x := features(_lines(text), len(text), limits[field], field)) is not None:
-            xs.append(x)
-            ys.append(label)
-
     for i, headline, body, snippet in rows:
         pick = random.Random(i)
+        made: list[tuple[list[int] | None, int]] = []
+
+        def add(text: str, field: str, label: int) -> None:
+            line, more = _last(text)
+            if line:
+                made.append((_close(line, more, len(text), limits[field], field), label))  # noqa: B023
+
         if headline and len(headline) > 20:
             add(headline.strip(), "snippet", 0)
         for field, value in (("body", body), ("snippet", snippet)):
             value = (value or "").strip()
-            lines = _lines(value)
-            if not lines:
+            if not value:
                 continue
-            end, kinds = own_end(lines[-1])
-            if not _CLOSED.search(end):
+            end, kinds = own_end(_last(value)[0])
+            if not _closed(end):
                 known = _letters(end)[:60]
                 at_limit = any(0 <= limit - len(value) <= 12 for limit in limits[field])
                 if field == "snippet" and body and not kinds and not at_limit and not _INNER.search(value) and known not in _letters(body):
@@ -132,36 +170,102 @@ def examples(rows: list[tuple], limits: dict[str, list[int]]) -> tuple[list[list
                 cut = value[:at]
                 if pick.random() < 0.4 and " " in cut[10:]:
                     cut = cut[: cut.rindex(" ")]
-                tail = _lines(cut)[-1:] or [""]
-                if _CLOSED.search(tail[0]) or _BULLET.match(tail[0]) or " | " in tail[0] or (at < len(value) and value[at] == "\n"):
+                tail = _last(cut)[0]
+                if _closed(tail) or _BULLET.match(tail) or " | " in tail or (at < len(value) and value[at] == "\n"):
                     continue
                 add(cut + pick.choice(("", "", "", "...", "…", " […]", " … Read more")), field, 1)
             if field == "body":
+                size = -1
+                lines = _lines(value)
                 for k, t in enumerate(lines[:-1]):
-                    if not _CLOSED.search(t) and (_BULLET.match(t) or " | " in t or t.count(" ") < 4):
-                        add("\n".join(lines[: k + 1]), field, 0)
-    return xs, ys
-
-
-def fit(xs: list[list[int]], ys: list[int], rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights of a logistic regression over hashed binary features, by AdaGrad."""
-    w, g2 = np.zeros(FEATURES), np.full(FEATURES, 1e-6)
-    w[_slot("cO")], w[_slot("cC")] = 2.0, -4.0  # where there is nothing to learn from, the punctuation decides
-    if not ys or len(set(ys)) < 2:
-        return w
-    n = np.array([len(x) for x in xs])
-    flat, starts, y = np.concatenate([np.asarray(x) for x in xs]), np.r_[0, np.cumsum(n)], np.asarray(ys, float)
-    rng = np.random.default_rng(seed)
+                    size += len(t) + 1
+                    if not _closed(t) and (_BULLET.match(t) or " | " in t or t.count(" ") < 4):
+                        made.append((_close(t, k > 0, size, limits[field], field), 0))
+        yield from ((x, label) for x, label in made if x is not None)
+
+
+def loss(batches: Iterable[pa.RecordBatch], w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logistic loss and its gradient over batches of (slots, intact, cut): distinct feature sets, and how many intact and cut values each
+    stands for."""
+    total, grad = 0.0, np.zeros(FEATURES)
+    for batch in batches:
+        if not len(batch):
+            continue
+        packed, intact, cut = batch.column(0), *(batch.column(k).to_numpy().astype(float) for k in (1, 2))
+        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+        flat = np.frombuffer(packed.buffers()[2], np.int16)[ends[0] // 2 : ends[-1] // 2].astype(np.intp)
+        z = np.add.reduceat(w[flat], (ends[:-1] - ends[0]) // 2)  # no set is empty
+        total += float(cut @ np.logaddexp(0, -z) + intact @ np.logaddexp(0, z))
+        err = (intact + cut) * (1 + np.tanh(z / 2)) / 2 - cut
+        grad += np.bincount(flat, weights=np.repeat(err, np.diff(ends) // 2), minlength=FEATURES)
+    return total, grad
+
+
+def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, scale: np.ndarray, rounds: int = 100, memory: int = 12) -> np.ndarray:
+    """The minimum of a smooth convex function, given with its gradient, by L-BFGS; ``scale`` is about its curvature along each axis."""
+    x, (fx, g) = start, f(start)
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    values = [fx]
     for _ in range(rounds):
-        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 256)):
-            at = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in part])
-            row = np.repeat(np.arange(len(part)), n[part])
-            z = np.bincount(row, weights=w[flat[at]], minlength=len(part))
-            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]
-            grad = np.bincount(flat[at], weights=err[row], minlength=FEATURES) / len(part) + 1e-6 * w
-            g2 += grad * grad
-            w -= 0.3 * grad / np.sqrt(g2)
-    return w
+        d, back = -g, []
+        for s, y, rho in reversed(pairs):
+            back.append(rho * (s @ d))
+            d = d - back[-1] * y
+        d = d / scale
+        if pairs:
+            s, y, rho = pairs[-1]
+            d = d / (rho * (y @ (y / scale)))
+        for (s, y, rho), a in zip(pairs, reversed(back), strict=True):
+            d = d + (a - rho * (y @ d)) * s
+        slope, step = g @ d, 1.0
+        while (new := f(x + step * d))[0] > fx + 1e-4 * step * slope and step > 1e-6:
+            step /= 2
+        if not new[0] < fx:
+            break
+        s, y = step * d, new[1] - g
+        x, (fx, g) = x + s, new
+        if s @ y > 0:
+            pairs = [*pairs, (s, y, 1 / (s @ y))][-memory:]
+        values.append(fx)
+        if len(values) > STEPS and values[-1 - STEPS] - fx < GAIN * fx:
+            break
+    return x
+
+
+def fit(counted: DataFrame, most: int = BROADCAST_ROWS) -> np.ndarray:
+    """Weights of a logistic regression over hashed binary features, with a unit normal prior around what the punctuation alone says,
+    on a written table (slots, intact, cut): distinct feature sets and how many intact and cut values have them."""
+    prior = np.zeros(FEATURES)
+    prior[_slot("cO")], prior[_slot("cC")] = 2.0, -4.0  # where there is nothing to learn from, the punctuation decides
+    sets, intact, cut = counted.agg(F.count("*"), F.sum("intact"), F.sum("cut")).first()
+    if not intact or not cut:
+        return prior
+    held = counted.select("slots", "intact", "cut").toArrow().to_batches() if sets <= most else None
+    over = lambda w: _loss_of(counted, w) if held is None else loss(held, w)
+    # how many examples have a feature: the gradient's change from calling none cut to calling all; most end up where the loss is flat
+    every = np.zeros(FEATURES)
+    every[_slot("bias")] = 40.0
+    scale = (1 + over(every)[1] - over(-every)[1]) ** 0.7
+
+    def whole(w: np.ndarray) -> tuple[float, np.ndarray]:
+        value, grad = over(w)
+        return value + float((w - prior) @ (w - prior)) / 2, grad + w - prior
+
+    return minimised(whole, prior, scale)
+
+
+def _loss_of(counted: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """:func:`loss` over a table, on the tasks."""
+    shared = counted.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, grad = loss(batches, shared.value)
+        yield pa.RecordBatch.from_arrays([pa.array([np.r_[total, grad].tobytes()], pa.binary())], names=["part"])
+
+    parts = counted.select("slots", "intact", "cut").coalesce(PARTS).mapInArrow(run, "part binary").collect()
+    out = np.sum([np.frombuffer(r.part) for r in parts], axis=0)
+    shared.unpersist()
+    return float(out[0]), out[1:]
 
 
 def limits_of(values: DataFrame) -> dict[str, list[int]]:
@@ -188,26 +292,50 @@ def scored(rows: DataFrame) -> DataFrame:
     judged = written(B.judged(B.mark(pages)), "judged")
     values = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("body", "snippet")])).alias("v")).select("v.*").where("text is not null and text <> ''")
     limits = limits_of(values)
-    sample = judged.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    few = rows.select("id", "source", "headline", "body", "snippet").join(F.broadcast(sample.select("id")), "id", "left_semi")  # SAMPLE_ROWS ids
-    taken = _own(few, sample).select("id", "headline", "own", "snippet").orderBy("id").collect()
-    weights = fit(*examples([tuple(r) for r in taken], limits))
-    shared = rows.sparkSession.sparkContext.broadcast((weights, limits))
+    context = rows.sparkSession.sparkContext
+    bounds = context.broadcast(limits)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Feature sets of the values, and those of examples with their counts, which have no id."""
+        seen: dict[bytes, list[int]] = {}
+        packed = lambda x: np.array(x, np.int16).tobytes()
+
+        def told(values: list[tuple], counts: dict[bytes, list[int]]) -> pa.RecordBatch:
+            none = [None] * len(counts)
+            i, source, field, sets = zip(*values, strict=True) if values else ((), (), (), ())
+            columns = {
+                "id": pa.array([*i, *none], pa.int64()), "source": pa.array([*source, *none], pa.string()), "field": pa.array([*field, *none], pa.string()), "slots": pa.array([*sets, *counts], pa.binary()),
+                **{name: pa.array([None] * len(values) + [c[k] for c in counts.values()], pa.int64()) for k, name in enumerate(("intact", "cut"))},
+            }
+            return pa.RecordBatch.from_pydict(columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, bounds = shared.value
         for batch in batches:
-            cols = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("id", "source", "own", "size", "snippet")}
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for i, source, own, size, snippet in zip(*cols.values(), strict=True):
+            cols = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("id", "source", "headline", "own", "size", "snippet")]
+            values = []
+            for i, source, _, own, size, snippet in zip(*cols, strict=True):
                 for field, text, n in (("body", own, size), ("snippet", snippet, len(snippet or ""))):
-                    if text and (x := features(_lines(text), n, bounds[field], field)) is not None:
-                        for c, v in zip(out, (i, source, field, float(1 / (1 + np.exp(-w[x].sum())))), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64())], names=["id", "source", "field", "probability"])
+                    line, more = _last(text) if text else ("", False)
+                    if line and (x := _close(line, more, n, bounds.value[field], field)) is not None:
+                        values.append((i, source, field, packed(x)))
+            for x, label in examples(zip(cols[0], cols[2], cols[3], cols[5], strict=True), bounds.value):
+                seen.setdefault(packed(x), [0, 0])[label] += 1
+            full = len(seen) > HELD
+            yield told(values, seen if full else {})
+            if full:
+                seen.clear()
+        yield told([], seen)
+
+    own = _own(rows.select("id", "source", "headline", "body", "snippet"), judged)
+    made = written(own.mapInArrow(slots, "id bigint, source string, field string, slots binary, intact bigint, cut bigint"), "slots")
+    counted = written(made.where("intact is not null").groupBy("slots").agg(F.sum("intact").alias("intact"), F.sum("cut").alias("cut")), "examples")
+    shared = context.broadcast(fit(counted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chance = [float(1 / (1 + np.exp(-shared.value[np.frombuffer(x, np.int16)].sum()))) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(chance, pa.float64())], names=["id", "source", "field", "probability"])
 
-    own = _own(rows.select("id", "source", "headline", "body", "snippet"), judged).select("id", "source", "own", "size", "snippet")
-    return own.mapInArrow(run, "id bigint, source string, field string, probability double")
+    return made.where("intact is null").select("id", "source", "field", "slots").mapInArrow(run, "id bigint, source string, field string, probability double")
 
 
 def report(values: DataFrame) -> DataFrame:
