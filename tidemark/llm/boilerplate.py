@@ -23,9 +23,9 @@ the tasks only when counted below BROADCAST_ROWS (words: WORD_ROWS), and joined
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,8 @@ EXACT, LABEL, OPENING, SHAPE, CLOSED_SHAPE, COARSE = range(6)
 #: How far a word's evidence counts, and from which mean evidence on a page's or headline's words are no text. Hashed words that a task
 #: counts before it hands them on; words shipped to the tasks (16 bytes each). Evidence is kept in millionths, so that sums are exact.
 CLIP, PAGE_FROM, HEAD_FROM, HELD, WORD_ROWS, UNIT = 3.0, 0.4, 0.5, 300_000, 1_000_000, 1_000_000
+#: Texts whose words are counted at once, and lines whose words are told apart at once.
+TEXTS, LINES = 500, 10_000
 
 PARSED = "id bigint, host string, exact array<bigint>, forms binary, tokens binary, head int, head_print bigint, head_tokens binary, story bigint"
 #: What ``forms`` holds of each line, as 32-bit integers, one field after the other.
@@ -65,9 +67,6 @@ MARKED = "id bigint, host string, drop array<int>, kept int, flags int, print bi
 NO_ARTICLE, PLACEHOLDER, MAYBE = 1, 2, 4
 
 
-_NO_DIGITS = str.maketrans("", "", "0123456789")
-
-
 def headline_bits(headline: str | None, slug: set[str], title: set[str]) -> tuple[int, int]:
     """Detector bits of a headline and the print under which copies of one response meet."""
     if not headline or not (h := headline.strip()):
@@ -79,29 +78,53 @@ def headline_bits(headline: str | None, slug: set[str], title: set[str]) -> tupl
         bits |= R.MISMATCHED
     if h.count(" ") < 8:
         bits |= SHORT
-    return bits, digest(h.lower().translate(_NO_DIGITS))
+    return bits, digest(h.lower().encode().translate(None, b"0123456789").decode())
 
 
 class _Tokens(dict):
-    """Word -> 32-bit hash, remembered up to a bound."""
+    """Encoded word -> 32-bit hash, remembered up to a bound."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        h = self[word] = small(word)
+        h = self[word] = small(word.decode())
         return h
 
 
+_SPACED = bytes(b if b > 127 or b == 10 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def _hashed(lines: list[str], known: _Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of lines in lower case, one after the other, as :func:`residue.tokens` tells them apart; their count by line)."""
+    told, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(lines), LINES):
+        text = "\n".join([t if t.isascii() else " ".join(R.tokens(t)) for t in lines[k : k + LINES]])
+        raw = np.frombuffer(text.encode().translate(_SPACED), np.uint8)
+        word = (raw != 32) & (raw != 10)
+        edges = np.flatnonzero(np.diff(np.r_[False, word, False]))
+        starts, ends = edges[::2], edges[1::2]
+        packed = [None, pa.py_buffer(np.r_[0, np.cumsum(ends - starts)].astype(np.int32)), pa.py_buffer(raw[word])]
+        words = pa.Array.from_buffers(pa.binary(), len(starts), packed).dictionary_encode()
+        told.append(np.array([known[w] for w in words.dictionary.to_pylist()], np.int32)[words.indices.to_numpy()])
+        counts.append(np.diff(np.r_[0, np.searchsorted(starts, np.flatnonzero(raw == 10)), len(starts)]))
+    return np.concatenate(told), np.concatenate(counts)
+
+
 def _binary(parts: list[bytes]) -> pa.Array:
     """A binary column of the parts."""
     return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.py_buffer(b"".join(parts))])
 
 
+def _of_rows(hashes: np.ndarray, counts: np.ndarray, ends: list[int]) -> pa.Array:
+    """The hashes of each row's lines as a binary column; ``ends`` has the places in ``counts`` at which rows begin and end."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * np.r_[0, np.cumsum(counts)][ends]).astype(np.int32)), pa.py_buffer(hashes)])
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Tokens().__getitem__
+    known = _Tokens()
     for batch in batches:
         ids, hosts, bodies, heads, urls = (batch.column(k) for k in range(5))
-        offsets, exact, forms, tokens, hb, hp, ht, stories = [0], [], [], [], [], [], [], []
+        offsets, exact, rows, lows, hb, hp, ht, stories = [0], [], [], [], [], [], [], []
         for body, headline, url in zip(bodies.to_pylist(), heads.to_pylist(), urls.to_pylist(), strict=True):
             slug = R.slug_terms(url)
             title = R.terms(headline)
@@ -118,28 +141,30 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bits |= R.IN_BODY
             hb.append(bits)
             hp.append(mark)
-            ht.append(array("i", map(known, R.tokens(headline))).tobytes() if headline else b"")
-            rows, said, sided = [], array("i"), False
+            ht.append(headline.lower().replace("\n", " ") if headline else "")
+            sided = False
             if body:
+                unfilled = R.unfilled(body, sure=False)
                 for i, raw in enumerate(body.split("\n"), 1):
                     t = raw.strip()
                     if t:
                         e, label, opening, kind, rest, rough, b = form(t)
-                        if R.unfilled(t):
+                        if unfilled and R.unfilled(t):
                             b |= R.HAS_PLACEHOLDER
-                        spoken = R.tokens(t)
+                        small_ = t.lower()
                         # a part of a word decides once a paragraph of the article has a whole one
-                        if about_here and _any_in(about_here, t.lower()) and (sided or not about.isdisjoint(spoken)):
+                        if about_here and _any_in(about_here, small_) and (sided or _whole_in(about_here, small_)):
                             b |= R.SHARES_TERM
                             sided = sided or bool(b & ANCHOR)
                         exact.append(e)
-                        said.extend(map(known, spoken))
-                        rows.append((i, label, opening, kind, rest, rough, b, t.count(" ") + 1, len(spoken)))
+                        lows.append(small_)
+                        rows.append((i, label, opening, kind, rest, rough, b, t.count(" ") + 1))
             offsets.append(len(exact))
-            tokens.append(said.tobytes())
-            forms.append(np.ascontiguousarray(np.array(rows, np.int32).reshape(-1, len(FIELDS)).T).tobytes())
-        own = {"id": ids, "host": hosts, "exact": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(exact, pa.int64())), "forms": _binary(forms), "tokens": _binary(tokens)}
-        own |= {"head": pa.array(hb, pa.int32()), "head_print": pa.array(hp, pa.int64()), "head_tokens": _binary(ht), "story": pa.array(stories, pa.int64())}
+        tokens, counts = _hashed(lows, known)
+        table = np.c_[np.array(rows, np.int32).reshape(-1, len(FIELDS) - 1), counts.astype(np.int32)]
+        forms = [np.ascontiguousarray(table[a:z].T).tobytes() for a, z in pairwise(offsets)]
+        own = {"id": ids, "host": hosts, "exact": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(exact, pa.int64())), "forms": _binary(forms), "tokens": _of_rows(tokens, counts, offsets)}
+        own |= {"head": pa.array(hb, pa.int32()), "head_print": pa.array(hp, pa.int64()), "head_tokens": _of_rows(*_hashed(ht, known), list(range(len(ht) + 1))), "story": pa.array(stories, pa.int64())}
         yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
 
 
@@ -150,6 +175,13 @@ def _any_in(words: list[str], text: str) -> bool:
     return False
 
 
+def _whole_in(words: list[str], text: str) -> bool:
+    """Whether one of the words is a whole word of a text in lower case."""
+    if not text.isascii():
+        return not set(words).isdisjoint(R.tokens(text))
+    return _any_in([f" {w} " for w in words], f" {text.encode().translate(_SPACED).decode()} ")
+
+
 def parse(df: DataFrame) -> DataFrame:
     """``df`` is (id bigint, host string, body string, headline string, url string). The words of all pages are kept by line (32-bit
     hashes in ``tokens``, their count by line in the forms)."""
@@ -210,13 +242,14 @@ class Page:
 
 
 def _pages(batch: pa.RecordBatch) -> Iterator[Page]:
-    """The pages of a batch."""
-    host, hits, inner, outer, said, exact, forms, tokens, head, head_tokens = (batch.column(batch.schema.get_field_index(n)) for n in ("host", "hits", "inner", "outer", "said", "exact", "forms", "tokens", "head", "head_tokens"))
+    """The pages of a batch. Columns that nothing was joined for are left out of it: sending arrays that are null costs more than the rest."""
+    column = lambda n: batch.column(at) if (at := batch.schema.get_field_index(n)) >= 0 else None
+    exact = column("exact")
     values, ends = exact.flatten().to_numpy(zero_copy_only=False).tolist(), exact.offsets.to_numpy().tolist()
     first = ends[0]
-    some = [c.to_pylist() if c.null_count < len(c) else [None] * len(c) for c in (hits, inner, outer, said)]
-    for k, (h, hit, a, z, told, blob, words, bits, title) in enumerate(zip(host.to_pylist(), *some, forms.to_pylist(), tokens.to_pylist(), head.to_pylist(), head_tokens.to_pylist(), strict=True)):
-        yield Page(h, hit, a, z, told, values[ends[k] - first : ends[k + 1] - first], np.frombuffer(blob, np.int32).reshape(len(FIELDS), -1), np.frombuffer(words, np.int32), bits, np.frombuffer(title, np.int32))
+    some = [c.to_pylist() if c is not None and c.null_count < len(c) else [None] * len(batch) for c in map(column, ("hits", "inner", "outer", "said", "tokens", "head_tokens"))]
+    for k, (h, blob, bits, hit, a, z, told, words, title) in enumerate(zip(*(column(n).to_pylist() for n in ("host", "forms", "head")), *some, strict=True)):
+        yield Page(h, hit, a, z, told, values[ends[k] - first : ends[k + 1] - first], np.frombuffer(blob, np.int32).reshape(len(FIELDS), -1), np.frombuffer(words or b"", np.int32), bits, np.frombuffer(title or b"", np.int32))
 
 
 def extent(exact: list[int], bits: list[int], recurs: set[int]) -> tuple[int, int] | None:
@@ -237,9 +270,8 @@ def profile(parsed: DataFrame, rec: Recurring) -> tuple[dict[tuple[int, int], fl
     """(level, hash) -> the share of its copies that stand inside an article; only hashes with support, and recurring lines. Where the
     recurring lines are joined, what is known of them is a table (id, inner, outer) instead."""
     shared = parsed.sparkSession.sparkContext.broadcast((rec.everywhere, rec.per_host))  # bounded, see the module's text
-    none = F.lit(None).cast("array<bigint>")
-    source = parsed.select("id", "host", "exact", "forms", "tokens", "head", "head_tokens")
-    source = (source.join(rec.hits, "id", "left") if rec.hits is not None else source.withColumn("hits", none)).withColumns({"inner": none, "outer": none, "said": F.lit(None).cast("double")})
+    source = parsed.select("id", "host", "exact", "forms", "head")
+    source = source.join(rec.hits, "id", "left") if rec.hits is not None else source
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         everywhere, per_host = shared.value
@@ -431,27 +463,41 @@ def vocabulary(pages: DataFrame, shared: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int | None, list[int]] = {}
 
-        def add(words: np.ndarray, k: int) -> None:
-            for w in [None, *set(words.tolist())]:
+        def add(texts: list[np.ndarray], k: int) -> None:
+            """Count how many of the texts have each word."""
+            each = [np.sort(t) for t in texts]
+            each = [t[np.r_[True, t[1:] != t[:-1]]] if len(t) else t for t in each]
+            words, counts = np.unique(np.concatenate(each), return_counts=True)
+            for w, n in [(None, len(texts)), *zip(words.tolist(), counts.tolist(), strict=True)]:
                 c = seen.get(w)
                 if c is None:
                     c = seen[w] = [0, 0, 0, 0]
-                c[k] += 1
+                c[k] += n
 
         def told() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), *(pa.array([c[k] for c in seen.values()], pa.int64()) for k in range(4))], names=["word", "a", "z", "ah", "zh"])
             seen.clear()
             return out
 
+        texts: list[list[np.ndarray]] = [[], [], [], []]
+
+        def full(least: int) -> None:
+            for k, of in enumerate(texts):
+                if len(of) >= least:
+                    add(of, k)
+                    of.clear()
+
         for batch in batches:
             for page in _pages(batch):
                 if len(page.exact) and page.head & R.ABOUT:
                     _, own = own_lines(page, *shared.value)
                     if own:
                         bits = page.forms[6]
-                        add(words_of(page, own), 0 if (bits[own] & R.SHARES_TERM).any() else 1)
+                        texts[0 if (bits[own] & R.SHARES_TERM).any() else 1].append(words_of(page, own))
                 if len(page.head_tokens):
-                    add(page.head_tokens, 3 if page.head & R.MISMATCHED and not page.head & R.IN_BODY else 2)
+                    texts[3 if page.head & R.MISMATCHED and not page.head & R.IN_BODY else 2].append(page.head_tokens)
+                full(TEXTS)
+            full(1)
             if len(seen) > HELD:
                 yield told()
         if seen:
@@ -507,15 +553,14 @@ def fit(df: DataFrame, most: int | None = None) -> Fitted:
     parsed = parse(df)
     rec = recurring(parsed)
     known, sides = profile(parsed, rec)
-    none, unsaid = F.lit(None).cast("array<bigint>"), {n: F.lit(None).cast("double") for n in ("said", "head_said", "again_said")}
-    pages = parsed.join(rec.hits, "id", "left").join(sides, "id", "left") if sides is not None else parsed.withColumns({"hits": none, "inner": none, "outer": none})
+    pages = parsed.join(rec.hits, "id", "left").join(sides, "id", "left") if sides is not None else parsed
     learnt = context.broadcast((rec.everywhere, rec.per_host, known))
-    words = vocabulary(pages.withColumns(unsaid), learnt)
+    words = vocabulary(pages, learnt)
     if words.count() > (WORD_ROWS if most is None else most):
-        pages, held = pages.join(said_by(pages.withColumns(unsaid), learnt, words), "id", "left"), NO_WORDS
+        pages, held = pages.join(said_by(pages, learnt, words), "id", "left"), NO_WORDS
     else:
         told = words.orderBy("word").toArrow()  # counted
-        pages, held = pages.withColumns(unsaid), Words(*(told.column(n).to_numpy().astype(np.int32) for n in ("word", "page", "head", "again")))
+        held = Words(*(told.column(n).to_numpy().astype(np.int32) for n in ("word", "page", "head", "again")))
     return Fitted(pages, context.broadcast((rec.everywhere, rec.per_host, known, held)))
 
 
@@ -535,8 +580,11 @@ def mark(df: DataFrame) -> DataFrame:
             out = mark_batch(batch, shared.value)
             named = {n: batch.column(batch.schema.get_field_index(n)) for n in ("id", "host", "head", "head_print", "head_tokens")}
             titles = named["head_tokens"].to_pylist()
-            joined = [batch.column(batch.schema.get_field_index(n)) for n in ("head_said", "again_said")]
-            scores = [pc.coalesce(j, pa.array(head_evidence(titles, kind, shared.value[-1]), pa.float64())).cast(pa.float32()) for kind, j in zip(("head", "again"), joined, strict=True)]
+            scores = []
+            for kind, n in (("head", "head_said"), ("again", "again_said")):
+                said = pa.array(head_evidence(titles, kind, shared.value[-1]), pa.float64())
+                at = batch.schema.get_field_index(n)
+                scores.append((said if at < 0 else pc.coalesce(batch.column(at), said)).cast(pa.float32()))
             ends = np.cumsum([0, *(len(o[0]) for o in out)])
             drop = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([v for o in out for v in o[0]], pa.int32()))
             yield pa.RecordBatch.from_arrays(

@@ -20,7 +20,7 @@ import xxhash
 _NOT_LETTER = regex.compile(r"[^\p{L}]+")
 _NO_ASCII_LETTER = bytes(b for b in range(128) if not chr(b).isalpha())
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-_SENTENCE_END = re.compile(r"[.?!।॥][\"'”’»)\]]*$")
+_CLOSERS, _ENDS = "\"'”’»)]", frozenset(".?!।॥")
 #: Marks that may stand behind the last sentence of a text, and marks of a cut (fixed values).
 END_MARK = re.compile(r"(?:\s*(?:\(ends\)|■|/END|###|\*\*\*|-30-|[-–—] ?[A-Z][\w&]+(?: [A-Z][\w&]+){0,3}|\|\||>>|»))+\s*$")
 CUT_MARK = re.compile(r"(?:\s*(?:\[?(?:\.\.\.|…)\]?|\[\+\d+ chars\]|\(more\)|�))+(?:\s*(?:[Rr]ead more|[Rr]ead on|[Cc]ontinue reading|[Mm]ore))?\s*$")
@@ -56,6 +56,11 @@ def small(text: str) -> int:
     return (h - (1 << 32) if h >> 31 else h) or 1
 
 
+def _ended(text: str) -> bool:
+    """Whether a text ends with a sentence."""
+    return text[-1:] in _ENDS or text[-8:].rstrip(_CLOSERS)[-1:] in _ENDS
+
+
 def _run(n: int) -> str:
     return "a" if n == 1 else "b" if n < 3 else "c" if n < 6 else "d" if n < 10 else "e"
 
@@ -111,7 +116,7 @@ def _form(text: str) -> tuple[int, int, int, int, int, int, int]:
     bits = 0
     if ("..." in tail or "…" in tail or "chars]" in tail or "(more)" in tail or "�" in tail) and CUT_MARK.search(tail):
         bits = CUT
-    elif _SENTENCE_END.search(tail[-8:]) or _SENTENCE_END.search(END_MARK.sub("", tail)[-8:]):
+    elif _ended(tail) or _ended(END_MARK.sub("", tail)):
         bits = CLOSED
     prose = n >= 5 and (bits or n > 25) and not (tagged and n < 40)
     if prose:

@@ -34,8 +34,15 @@ def terms(text: str | None) -> set[str]:
 
 def slug_terms(url: str | None) -> set[str]:
     """The words of the last part of an address, without its extension."""
-    m = _SLUG.search(url) if url else None
-    return terms(_EXTENSION.sub("", m[1])) if m else set()
+    if not url:
+        return set()
+    if "?" in url or "#" in url or "\n" in url:
+        m = _SLUG.search(url)
+        last = m[1] if m else ""
+    else:  # the same, sooner
+        at = (url := url.removesuffix("/")).rfind("/")
+        last = url[at + 1 :] if at >= 0 else ""
+    return terms(_EXTENSION.sub("", last)) if last else set()
 
 
 def story(about: set[str]) -> int:
@@ -50,9 +57,9 @@ def _has(text: str, hints: tuple[str, ...]) -> bool:
     return False
 
 
-def unfilled(text: str) -> bool:
-    """Whether a text has a placeholder."""
-    return _has(text, _PLACEHOLDER_HINTS) and PLACEHOLDER.search(text) is not None
+def unfilled(text: str, sure: bool = True) -> bool:
+    """Whether a text has a placeholder, or where that need not be sure, whether any part of it may have one."""
+    return _has(text, _PLACEHOLDER_HINTS) and (not sure or PLACEHOLDER.search(text) is not None)
 
 
 def tokens(text: str) -> list[str]:
